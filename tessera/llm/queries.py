@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from tessera.llm.tokens import op3_token_table
 from tessera.llm.transport_stream import op7_transport_stream
 
 QUERIES = {
+    "op3_token_table": op3_token_table,
     "op7_transport_stream": op7_transport_stream,
 }
 ORACLE_SQL: dict[str, str] = {}
