@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tessera.llm.byte_bpe import op6_byte_bpe
 from tessera.llm.tokens import op3_token_table
 from tessera.llm.transport_stream import op7_transport_stream
 
 QUERIES = {
+    "op6_byte_bpe": op6_byte_bpe,
     "op3_token_table": op3_token_table,
     "op7_transport_stream": op7_transport_stream,
 }
