@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from tessera.llm.byte_bpe import op6_byte_bpe
+from tessera.llm.minmax import op9_minmax_dedup
+from tessera.llm.oracle import ORACLE_SQL
 from tessera.llm.tokens import op3_token_table
 from tessera.llm.transport_stream import op7_transport_stream
 
 QUERIES = {
+    "op9_minmax_dedup": op9_minmax_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op3_token_table": op3_token_table,
     "op7_transport_stream": op7_transport_stream,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
