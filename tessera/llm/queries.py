@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from tessera.llm.byte_bpe import op6_byte_bpe
+from tessera.llm.divergence import op1_divergence_rules
 from tessera.llm.minmax import op9_minmax_dedup
 from tessera.llm.oracle import ORACLE_SQL
 from tessera.llm.tokens import op3_token_table
 from tessera.llm.transport_stream import op7_transport_stream
 
 QUERIES = {
+    "op1_divergence_rules": op1_divergence_rules,
     "op9_minmax_dedup": op9_minmax_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op3_token_table": op3_token_table,
