@@ -8,10 +8,12 @@ from tessera.llm.minmax import op9_minmax_dedup
 from tessera.llm.oracle import ORACLE_SQL
 from tessera.llm.packing import op10_genetic_packing
 from tessera.llm.personal import op8_personal_data
+from tessera.llm.substring_dedup import op2_fm_dedup
 from tessera.llm.tokens import op3_token_table
 from tessera.llm.transport_stream import op7_transport_stream
 
 QUERIES = {
+    "op2_fm_dedup": op2_fm_dedup,
     "op10_genetic_packing": op10_genetic_packing,
     "op8_personal_data": op8_personal_data,
     "op1_divergence_rules": op1_divergence_rules,
