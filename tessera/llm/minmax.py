@@ -3,8 +3,9 @@
 Each permutation hashes a document's shingles once and keeps both the least and the greatest value, two values of the
 signature for one evaluation. Bands of values deal documents into buckets. Documents with the same set stand for one
 another from the beginning, so groups of copies never meet in a bucket. Within a bucket every member is held against the
-least one; the links so confirmed give components; then members of a bucket that are still in different components are
-held against each other, so that each pair of a bucket is either compared or already joined.
+least one, and the links so confirmed give components. Documents tied by buckets that still hold several components form a
+family; in it, all that are outside the largest component are held against all of the family, block by block. So each pair
+of a bucket is either compared or already joined, and no pair is ever a row.
 
 With 40 bands of 3 least and 3 greatest values, a pair of similarity 0.8 shares no bucket with probability 5e-6.
 
@@ -27,6 +28,8 @@ from tessera.llm.shared import documents, mix, pieces_of, stored, texts_of, word
 
 #: Bands, and permutations a band; a band has twice as many values.
 BANDS, PERMUTATIONS_A_BAND = 40, 3
+#: Shingles on each side of a block; a longer document is a side of its own.
+BLOCK = 150_000
 _STEP = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -86,13 +89,20 @@ def signatures(df: DataFrame, words: int, bands: int = BANDS, permutations: int
     return df.select("doc_id", "text").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n bigint, one bigint, two bigint, keys array<bigint>")
 
 
-def confirmed(pairs: DataFrame, df: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose full sets have 100 * intersection >= percent * union."""
+def full_sets(df: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """id and items (the sorted 64-bit hashes of its shingles) of the documents named by ids (doc_id)."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces_of(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(texts_of(b), words)], pa.binary())], names=["id", "items"])
 
+    kind = df.schema["doc_id"].dataType.simpleString()
+    return stored(df.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(build, f"id {kind}, items binary"), "sets")
+
+
+def confirmed(pairs: DataFrame, df: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those whose full sets have 100 * intersection >= percent * union."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces_of(batches, "items_a", 1 << 20):
             keep = []
@@ -104,15 +114,56 @@ def confirmed(pairs: DataFrame, df: DataFrame, words: int, percent: int) -> Data
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = full_sets(df, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), words)
     kind = df.schema["doc_id"].dataType.simpleString()
-    sets = df.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(build, f"id {kind}, items binary")
-    sets = stored(sets, "sets")
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b")
     both = with_b.join(sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), "a")
     return both.select("a", "b", "items_a", "items_b").mapInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
+def block_links(block: pa.Table, percent: int) -> pa.Table:
+    """Links (a, b) between the block's outer documents and all its documents, one at most to each component.
+
+    One look-up of an outer document's shingles among those of all documents counts its intersections with all of them.
+    """
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block["items"].combine_chunks()]
+    ids, parts, outer = block["doc_id"].to_pylist(), block["part"].to_pylist(), block["outer"].to_pylist()
+    inner = [k for k in range(len(sets)) if not outer[k]]
+    links: list[tuple] = []
+    if inner:
+        sizes = np.asarray([len(sets[k]) for k in inner])
+        values, owner = np.concatenate([sets[k] for k in inner]), np.repeat(np.arange(len(inner)), sizes)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        for k in range(len(sets)):
+            if outer[k]:
+                low, high = np.searchsorted(values, sets[k], "left"), np.searchsorted(values, sets[k], "right")
+                hits = np.concatenate([owner[p:q] for p, q in zip(low, high, strict=True) if q > p] or [owner[:0]])
+                shared = np.bincount(hits, minlength=len(inner))
+                near = np.flatnonzero(100 * shared >= percent * (sizes + len(sets[k]) - shared))
+                links += {parts[inner[j]]: (ids[k], ids[inner[j]]) for j in near if parts[inner[j]] != parts[k]}.values()
+    return pa.table({"a": pa.array([x for x, _ in links], block.schema.field("doc_id").type), "b": pa.array([y for _, y in links], block.schema.field("doc_id").type)})
+
+
+def family_links(placed: DataFrame, df: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between the components that meet in buckets. placed: key, doc_id and part (its component so far)."""
+    kind = df.schema["doc_id"].dataType.simpleString()
+    apart = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min("doc_id").alias("lead")).where("p != q").select("key", "lead")
+    placed = stored(placed.join(apart, "key"), "apart")
+    families = components(placed.select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    docs = stored(placed.select("doc_id", "part").distinct().join(families, "doc_id"), "families")
+    sets = full_sets(df, docs.select("doc_id"), words).withColumn("size", F.octet_length("items") / 8)
+    docs = docs.join(sets.withColumnRenamed("id", "doc_id"), "doc_id")
+    parts = docs.groupBy("family", "part").agg(F.sum("size").alias("size"))
+    wide = parts.groupBy("family").agg(F.sum("size").alias("whole"), F.max(F.struct("size", "part")).alias("main"))
+    docs = docs.join(wide, "family").withColumn("is_outer", F.col("part") != F.col("main.part"))
+    n_inner, n_outer = F.ceil(F.col("whole") / BLOCK), F.ceil((F.col("whole") - F.col("main.size")) / BLOCK)
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), n)
+    inner = docs.select("family", own(n_inner).alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), n_outer - 1)).alias("j"), F.lit(False).alias("outer"), "doc_id", "part", "items")
+    outer = docs.where("is_outer").select("family", F.explode(F.sequence(F.lit(0).cast("bigint"), n_inner - 1)).alias("i"), own(n_outer).alias("j"), F.lit(True).alias("outer"), "doc_id", "part", "items")
+    return inner.union(outer).groupBy("family", "i", "j").applyInArrow(lambda block: block_links(block, percent), f"a {kind}, b {kind}")
+
+
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, permutations: int = PERMUTATIONS_A_BAND) -> DataFrame:
     """Of each document doc_id, n_shingles, component_id (the least doc_id that it reaches by links, its own included) and kept (it is that one)."""
     marks = stored(signatures(df, words, bands, permutations), "signatures")
@@ -128,13 +179,8 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, bands: int
     texts = df.where("doc_id IS NOT NULL")
     links = stored(confirmed(tested, texts, words, percent), "confirmed")
     found = components(links)
-    # Buckets whose members are still apart: their cross pairs, but for those already held against each other.
     placed = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part"))
-    apart = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("key")
-    placed = stored(placed.join(apart, "key", "left_semi"), "apart")
-    x, y = placed.select("key", F.col("doc_id").alias("a"), F.col("part").alias("pa")), placed.select("key", F.col("doc_id").alias("b"), F.col("part").alias("pb"))
-    rest = x.join(y, "key").where("a < b AND pa != pb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-    more = confirmed(stored(rest, "pairs"), texts, words, percent)
+    more = family_links(placed, texts, words, percent)
     found = stored(components(links.union(more)), "components")
     by_rep = copies.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     all_ = found.withColumnRenamed("node", "doc_id").select("doc_id", "component").union(by_rep)
