@@ -12,10 +12,14 @@ neighbours, ordered by text; very long texts are one row; an empty table gives a
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -32,10 +36,17 @@ CACHED_WORDS = 400_000
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 64 << 10, 2_000
 
 
+#: Bytes that the byte-level alphabet writes as other characters than Latin-1 does: in order, those from U+0100 on.
+_ALPHABET = {byte: 256 + k for k, byte in enumerate(x for x in range(256) if not (33 <= x <= 126 or 161 <= x <= 172 or 174 <= x <= 255))}
+_SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+
+
 class WordEncoder:
     """A tokenizers file whose pre-tokenizer drops white space, so that a text's ids are its words' ids in turn.
 
-    Each word is encoded by the library once and remembered. The strings of special tokens are ordinary text.
+    Each word is encoded by the library once and remembered. A word of Latin letters in composed form, with or without
+    marks behind it, is just what the normalizer and pre-tokenizer cut in two, and goes straight to the library's model;
+    every other word goes through the whole tokenizer. The strings of special tokens are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -44,19 +55,49 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.plain = self._is_plain(path)
+
+    @staticmethod
+    def _is_plain(path: str) -> bool:
+        """Whether the file has the steps that the short way stands for: compose, lower case; cut at letters and marks, byte-level alphabet."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [x["type"] for part in (spec["normalizer"], spec["pre_tokenizer"]) for x in (part or {}).get("normalizers", (part or {}).get("pretokenizers", []))]
+        return steps == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] and "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            written = part if part.isascii() else part.encode().decode("latin-1").translate(_ALPHABET)
+            ids = self.parts[part] = struct.pack(f"<{len(found)}I", *found) if (found := [t.id for t in self.model.tokenize(written)]) else b""
+        return ids
+
+    def _learn(self, new: list[bytes]) -> None:
+        whole = []
+        for w in new:
+            m = _SIMPLE(w.decode()) if self.plain else None
+            if m:
+                letters, marks = m.groups()
+                self.known[w] = self._part(letters.lower()) + self._part(marks) if marks else self._part(letters.lower())
+            else:
+                whole.append(w)
+        for at in range(0, len(whole), 4096):
+            part = whole[at : at + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         words = [t.split() for t in texts]
         if len(self.known) > CACHED_WORDS:
             self.known = {}
+        if len(self.parts) > CACHED_WORDS:
+            self.parts = {}
         known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+        self._learn([w for w in set(chain.from_iterable(words)) if w not in known])
         return [b"".join([known[w] for w in ws]) for ws in words]
 
 
