@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm.byte_bpe import op6_byte_bpe
 from tessera.llm.divergence import op1_divergence_rules
 from tessera.llm.minmax import op9_minmax_dedup
+from tessera.llm.nbsvm import op5_quality_classifier
 from tessera.llm.oracle import ORACLE_SQL
 from tessera.llm.packing import op10_genetic_packing
 from tessera.llm.personal import op8_personal_data
@@ -13,6 +14,7 @@ from tessera.llm.tokens import op3_token_table
 from tessera.llm.transport_stream import op7_transport_stream
 
 QUERIES = {
+    "op5_quality_classifier": op5_quality_classifier,
     "op2_fm_dedup": op2_fm_dedup,
     "op10_genetic_packing": op10_genetic_packing,
     "op8_personal_data": op8_personal_data,
