@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
@@ -189,6 +189,16 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, bands: int
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def without_near_duplicates(df: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of df, with its columns, of one document of each group. Of rows that repeat a doc_id the one with the least text stays; rows with a null doc_id stay."""
+    found = near_duplicates(df, words, percent).where("doc_id IS NOT NULL AND kept").select("doc_id")
+    out = df.join(found, "doc_id", "left_semi").select(*df.columns)
+    nth = "__tessera_nth"
+    rest = [c for c in df.columns if c not in ("doc_id", "text") and df.schema[c].dataType.typeName() not in ("map", "variant")]
+    out = out.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *rest))).where(F.col(nth) == 1).drop(nth)
+    return out.union(df.where("doc_id IS NULL"))
+
+
 def op9_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles of four words at similarity 0.8 over every whole text."""
     return near_duplicates(documents(spark, sf_dir), words=4, percent=80)
