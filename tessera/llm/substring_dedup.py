@@ -201,14 +201,15 @@ def remove_repeats(df: DataFrame, window: int = WINDOW) -> DataFrame:
     """df with the repeated spans taken out of its texts; what stays of such a text is joined by blanks, and n_chars (if there) is its length."""
     key = "__tessera_spans"
     marked = _with_spans(df, repeated_spans(df, window), key)
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in df.columns)
+    names = df.columns
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces_of(batches):
             spans = b.column(b.schema.get_field_index(key)).to_pylist()
             old = b.column(b.schema.get_field_index("text")).to_pylist()
             text = [b" ".join(_keep(t.encode(), s)[0]).decode() if s else t for t, s in zip(old, spans, strict=True)]
-            columns = {c: b.column(b.schema.get_field_index(c)) for c in df.columns} | {"text": pa.array(text, pa.string())}
+            columns = {c: b.column(b.schema.get_field_index(c)) for c in names} | {"text": pa.array(text, pa.string())}
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([len(t) if s else n for t, s, n in zip(text, spans, columns["n_chars"].to_pylist(), strict=True)], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
