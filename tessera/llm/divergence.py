@@ -27,8 +27,9 @@ COMMON = {
     "fr": "de la le et les des en un du une que est pour qui dans par sur pas au plus".split(),
     "es": "de la que el en y los se del las por un para con no una su al lo como".split(),
 }
-#: Character classes: of each, what to take away so that only it is left. Symbols, blanks and the rest are counted otherwise.
-CLASSES = {"lower": "[^a-z]+", "upper": r"[^\p{Lu}]+", "letter": r"[^\p{L}]+", "digit": r"[^\p{Nd}]+", "stop": r"[^.,;:!?'\"()-]+", "symbol": "[^#*$%&|<>]+"}
+#: The classes that make up most of a text, taken away first; of the others, what to take away from the remainder so that only they are left.
+PLAIN = r"[a-z\x20\x09-\x0D]+"
+CLASSES = {"upper": r"[^\p{Lu}]+", "letter": r"[^\p{L}]+", "digit": r"[^\p{Nd}]+", "stop": r"[^.,;:!?'\"()-]+", "symbol": "[^#*$%&|<>]+"}
 LEAST_CHARS, LEAST_WORDS, LEAST_TEXTS = 200, 50, 20
 #: Bounds of the distances for long texts, and what is added over the square root of the length.
 CHAR_BOUND, CHAR_SLACK = 0.14, 2.8
@@ -53,9 +54,9 @@ def repeated_words(words: Column) -> Column:
     """How many words lie in 3-word windows that are found twice or more; windows are compared by 64-bit hashes."""
 
     def covered(hashes: Column) -> Column:
-        ranked = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        ranked = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         near = lambda s, j: F.get(s, j)["h"]
-        twice = let(ranked, lambda s: F.array_sort(F.array_compact(F.transform(s, lambda x, j: F.when((x["h"] == near(s, j - 1)) | (x["h"] == near(s, j + 1)), x["i"])))))
+        twice = let(ranked, lambda s: F.sort_array(F.array_compact(F.transform(s, lambda x, j: F.when((x["h"] == near(s, j - 1)) | (x["h"] == near(s, j + 1)), x["i"])))))
         return let(twice, lambda p: F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - x, F.lit(WINDOW)))), F.lit(0).cast("bigint"), lambda a, x: a + x))
 
     def counted(w: Column) -> Column:
@@ -66,7 +67,7 @@ def repeated_words(words: Column) -> Column:
 
 
 def base_rules(df: DataFrame, text: str = "text", prefix: str = _P) -> DataFrame:
-    """Add the prefixed columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    """Add the prefixed columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed, and rest (the text without PLAIN)."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\f\r"))) > 0)
     word_facts = let(
@@ -75,18 +76,19 @@ def base_rules(df: DataFrame, text: str = "text", prefix: str = _P) -> DataFrame
     out = df.withColumn(f"{prefix}facts", word_facts).withColumns({
         f"{prefix}n_words": F.col(f"{prefix}facts.n_words"),
         f"{prefix}word_chars": F.col(f"{prefix}facts.word_chars"),
-        f"{prefix}n_symbols": F.length(F.regexp_replace(t, CLASSES["symbol"], "")).cast("bigint"),
+        f"{prefix}rest": F.regexp_replace(t, PLAIN, ""),
         f"{prefix}n_dup_lines": let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint")),
         f"{prefix}n_repeat_words": F.col(f"{prefix}facts.n_repeat_words"),
     })
+    out = out.withColumn(f"{prefix}n_symbols", F.length(F.regexp_replace(f"{prefix}rest", CLASSES["symbol"], "")).cast("bigint"))
     n, repeats = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
     return out.drop(f"{prefix}facts").withColumn(f"{prefix}base_failed", (n < LEAST_BASE_WORDS) | (100 * repeats > MOST_REPEAT_PERCENT * n))
 
 
-def shares(counts: list[Column]) -> Column:
-    """Counts as shares of their sum; all 0 where that is 0."""
-    total = sum(counts[1:], counts[0])
-    return F.array(*(F.when(total > 0, c / total).otherwise(0.0) for c in counts))
+def shares(counts: Column) -> Column:
+    """An array of counts as shares of their sum; all 0 where that is 0."""
+    total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return let(total, lambda n: F.transform(counts, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
 
 
 def _is(k: int) -> Callable[[Column], Column]:
@@ -96,24 +98,27 @@ def _is(k: int) -> Callable[[Column], Column]:
 def histograms(df: DataFrame, text: str = "text", lang: str = "lang", prefix: str = _P) -> DataFrame:
     """Add the prefixed columns n_chars, chars and words: the length and both histograms."""
     t = F.coalesce(F.col(text), F.lit(""))
-    counts = {k: F.length(F.regexp_replace(t, pattern, "")) for k, pattern in CLASSES.items()}
-    length, blanks = F.length(t), F.length(t) - F.col(f"{prefix}word_chars")
+    whole = F.struct(
+        *(F.length(F.regexp_replace(f"{prefix}rest", pattern, "")).cast("bigint").alias(k) for k, pattern in CLASSES.items()),
+        F.length(t).cast("bigint").alias("n"), F.col(f"{prefix}word_chars").alias("words"), F.length(f"{prefix}rest").cast("bigint").alias("rest"),
+    )
+
+    def classes(c: Column) -> Column:
+        marks = c["digit"] + c["stop"] + c["symbol"]
+        return let(F.array(c["words"] - c["rest"], c["upper"], c["letter"] - c["upper"], c["digit"], c["stop"], c["symbol"], c["n"] - c["words"], c["rest"] - c["letter"] - marks), shares)
+
     listed = F.array().cast("array<string>")
     for name, words in COMMON.items():
         listed = F.when(F.col(lang) == name, F.array(*map(F.lit, words))).otherwise(listed)
     tokens = F.split(F.lower(t), r"[\x20\x09-\x0D.,;:!?]+")
     hits = let(listed, lambda known: F.filter(F.transform(tokens, lambda w: F.array_position(known, w)), lambda p: p > 0))
     n = max(map(len, COMMON.values()))
-    out = df.withColumn(f"{prefix}c", F.struct(*(v.alias(k) for k, v in counts.items()), length.alias("n"), blanks.alias("blank"))).withColumn(f"{prefix}hits", hits)
-    c, found = (lambda k: F.col(f"{prefix}c.{k}")), F.col(f"{prefix}hits")
-    rest = F.greatest(c("n") - c("letter") - c("digit") - c("stop") - c("symbol") - c("blank"), F.lit(0))
-    other_letters = F.greatest(c("letter") - c("lower") - c("upper"), F.lit(0))
-    common = [F.size(F.filter(found, _is(k))) for k in range(1, n + 1)]
-    return out.withColumns({
-        f"{prefix}n_chars": c("n").cast("bigint"),
-        f"{prefix}chars": shares([c("lower"), c("upper"), other_letters, c("digit"), c("stop"), c("symbol"), c("blank"), rest]),
-        f"{prefix}words": shares([*common, F.greatest(F.col(f"{prefix}n_words") - F.size(found), F.lit(0))]),
-    }).drop(f"{prefix}c", f"{prefix}hits")
+
+    def common(found: Column) -> Column:
+        counts = [F.size(F.filter(found, _is(k))).cast("bigint") for k in range(1, n + 1)]
+        return let(F.array(*counts, F.greatest(F.col(f"{prefix}n_words") - F.size(found), F.lit(0))), shares)
+
+    return df.withColumns({f"{prefix}n_chars": F.length(t).cast("bigint"), f"{prefix}chars": let(whole, classes), f"{prefix}words": let(hits, common)}).drop(f"{prefix}rest")
 
 
 def distance(p: Column, q: Column) -> Column:
