@@ -151,9 +151,10 @@ def shard_spans(shard: pa.Table, window: int = WINDOW) -> pa.Table:
     at = np.flatnonzero(length == window)
     at = at[earliest[np.searchsorted(borders, lows[at])] < place[at]]
     # Windows that overlap or touch make one span.
-    new = np.concatenate([[True], (at[1:] - at[:-1] > 1) | (k[at][1:] != k[at][:-1])]) if len(at) else np.zeros(0, bool)
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] - at[:-1] > 1) | (k[at][1:] != k[at][:-1])
     head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(at)) - 1
+    tail = np.append(head[1:], len(at))[: len(head)] - 1
     return pa.table({"k": pa.array(k[at[head]]), "start": pa.array(first[at[head]].astype(np.int32)), "words": pa.array((at[tail] - at[head] + window).astype(np.int32))})
 
 
