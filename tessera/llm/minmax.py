@@ -168,7 +168,8 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, bands: int
     """Of each document doc_id, n_shingles, component_id (the least doc_id that it reaches by links, its own included) and kept (it is that one)."""
     marks = stored(signatures(df, words, bands, permutations), "signatures")
     if not marks.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        marks = stored(marks.groupBy("doc_id").agg(F.min(F.struct("n", "one", "two", "keys")).alias("s")).select("doc_id", "s.*"), "signatures")
+        known = marks.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("n", "one", "two", "keys")).alias("s")).select("doc_id", "s.*")
+        marks = stored(known.union(marks.where("doc_id IS NULL")), "signatures")
     linked = marks.where("n > 0 AND doc_id IS NOT NULL")
     same = linked.groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     copies = stored(linked.select("doc_id", "n", "one", "two").join(same.where("copies > 1"), ["n", "one", "two"]).where("doc_id != rep").select("doc_id", "rep"), "copies")
