@@ -29,7 +29,7 @@ from tessera.llm import gru
 from tessera.llm.shared import documents, fold, pieces_of, stored, texts_of, word_hashes
 
 VOCABULARY, CLASSES, ROUNDS, FAN = 1024, 24, 3, 32
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 12 << 20
 #: What stands for the end among words' hashes; the id of the words outside the vocabulary.
 END_HASH, OTHER = np.uint64(1), 1
 SMOOTH = 0.1
@@ -139,10 +139,10 @@ def scored(df: DataFrame, counts: DataFrame, words: Vocabulary, weights: dict[st
 
     def score(table: pa.Table, known: pa.Table) -> pa.Table:
         hashes, starts = hashes_of(table_texts(table))
+        # The group has asked for exactly its distinct words.
+        distinct, at = np.unique(hashes, return_inverse=True)
         asked = np.asarray(known["hash"]).view(np.uint64)
-        order = np.argsort(asked)
-        count = np.asarray(known["c"])[order][np.searchsorted(asked[order], hashes)].astype(np.float64) if len(hashes) else np.zeros(0)
-        ids = words.look_up(hashes)
+        count, ids = np.asarray(known["c"])[np.argsort(asked)][at].astype(np.float64), words.look_up(distinct)[at]
         base = np.log10((count + SMOOTH) / (words.total + SMOOTH * (words.distinct + 1)))
         model = gru.document_scores(weights, borders, ids, starts) / np.log(10)
         model += np.where(ids == OTHER, np.log10((count + SMOOTH) / (words.other_total + SMOOTH * (words.other_distinct + 1))), 0.0)
