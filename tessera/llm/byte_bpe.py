@@ -4,7 +4,8 @@ Merging by rank gives each byte string one token sequence, and a sequence is tha
 are what merging gives for their joined bytes. So the tokenizer is a nondeterministic transducer: its state is the last
 token and a place in the trie of tokens, and at each token's end it may emit and return to the root if the pair is allowed.
 Here it is determinised as it is used. A state of the result is the set of live readings; what all of them agree on is
-emitted, which needs but a bounded lookahead. States and steps are kept until there are too many, then built anew.
+emitted, which needs but a bounded lookahead. A step is built when it has been asked for some times; until then such a
+piece runs through the nondeterministic transducer. States and steps are kept until there are too many, then built anew.
 
 Decoding runs token by token through a state machine for UTF-8 that keeps the bytes of a character not yet complete.
 
@@ -15,8 +16,8 @@ from __future__ import annotations
 
 import base64
 import functools
+import struct
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -29,7 +30,9 @@ from tessera.llm.shared import documents, pieces_of, texts_of
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: How many states and pieces a Python worker keeps before it begins anew.
-KEPT_STATES, KEPT_PIECES = 100_000, 400_000
+KEPT_STATES, KEPT_PIECES = 60_000, 300_000
+#: How often a step must be asked for to be built.
+BUILT_AT = 8
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -59,23 +62,34 @@ class Transducer:
         self.ranks, self.kept_states = ranks, kept_states
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         # Tokens that merging never makes from their own bytes can't be emitted.
-        self.children: list[dict[int, int]] = [{}]
+        self.edges: dict[int, int] = {}
         self.token_at: list[int] = [-1]
+        self.inner: list[bool] = [True]
         for token, rank in ranks.items():
             if merge(token, ranks) == (rank,):
                 place = 0
                 for byte in token:
-                    step = self.children[place].get(byte)
+                    self.inner[place] = True
+                    step = self.edges.get(place << 8 | byte)
                     if step is None:
-                        step = self.children[place][byte] = len(self.children)
-                        self.children.append({})
+                        step = self.edges[place << 8 | byte] = len(self.token_at)
                         self.token_at.append(-1)
+                        self.inner.append(False)
                     place = step
                 self.token_at[place] = rank
-        self.allowed: dict[tuple[int, int], bool] = {}
+        self.root = self._nested()
+        self.allowed: dict[int, bool] = {}
         self.spines: tuple[dict, dict] = ({}, {})
         self.forget()
 
+    def _nested(self) -> dict[int, tuple[int, dict]]:
+        """The trie as dicts: byte to (token or -1, what follows)."""
+        none: dict = {}
+        after = [{} if inner else none for inner in self.inner]
+        for edge, place in self.edges.items():
+            after[edge >> 8][edge & 255] = (self.token_at[place], after[place])
+        return after[0]
+
     def forget(self) -> None:
         """Drop all states but the first."""
         first = (((), -1, 0),)
@@ -83,6 +97,7 @@ class Transducer:
         self.number = {first: 0}
         self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
         self.finals: list[tuple[int, ...] | None] = [()]
+        self.asked: dict[int, int] = {}
         if len(self.allowed) > 8 * self.kept_states:
             self.allowed = {}
 
@@ -105,7 +120,7 @@ class Transducer:
         """Whether merging leaves a and b apart: no two parts that meet at their border while both grow join before either grows on."""
         if a < 0:
             return True
-        known = self.allowed.get((a, b))
+        known = self.allowed.get(a << 32 | b)
         if known is None:
             known, xs, ys, i, j = True, self.spine(a, True), self.spine(b, False), 0, 0
             while known:
@@ -118,17 +133,17 @@ class Transducer:
                     j += 1
                 if i == len(xs) or j == len(ys):
                     break
-            self.allowed[a, b] = known
+            self.allowed[a << 32 | b] = known
         return known
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Build the step of a state by a byte: the next state and what is emitted."""
         live = []
         for pending, last, place in self.readings[state]:
-            place = self.children[place].get(byte)
+            place = self.edges.get(place << 8 | byte)
             if place is None:
                 continue
-            if self.children[place]:
+            if self.inner[place]:
                 live.append((pending, last, place))
             token = self.token_at[place]
             if token >= 0 and self.may_follow(last, token):
@@ -153,42 +168,85 @@ class Transducer:
         self.steps[state][byte] = to, emitted
         return to, emitted
 
+    def _run(self, piece: bytes) -> tuple[int, ...]:
+        """The reading of a whole piece, without building states: depth first, the longest token first, and each prefix once, for it has one reading."""
+        root, allowed, n = self.root, self.allowed.get, len(piece)
+        ending, begin = [-1] * (n + 1), [0] * (n + 1)
+        waiting, start, last = [], 0, -1
+        while start < n:
+            follows = root
+            for at in range(start, n):
+                step = follows.get(piece[at])
+                if step is None:
+                    break
+                token, follows = step
+                if token >= 0:
+                    waiting.append((start, last, at + 1, token))
+            while True:
+                if not waiting:
+                    raise ValueError(f"no reading of {piece!r}: these ranks are no BPE")
+                come, before, end, token = waiting.pop()
+                if ending[end] < 0:
+                    fits = not come or allowed(before << 32 | token)
+                    if fits or fits is None and self.may_follow(before, token):
+                        ending[end], begin[end] = token, come
+                        start, last = end, token
+                        break
+        out, at = [], n
+        while at:
+            out.append(ending[at])
+            at = begin[at]
+        return tuple(reversed(out))
+
     def encode(self, piece: bytes) -> tuple[int, ...]:
         """The ids of a piece."""
-        if len(self.readings) > self.kept_states:
+        if len(self.readings) > self.kept_states or len(self.asked) > 8 * self.kept_states:
             self.forget()
         state, out, steps = 0, (), self.steps
         for byte in piece:
-            step = steps[state].get(byte) or self._step(state, byte)
+            step = steps[state].get(byte)
+            if step is None:
+                asked = self.asked[state << 8 | byte] = self.asked.get(state << 8 | byte, 0) + 1
+                if asked < BUILT_AT:
+                    return self._run(piece)
+                step = self._step(state, byte)
             state, emitted = step
             if emitted:
                 out += emitted
         rest = self.finals[state]
         if rest is None:
-            raise ValueError(f"{len([r for r in self.readings[state] if r[2] == 0])} readings of {piece!r}: these ranks are no BPE")
+            raise ValueError(f"no single reading of {piece!r}: these ranks are no BPE")
         return out + rest
 
 
 class Encoder:
-    """Cuts texts by a pattern and encodes each match by the transducer; remembers the ids of recent pieces."""
+    """Cuts texts by a pattern and encodes each match by the transducer; remembers the ids of recent pieces, in two generations."""
 
     def __init__(self, path: str = RANKS, pattern: str = public_tokenizers.PATTERN):
         self.transducer = Transducer(read_ranks(path))
         self.cut = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> list[int]:
-        known = self.known
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text."""
         pieces = self.cut(text)
-        try:
-            return list(chain.from_iterable([known[p] for p in pieces]))
-        except KeyError:
-            if len(known) > KEPT_PIECES:
-                known.clear()
-            for p in pieces:
-                if p not in known:
-                    known[p] = self.transducer.encode(p.encode())
-            return list(chain.from_iterable([known[p] for p in pieces]))
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            if len(self.known) > KEPT_PIECES // 2:
+                self.known, self.older = {}, self.known
+            for k, ids in enumerate(found):
+                if ids is None:
+                    found[k] = self._learn(pieces[k])
+        return np.frombuffer(b"".join(found), np.int32)
+
+    def _learn(self, piece: str) -> bytes:
+        ids = self.known.get(piece) or self.older.get(piece)
+        if ids is None:
+            tokens = self.transducer.encode(piece.encode())
+            ids = struct.pack(f"={len(tokens)}i", *tokens)
+        self.known[piece] = ids
+        return ids
 
 
 # Fixed values of UTF-8: bytes that a lead byte asks for, and the bounds of the byte after some leads.
@@ -250,6 +308,32 @@ def decode_stream(ids: Iterable[int], bytes_of: dict[int, bytes] | list[bytes])
     yield stream.finish()
 
 
+class Decoder:
+    """Decodes whole lists of ids. Tokens that are whole characters leave the state machine where it was, so their text is kept; all others run through it."""
+
+    def __init__(self, bytes_of: dict[int, bytes]):
+        self.bytes_of = bytes_of
+        self.whole = {i: text for i, token in bytes_of.items() for text, open_ in [Utf8Stream.step(b"", token)] if not open_ and "�" not in text}
+
+    def decode(self, ids: list[int]) -> str:
+        parts = list(map(self.whole.get, ids))
+        if None not in parts:
+            return "".join(parts)
+        stream, out = Utf8Stream(), []
+        for i, part in zip(ids, parts, strict=True):
+            out.append(part if part is not None and not stream.open else stream.feed(self.bytes_of[i]))
+        return "".join(out) + stream.finish()
+
+
+@functools.lru_cache(2)
+def decoder(path: str) -> Decoder:
+    return Decoder(read_ranks_by_id(path))
+
+
+def read_ranks_by_id(path: str) -> dict[int, bytes]:
+    return {rank: token for token, rank in read_ranks(path).items()}
+
+
 @functools.lru_cache(2)
 def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
@@ -261,7 +345,7 @@ def encode_texts(df: DataFrame, ranks: str = RANKS, pattern: str = public_tokeni
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks, pattern)
         for b in pieces_of(batches):
-            ids = [np.asarray(enc.encode(t.decode()), np.int32) for t in texts_of(b)]
+            ids = [enc.encode(t.decode()) for t in texts_of(b)]
             ends = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) for x in ids], out=ends[1:])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids), pa.int32()))], names=["doc_id", "ids"])
@@ -273,20 +357,35 @@ def decode_ids(df: DataFrame, ranks: str = RANKS) -> DataFrame:
     """doc_id, ids and text of each row of encode_texts(): the ids run through the streaming decoder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of = encoder(ranks, public_tokenizers.PATTERN).transducer.bytes_of
+        decode = decoder(ranks).decode
         for b in batches:
             values, ends = np.asarray(b.column(1).values), np.asarray(b.column(1).offsets)
             for p in range(0, b.num_rows, 256):
                 part = b.slice(p, 256)
-                texts = ["".join(decode_stream(values[ends[k] : ends[k + 1]].tolist(), bytes_of)) for k in range(p, p + part.num_rows)]
+                texts = [decode(values[ends[k] : ends[k + 1]].tolist()) for k in range(p, p + part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     return df.select("doc_id", "ids").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
 
 
+def round_trip(df: DataFrame, ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """encode_texts() and decode_ids() of each row in one pass: doc_id, ids and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, dec = encoder(ranks, pattern), decoder(ranks)
+        for b in pieces_of(batches):
+            ids = [enc.encode(t.decode()) for t in texts_of(b)]
+            ends = np.zeros(len(ids) + 1, np.int32)
+            np.cumsum([len(x) for x in ids], out=ends[1:])
+            texts = pa.array([dec.decode(x.tolist()) for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids), pa.int32())), texts], names=["doc_id", "ids", "text"])
+
+    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again; the digests are of all its ids and bytes."""
-    out = decode_ids(encode_texts(documents(spark, sf_dir)))
+    out = round_trip(documents(spark, sf_dir))
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")
     )
