@@ -13,7 +13,7 @@ SIDECAR = ".meta."
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """path, length and modified of every file below a folder; contents aren't read."""
+    """path, length and modified of every file below a folder but empty ones, which Spark's readers pass over; contents aren't read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", F.col("modificationTime").alias("modified"))
 
 

@@ -34,11 +34,13 @@ def test_library(spark):
 def test_files(spark, tmp_path):
     for name in ("math/algebra/w1/A b.md", "math/algebra/w1/a-b.txt", "top.md", "math/x.meta.json", "math/y.exe"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / name).write_text("x" * ("exe" not in name))
+        (tmp_path / name).write_text("x")
     found = fl.classified(fl.listing(spark, tmp_path.as_uri()), str(tmp_path))
     assert sorted(r["resource_id"] for r in found.collect()) == ["math.algebra.w1.a-b", "math.algebra.w1.a-b-2", "technical.misc.m00.top"]
     issues = {r["path"].split("/")[-1]: r["issues"] for r in fl.file_issues(fl.listing(spark, tmp_path.as_uri())).collect()}
-    assert issues == {"y.exe": ["error: ending", "warning: empty"]}
+    assert issues == {"y.exe": ["error: ending"]}
+    empty = spark.createDataFrame([("/a/b.md", 0)], "path string, length bigint")
+    assert fl.file_issues(empty).first()["issues"] == ["warning: empty"]
     names = spark.createDataFrame([("../a/.b c?.md",)], "n string").select(fl.safe_name(F.col("n")), fl.is_resource_id(F.lit("a.b.c.d-1"))).first()
     assert tuple(names) == ("b_c_.md", True)
 
