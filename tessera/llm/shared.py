@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than the blank and U+0009 to U+000D.
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Bytes of text that a Python worker takes at a time.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +48,12 @@ def fold(key: str, n: int) -> F.Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % n, F.lit(1))
 
 
+def trim() -> None:
+    """Give memory that is free back to the system, where the C library can: a worker lives on after its task."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces_of(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of whole rows of about so many bytes of text; a longer text stands alone."""
     for batch in batches:
@@ -60,6 +68,7 @@ def pieces_of(batches: Iterator[pa.RecordBatch], text: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(ends, begun + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    trim()
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
@@ -94,6 +103,24 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+class Remembered(dict):
+    """Values of recent keys, in two generations of at most so many: made when asked for, taken over when asked for again, else forgotten."""
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
 def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts, each text's first word (n + 1 offsets), and the words' byte starts and ends in the texts joined by blanks.
 

@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.fm_index import FMIndex
-from tessera.llm.shared import _powers, documents, mix, pieces_of, stored, texts_of, word_hashes
+from tessera.llm.shared import _powers, documents, mix, pieces_of, stored, texts_of, trim, word_hashes
 
 WINDOW, GRAM = 20, 6
 #: Words of a shard; rows that a task gathers before it joins copies.
-SHARD_WORDS, GATHERED = 400_000, 600_000
+SHARD_WORDS, GATHERED = 250_000, 250_000
 _STEP = np.uint64(0x2545F4914F6CDD1D)
 _LAST = (1 << 63) - 1
 
@@ -177,7 +177,13 @@ def repeated_spans(df: DataFrame, window: int = WINDOW) -> DataFrame:
     wanted = unclear.join(large, "gram", "left").groupBy("k").agg(F.collect_list(F.struct("start", "words", "gram", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("wanted"))
     shards = -(-total // SHARD_WORDS)
     parts = _texts(docs.join(wanted, "k"), window).withColumn("shard", F.pmod(F.xxhash64("gram", "part"), F.lit(shards)))
-    spans = parts.groupBy("shard").applyInArrow(lambda shard: shard_spans(shard, window), "k bigint, start int, words int")
+
+    def search(shard: pa.Table) -> pa.Table:
+        out = shard_spans(shard, window)
+        trim()
+        return out
+
+    spans = parts.groupBy("shard").applyInArrow(search, "k bigint, start int, words int")
     return whole.union(stored(spans, "spans"))
 
 

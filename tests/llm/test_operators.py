@@ -67,7 +67,7 @@ def brute_repeats(corpus, window=20):
     return out
 
 
-@pytest.mark.parametrize("shard", [400_000, 60])
+@pytest.mark.parametrize("shard", [250_000, 60])
 def test_repeats_match_brute_force(spark, tables, corpus, monkeypatch, shard):
     monkeypatch.setattr("tessera.llm.substring_dedup.SHARD_WORDS", shard)
     got = {r[0]: r[1:] for r in rows_of(run(spark, tables, "op2_fm_dedup"), "doc_id", "n_words", "n_removed", "kept_sha256")}
