@@ -12,6 +12,7 @@ neighbours, ordered by text; very long texts are one row; an empty table gives a
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import os
 import re
@@ -19,7 +20,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import documents, pieces_of, shared_dir, stored, texts_of
+from tessera.llm.shared import Remembered, documents, pieces_of, shared_dir, stored, texts_of
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
-#: Words whose ids a Python worker keeps; beyond, it forgets all and begins again.
-CACHED_WORDS = 400_000
+#: Words whose ids a Python worker keeps in each of two generations.
+CACHED_WORDS = 120_000
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 64 << 10, 2_000
 
 
@@ -44,7 +44,7 @@ _SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0
 class WordEncoder:
     """A tokenizers file whose pre-tokenizer drops white space, so that a text's ids are its words' ids in turn.
 
-    Each word is encoded by the library once and remembered. A word of Latin letters in composed form, with or without
+    Each word is encoded by the library when it comes up, and remembered for a while. A word of Latin letters in composed form, with or without
     marks behind it, is just what the normalizer and pre-tokenizer cut in two, and goes straight to the library's model;
     every other word goes through the whole tokenizer. The strings of special tokens are ordinary text.
     """
@@ -56,8 +56,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words = Remembered(self._word, CACHED_WORDS)
         self.plain = self._is_plain(path)
 
     @staticmethod
@@ -68,42 +67,37 @@ class WordEncoder:
         steps = [x["type"] for part in (spec["normalizer"], spec["pre_tokenizer"]) for x in (part or {}).get("normalizers", (part or {}).get("pretokenizers", []))]
         return steps == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] and "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
 
-    def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            written = part if part.isascii() else part.encode().decode("latin-1").translate(_ALPHABET)
-            ids = self.parts[part] = struct.pack(f"<{len(found)}I", *found) if (found := [t.id for t in self.model.tokenize(written)]) else b""
-        return ids
-
-    def _learn(self, new: list[bytes]) -> None:
-        whole = []
-        for w in new:
-            m = _SIMPLE(w.decode()) if self.plain else None
-            if m:
+    def _part(self, key: bytes) -> bytes:
+        """The ids of letters in lower case."""
+        written = key.decode("ascii") if key.isascii() else key.decode("latin-1").translate(_ALPHABET)
+        found = [t.id for t in self.model.tokenize(written)]
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def _word(self, word: bytes) -> bytes:
+        if self.plain:
+            if word.isalpha():
+                low = word.lower()
+                return self._part(word) if low == word else self.words[low]
+            if word[:-1].isalpha() and word[-1] in b".,;:!?":
+                return self.words[word[:-1].lower()] + self.words[word[-1:]]
+            if m := _SIMPLE(word.decode()):
                 letters, marks = m.groups()
-                self.known[w] = self._part(letters.lower()) + self._part(marks) if marks else self._part(letters.lower())
-            else:
-                whole.append(w)
-        for at in range(0, len(whole), 4096):
-            part = whole[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+                low = letters.lower().encode()
+                return self._part(word) if low == word else self.words[low] + (self.words[marks.encode()] if marks else b"")
+        found = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        return struct.pack(f"<{len(found)}I", *found)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        words = [t.split() for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        if len(self.parts) > CACHED_WORDS:
-            self.parts = {}
-        known = self.known
-        self._learn([w for w in set(chain.from_iterable(words)) if w not in known])
-        return [b"".join([known[w] for w in ws]) for ws in words]
+        ids = self.words.__getitem__
+        return [b"".join(map(ids, t.split())) for t in texts]
 
 
 @functools.lru_cache(2)
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    made = WordEncoder(path)
+    gc.freeze()  # what is there now stays; looking for cycles in it again and again would cost
+    return made
 
 
 def encode_documents(df: DataFrame, end_id: int | None = END_ID, tokenizer: str = WORD_BPE) -> DataFrame:
