@@ -21,6 +21,18 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(l.c, d.doc_id) AS comp
 FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least l USING (doc_id)
 """
 
+REPEATS = f"""
+WITH docs AS (SELECT doc_id, {WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS start, unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))) AS k FROM docs WHERE len(w) >= 20),
+late AS (SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY k ORDER BY doc_id, start) AS nth FROM windows) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS pos FROM late),
+lists AS (SELECT doc_id, list(pos) AS gone FROM gone GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(gone, x[2])), lambda x: x[1]) END, ' ')) AS kept_sha256
+FROM docs LEFT JOIN lists USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_fm_dedup": REPEATS,
     "op9_minmax_dedup": NEAR.format(k=4, p=80),
 }
