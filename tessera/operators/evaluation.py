@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import cited, sentences
+from tessera.storage import running_total
 
 
 def retrieval_metrics(ranking: DataFrame, gold: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -39,8 +40,7 @@ def macro(metrics: DataFrame) -> DataFrame:
 def auc(scores: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve by rank sums, ties counted half. Equal scores are counted first, so no pair is ever a row."""
     counts = scores.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(score).agg(F.sum((F.col(label) == 1).cast("bigint")).alias("pos"), F.sum((F.col(label) == 0).cast("bigint")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = counts.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    won = running_total(counts, score, "neg", "below").withColumn("won", F.col("pos") * (F.col("below") + F.col("neg") / 2))
     return won.agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), F.round(F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0)), 6).alias("auc"))
 
 

@@ -2,29 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import constants as c
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder name under the one that driver and executors share."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return f"{named.rstrip('/')}/graph-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from tessera.storage import stored
 
 
 def hierarchy(levels: list[tuple[DataFrame, str, str, str | None, str]]) -> tuple[DataFrame, DataFrame]:

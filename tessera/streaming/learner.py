@@ -11,8 +11,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera import constants as c
-from tessera.operators.graph import scratch
 from tessera.operators.learner import learner_events
+from tessera.storage import scratch
 
 
 def event_stream(spark: SparkSession, path: str, files_a_batch: int | None = None) -> DataFrame:

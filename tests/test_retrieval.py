@@ -98,3 +98,14 @@ def test_answers_cite_their_items(spark):
     chosen = spark.createDataFrame([(0, 1, "Cats sleep. A pool shrinks maps. Dogs bark.")], "item_id bigint, place int, text string")
     out = evd.answers(evd.best_sentences(chosen, ask(spark, "what shrinks maps"))).first()
     assert out["answer"] == "A pool shrinks maps [C1]." and out["valid"] == ["C1"]
+
+
+def test_running_totals_over_many_ranges(spark):
+    from tessera.storage import running_total
+
+    df = spark.range(500).selectExpr("(id * 37) % 501 AS k", "id % 7 AS v").repartition(5)
+    rows = sorted((r["k"], r["v"], r["s"]) for r in running_total(df, "k", "v", "s").collect())
+    total = 0
+    for _, v, s in rows:
+        assert s == total
+        total += v
