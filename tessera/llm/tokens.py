@@ -32,7 +32,7 @@ from tessera.llm.shared import Remembered, documents, pieces_of, shared_dir, sto
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 #: Words whose ids a Python worker keeps in each of two generations.
-CACHED_WORDS = 120_000
+CACHED_WORDS = 250_000
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 64 << 10, 2_000
 
 
