@@ -10,7 +10,7 @@ The model is fitted on at most MOST_ROWS labelled rows, those with the least has
 the one task that fits it holds at most 100 MB. Every document is scored, whole, with its text as the only input.
 
 Defined cases: null texts are empty ones and score by the bias alone; rows without a label, or whose label isn't 0 or 1,
-teach nothing; repeated labels of a document count each; without labels of both classes the score is the smoothed share of
+teach nothing; rows that repeat a doc_id teach once for each of its labels, by their least text; without labels of both classes the score is the smoothed share of
 class 1; a null doc_id is never held out; an empty table gives no rows.
 """
 
@@ -165,7 +165,8 @@ def train(df: DataFrame, labels: DataFrame, label: str = "quality", most: int =
         return pa.table({"weights": pa.array([weights.tobytes()], pa.binary()), "scale": pa.array([scale.tobytes()], pa.binary())})
 
     # At most so many ids: small whatever the size of the tables.
-    rows = df.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "label", "order").mapInArrow(see, "label int, order bigint, bits binary")
+    taught = df.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "label", "order").agg(F.min("text").alias("text"))
+    rows = taught.select("text", "label", "order").mapInArrow(see, "label int, order bigint, bits binary")
     model = rows.groupBy(F.lit(1).alias("one")).applyInArrow(learn, "weights binary, scale binary").first()
     if model is None:
         return fit(np.zeros((0, WIDTH // 8), np.uint8), np.zeros(0, np.int64))
