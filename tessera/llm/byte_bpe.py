@@ -30,7 +30,7 @@ from tessera.llm.shared import documents, pieces_of, texts_of
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: How many states and pieces a Python worker keeps before it begins anew.
-KEPT_STATES, KEPT_PIECES = 60_000, 300_000
+KEPT_STATES, KEPT_PIECES = 60_000, 500_000
 #: How often a step must be asked for to be built.
 BUILT_AT = 8
 
