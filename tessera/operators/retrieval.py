@@ -47,7 +47,9 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = c.TOP_K, allowed: DataFra
     stats = corpus_statistics(docs).first()
     n, mean = stats["documents"], stats["mean_length"] or 1.0
     asked = query_terms(queries)
-    hits = postings(docs).join(asked.select("term").distinct(), "term", "left_semi")
+    # Only words that some query asks for are counted.
+    words = docs.select("doc_id", tokens(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    hits = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     if allowed is not None:
         hits = hits.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -61,10 +63,9 @@ def set_cosine(queries: DataFrame, docs: DataFrame, k: int = c.TOP_K) -> DataFra
     """item_id, doc_id, score and rank by the cosine of term sets."""
     asked = query_terms(queries)
     sizes = asked.groupBy("item_id").agg(F.count("*").alias("nq"))
-    words = postings(docs)
-    lengths = words.groupBy("doc_id").agg(F.count("*").alias("nd"))
-    both = words.select("doc_id", "term").join(asked, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
-    scored = both.join(sizes, "item_id").join(lengths, "doc_id").select("item_id", "doc_id", (F.col("n") / F.sqrt(F.col("nq") * F.col("nd"))).alias("score"))
+    words = docs.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("w")).select("doc_id", F.size("w").alias("nd"), F.explode("w").alias("term"))
+    both = words.join(asked, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"), F.first("nd").alias("nd"))
+    scored = both.join(sizes, "item_id").select("item_id", "doc_id", (F.col("n") / F.sqrt(F.col("nq") * F.col("nd"))).alias("score"))
     return ranked(scored, "item_id", "doc_id", k=k)
 
 
