@@ -48,9 +48,31 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _exponentials(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp(x) (in x's place) and its sums by row, both up to a factor for each row, and by the same factor the log of exp(x) at the places.
+
+    One factor for all rows is enough unless they lie far apart; then each row has its own.
+    """
+    most = x.max(initial=0)
+    if most - x.min(initial=0) > 60:
+        most = x.max(axis=1, keepdims=True)
+    x -= most
+    said = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    return x, x @ np.ones(x.shape[1], x.dtype), said
+
+
+def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row its softmax (in x's place) and the log of what it gives the place at."""
+    x, sums, said = _exponentials(x, at)
+    x /= sums[:, None]
+    return x, said - np.log(sums)
+
+
+def _log_of(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log of what each row's softmax gives the place at; x is used up."""
+    _, sums, said = _exponentials(x, at)
+    return said - np.log(sums)
 
 
 def step(w: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -66,14 +88,14 @@ def step(w: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.nda
 def log_likelihood(w: dict[str, np.ndarray], borders: np.ndarray, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log probability of each target after its state: of its class, then of the word in the class."""
     of = np.searchsorted(borders, targets, "right") - 1
-    out = _log_softmax(h @ w["to_class"] + w["class_bias"])[np.arange(len(targets)), of]
+    out = _log_of(h @ w["to_class"] + w["class_bias"], of)
     order = np.argsort(of, kind="stable")
     cuts = np.searchsorted(of[order], np.arange(len(borders)))
     for c in range(len(borders) - 1):
         rows = order[cuts[c] : cuts[c + 1]]
         if len(rows):
             p, q = borders[c], borders[c + 1]
-            out[rows] += _log_softmax(h[rows] @ w["to_word"][p:q].T + w["word_bias"][p:q])[np.arange(len(rows)), targets[rows] - p]
+            out[rows] += _log_of(h[rows] @ w["to_word"][p:q].T + w["word_bias"][p:q], targets[rows] - p)
     return out
 
 
@@ -95,9 +117,8 @@ def window_gradient(w: dict[str, np.ndarray], borders: np.ndarray, inputs: np.nd
     total = max(1.0, float(weight.sum()))
     of = np.searchsorted(borders, goal, "right") - 1
     rows_all = np.arange(len(goal))
-    log_p = _log_softmax(flat @ w["to_class"] + w["class_bias"])
-    loss = -float((log_p[rows_all, of] * weight).sum())
-    g = np.exp(log_p)
+    g, said = _softmax(flat @ w["to_class"] + w["class_bias"], of)
+    loss = -float((said * weight).sum())
     g[rows_all, of] -= 1
     g *= (weight / total)[:, None]
     out = {"to_class": flat.T @ g, "class_bias": g.sum(axis=0), "to_word": np.zeros_like(w["to_word"]), "word_bias": np.zeros_like(w["word_bias"])}
@@ -108,13 +129,12 @@ def window_gradient(w: dict[str, np.ndarray], borders: np.ndarray, inputs: np.nd
         rows = order[cuts[c] : cuts[c + 1]]
         if len(rows):
             p, q = borders[c], borders[c + 1]
-            log_p = _log_softmax(flat[rows] @ w["to_word"][p:q].T + w["word_bias"][p:q])
-            at = goal[rows] - p
-            loss -= float((log_p[np.arange(len(rows)), at] * weight[rows]).sum())
-            g = np.exp(log_p)
+            at, own = goal[rows] - p, flat[rows]
+            g, said = _softmax(own @ w["to_word"][p:q].T + w["word_bias"][p:q], at)
+            loss -= float((said * weight[rows]).sum())
             g[np.arange(len(rows)), at] -= 1
             g *= (weight[rows] / total)[:, None]
-            out["to_word"][p:q] = g.T @ flat[rows]
+            out["to_word"][p:q] = g.T @ own
             out["word_bias"][p:q] = g.sum(axis=0)
             d_states[rows] += g @ w["to_word"][p:q]
     d_states = d_states.reshape(steps, lanes, n)
