@@ -1,4 +1,4 @@
-"""A compressed full-text index of integer sequences: BWT in a wavelet matrix, backward search, matching statistics."""
+"""A compressed full-text index of integer sequences: BWT in a wavelet matrix, backward search, matching statistics, sampled places."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ import functools
 
 import numpy as np
 
+#: Of so many places one is kept; the others are found by steps through the BWT.
+SAMPLE = 8
+
 
 class Bits:
     """A bit vector with counts of ones before each 64-bit word."""
@@ -25,6 +28,9 @@ class Bits:
         below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
         return self.before[word] + np.bitwise_count(self.words[word] & below)
 
+    def get(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
 
 class WaveletMatrix:
     """Counts of a symbol before a place, for symbols from 0 to size - 1, in a number of steps that is the symbols' bit length."""
@@ -47,13 +53,23 @@ class WaveletMatrix:
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         return self._descend(symbol, at) - self.begin[symbol]
 
+    def access(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at each place, and how many like it are before."""
+        symbol = np.zeros(len(at), np.int64)
+        for shift, bits, zeros in self.levels:
+            bit, ones = bits.get(at), bits.rank(at)
+            symbol |= bit.astype(np.int64) << shift
+            at = np.where(bit, zeros + ones, at - ones)
+        return symbol, at - self.begin[symbol]
+
 
 class FMIndex:
     """The index of sequences of positive integers, joined with 0 between them.
 
     It knows matches up to a given length: suffixes are ordered by their first 32 symbols, which is enough for matches of up
     to 31. Kept are the wavelet matrix of the BWT, where each symbol's suffixes begin, the capped lengths that neighbours in
-    suffix order have in common, and of each suffix its place.
+    suffix order have in common (a byte each), and one place in SAMPLE. Suffixes that end with the text are in order of
+    their places.
     """
 
     def __init__(self, text: np.ndarray, most: int):
@@ -68,8 +84,8 @@ class FMIndex:
             rank = np.unique(rank * (n + 1) + after, return_inverse=True)[1]
             width *= 2
             ranks[width] = rank
-        self.places = np.argsort(rank, kind="stable")
-        a, b, common = self.places[:-1], self.places[1:], np.zeros(max(0, n - 1), np.int64)
+        places = np.argsort(rank, kind="stable")
+        a, b, common = places[:-1], places[1:], np.zeros(max(0, n - 1), np.int64)
         for width in (16, 8, 4, 2, 1):
             x, y = a + common, b + common
             inside = (x < n) & (y < n)
@@ -80,8 +96,32 @@ class FMIndex:
         self.size = int(values[-1]) + 1
         self.first = np.zeros(self.size + 1, np.int64)
         np.cumsum(np.bincount(text, minlength=self.size), out=self.first[1:])
-        self.matrix = WaveletMatrix(text[self.places - 1], self.size)
+        self.matrix = WaveletMatrix(text[places - 1], self.size)
         self.n = n
+        self._sample(places)
+
+    def _sample(self, places: np.ndarray) -> None:
+        """Keep one place in SAMPLE, and those from which a step through the BWT would not come to the suffix one place before: suffixes with 32 equal symbols are not told apart by what follows."""
+        order = np.empty(self.n, np.int64)
+        order[places] = np.arange(self.n)
+        kept = places % SAMPLE == 0
+        kept |= self.step(np.arange(self.n)) != order[places - 1]
+        self.sampled, self.kept_places = Bits(kept), places[kept].astype(np.int32)
+
+    def step(self, rows: np.ndarray) -> np.ndarray:
+        """The suffixes that begin one symbol before."""
+        symbol, before = self.matrix.access(rows)
+        return self.first[symbol] + before
+
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """Where suffixes begin: steps to the next sampled one, at most SAMPLE - 1 of them."""
+        place, steps, waiting = np.zeros(len(rows), np.int64), 0, np.arange(len(rows))
+        while len(waiting):
+            there = self.sampled.get(rows)
+            place[waiting[there]] = self.kept_places[self.sampled.rank(rows[there])] + steps
+            waiting, rows = waiting[~there], self.step(rows[~there])
+            steps += 1
+        return place
 
     @functools.lru_cache(None)  # noqa: B019  the index lives as long as its shard
     def borders(self, depth: int) -> np.ndarray:

@@ -1,19 +1,22 @@
 """Removal of repeated passages by compressed FM-indexes.
 
 A window is so many words of one document. Its key is the least hash among its runs of six words, so equal windows have
-equal keys. A segment is a run of windows of one document with the same key. Segments with the same words stand for one
-another: of each only the first occurrence (least doc_id, then start) is looked at further, all others go. A key with one
-segment is done; the segments of the others are dealt to shards by key. Each shard builds an FM-index over its segments (a
-wavelet matrix of the BWT) and streams them through it: backward search gives the matching statistics, and every window
-whose match is as long as the window has an interval of suffixes, among which is its first place. Windows that aren't
-there go. So a document is only ever held against what shares a key with it, never against all shards.
-
-Copies are already joined where they are read, so that a key that very many documents hold has a row a task. Keys with more
-text than a shard are split by the hash of their windows.
-
-Defined cases: null and empty texts and those shorter than a window lose nothing; very long texts are one document; a null
-doc_id counts as the largest; rows that share a doc_id share its places, so that equal ones both stay; repeated passages
-within a document go as well; other columns are kept; an empty table gives no rows.
+equal keys. A segment is a run of windows of one document with the same key. A key that comes up once holds nothing that
+repeats, and that is all that keys decide. The segments of the others are dealt to shards by key: of each distinct segment
+the first (least doc_id, then start) goes into the shard's FM-index (a wavelet matrix of the BWT, sampled places), and
+every segment with the key, of whatever document, is streamed through it. Backward search gives the matching statistics;
+the places in the interval of a match as long as a window tell where the window is first, and windows that start
+elsewhere go. Words are compared as they are, hashes only say which words to compare. Segments equal word for word are
+searched once a shard. So a document is only ever held against what shares a key with it, never against all shards.
+
+A key that very many documents hold is salted: its index stands in several shards, each of which streams a part of its
+segments. A key with more distinct text than a shard (a passage in ever other surroundings) is replaced by keys of single
+windows, of which those that come up once drop out, so that no index outgrows a shard.
+
+Defined cases: null and empty texts and those shorter than a window lose nothing; very long texts are one document; a row
+is known by its doc_id and its text, so rows that share a doc_id but not the text are different documents, in order of the
+texts' hashes, and rows equal in both are one document, whose copies lose the same words; a null doc_id counts as the
+largest; repeated passages within a document go as well; other columns are kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,17 +26,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.fm_index import FMIndex
 from tessera.llm.shared import _powers, documents, mix, pieces_of, stored, texts_of, trim, word_hashes
 
 WINDOW, GRAM = 20, 6
-#: Words of a shard; rows that a task gathers before it joins copies.
-SHARD_WORDS, GATHERED = 250_000, 250_000
+#: Words of a shard, of an index, and of what a key streams through one index.
+SHARD_WORDS = 250_000
+#: Segments that a task gathers before it joins equal keys.
+GATHERED = 250_000
 _STEP = np.uint64(0x2545F4914F6CDD1D)
 _LAST = (1 << 63) - 1
+_K, _H = "__tessera_k", "__tessera_h"
 
 
 def least_of(values: np.ndarray, width: int) -> np.ndarray:
@@ -70,126 +76,205 @@ def segments_of(words: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ..
     return keys[starts], codes_of(words, starts, ends), starts, ends - starts, twice
 
 
-def _segments(df: DataFrame, window: int) -> DataFrame:
-    """gram, code, k (doc_id), start, words, twice and late of every segment; late ones repeat another of the same task."""
+def identified(df: DataFrame) -> DataFrame:
+    """df with what tells its documents apart, in their order: the doc_id (null: the largest bigint) and a hash of doc_id and text."""
+    return df.withColumns({_K: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)), _H: F.xxhash64("doc_id", "text")})
 
-    def flush(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        gram, code, k, start, words, twice = (np.concatenate(c) for c in zip(*rows, strict=True))
-        order = np.lexsort((start, k, code, gram))
-        gram, code, k, start, words, twice = gram[order], code[order], k[order], start[order], words[order], twice[order]
-        late = np.zeros(len(gram), bool)
-        late[1:] = (gram[1:] == gram[:-1]) & (code[1:] == code[:-1]) & ((k[1:] != k[:-1]) | (start[1:] != start[:-1]))
-        gram = np.where(late, mix(code ^ k.view(np.uint64) ^ start.astype(np.uint64) * _STEP), gram)  # they need no meeting
-        columns = [gram.view(np.int64), code.view(np.int64), k, start.astype(np.int32), words.astype(np.int32), twice, late]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "code", "k", "start", "words", "twice", "late"])
+
+def _of_documents(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple]:
+    """The row, batch and segments of every document that has a window."""
+    for b in pieces_of(batches):
+        hashes, firsts, _, _ = word_hashes(texts_of(b))
+        for row in np.flatnonzero(np.diff(firsts) >= window).tolist():
+            yield b, row, segments_of(hashes[firsts[row] : firsts[row + 1]], window)
+
+
+def _keys(docs: DataFrame, window: int) -> DataFrame:
+    """gram, n and twice: how many segments have each key, and whether a window may be twice in one; summed in parts of a task."""
+
+    def joined(gram: list[np.ndarray], twice: list[np.ndarray]) -> pa.RecordBatch:
+        keys, at, n = np.unique(np.concatenate(gram), return_inverse=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(np.bincount(at, np.concatenate(twice)) > 0)], names=["gram", "n", "twice"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, n = [], 0
-        for b in pieces_of(batches):
-            hashes, firsts, _, _ = word_hashes(texts_of(b))
-            for k, p, q in zip(b.column(0).to_pylist(), firsts[:-1], firsts[1:], strict=True):
-                if q - p >= window:
-                    gram, code, start, words, twice = segments_of(hashes[p:q], window)
-                    rows.append((gram, code, np.full(len(gram), k, np.int64), start, words, twice))
-                    n += len(gram)
+        grams, twices, n = [], [], 0
+        for _, _, (gram, _, _, _, twice) in _of_documents(batches, window):
+            grams.append(gram)
+            twices.append(twice)
+            n += len(gram)
             if n > GATHERED:
+                yield joined(grams, twices)
+                grams, twices, n = [], [], 0
+        if n:
+            yield joined(grams, twices)
+
+    return docs.select("text").mapInArrow(run, "gram bigint, n bigint, twice boolean")
+
+
+def _segments(docs: DataFrame, window: int) -> DataFrame:
+    """gram (the key), code, k, h, start and words of every segment."""
+
+    def flush(rows: list[tuple]) -> pa.RecordBatch:
+        gram, code, k, h, start, words = (np.concatenate(c) for c in zip(*rows, strict=True))
+        columns = [gram.view(np.int64), code.view(np.int64), k, h, start.astype(np.int32), words.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "code", "k", "h", "start", "words"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, n = [], 0
+        for b, row, (gram, code, start, words, _) in _of_documents(batches, window):
+            rows.append((gram, code, np.full(len(gram), b.column(0)[row].as_py(), np.int64), np.full(len(gram), b.column(1)[row].as_py(), np.int64), start, words))
+            n += len(gram)
+            if n > 20_000:
                 yield flush(rows)
                 rows, n = [], 0
         if rows:
             yield flush(rows)
 
-    return df.select("k", "text").mapInArrow(run, "gram bigint, code bigint, k bigint, start int, words int, twice boolean, late boolean")
+    return docs.select("k", "h", "text").mapInArrow(run, "gram bigint, code bigint, k bigint, h bigint, start int, words int")
 
 
-def _texts(df: DataFrame, window: int) -> DataFrame:
-    """gram, part, k, start and text of every segment listed in the column wanted; a key of several parts is split by the hashes of its windows."""
+def _windows(docs: DataFrame, met: DataFrame, window: int) -> DataFrame:
+    """The windows of segments as segments of their own, each with itself as the key; those that come up once drop out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces_of(batches):
-            out: list[tuple] = []
-            texts = texts_of(b)
-            hashes, firsts, _, _ = word_hashes(texts)
-            for row, (k, text, wanted) in enumerate(zip(b.column(0).to_pylist(), texts, b.column(2).to_pylist(), strict=True)):
-                words = text.split()
+            hashes, firsts, _, _ = word_hashes(texts_of(b))
+            for k, h, at, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), firsts, b.column(3).to_pylist(), strict=False):
                 for x in wanted:
-                    p, q = x["start"], x["start"] + x["words"]
-                    if x["parts"] == 1:
-                        out.append((x["gram"], 0, k, p, b" ".join(words[p:q])))
-                        continue
-                    own = hashes[firsts[row] + p : firsts[row] + q]
-                    at = np.arange(len(own) - window + 1)
-                    part = (codes_of(own, at, at + window) % np.uint64(x["parts"])).astype(np.int64)
-                    cut = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
-                    out += [(x["gram"], int(part[s]), k, p + int(s), b" ".join(words[p + s : p + e + window - 1])) for s, e in zip(cut[:-1], cut[1:], strict=True)]
-            gram, part, key, start, text = zip(*out, strict=True) if out else ((),) * 5
-            yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(part, pa.int32()), pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(text, pa.binary())], names=["gram", "part", "k", "start", "words"])
+                    for p in range(x["start"], x["start"] + x["words"] - window + 1, 20_000):
+                        start = np.arange(p, min(p + 20_000, x["start"] + x["words"] - window + 1))
+                        code = pa.array(codes_of(hashes[at + p : at + start[-1] + window], start - p, start - p + window).view(np.int64))
+                        fixed = [pa.array(np.full(len(start), v, t)) for v, t in ((k, np.int64), (h, np.int64), (window, np.int32))]
+                        yield pa.RecordBatch.from_arrays([code, code, fixed[0], fixed[1], pa.array(start.astype(np.int32)), fixed[2]], names=["gram", "code", "k", "h", "start", "words"])
+
+    wanted = met.groupBy("k", "h").agg(F.collect_list(F.struct("start", "words")).alias("wanted"))
+    rows = docs.join(wanted, ["k", "h"]).select("k", "h", "text", "wanted").mapInArrow(run, "gram bigint, code bigint, k bigint, h bigint, start int, words int")
+    rows = stored(rows.distinct(), "windows")  # copies of a row have the same windows
+    return rows.join(rows.groupBy("gram").count().where("count > 1"), "gram", "left_semi")
+
 
-    return df.select("k", "text", "wanted").mapInArrow(run, "gram bigint, part int, k bigint, start int, words binary")
+def _first(met: DataFrame) -> DataFrame:
+    """Of each distinct segment the first one, and how many there are."""
+    return met.groupBy("gram", "code").agg(F.min(F.struct("k", "h", "start")).alias("at"), F.max("words").alias("words"), F.count("*").alias("n"))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """shard, first (it goes into the index), k, h, start and words of every segment listed in the column wanted."""
+    names = ["shard", "first", "k", "h", "start", "words"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces_of(batches):
+            for k, h, text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b), b.column(3).to_pylist(), strict=True):
+                words, roles = text.split(), {}
+                for x in wanted:
+                    key = x["shard"], x["start"], x["words"]
+                    roles[key] = roles.get(key, False) or x["first"]
+                items = list(roles.items())
+                for p in range(0, len(items), 20_000):
+                    part = items[p : p + 20_000]
+                    columns = [
+                        pa.array([s for (s, _, _), _ in part], pa.int32()), pa.array([f for _, f in part], pa.bool_()), pa.array(np.full(len(part), k, np.int64)), pa.array(np.full(len(part), h, np.int64)),
+                        pa.array([a for (_, a, _), _ in part], pa.int32()), pa.array([b" ".join(words[a : a + n]) for (_, a, n), _ in part], pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.select("k", "h", "text", "wanted").mapInArrow(run, "shard int, first boolean, k bigint, h bigint, start int, words binary")
 
 
 def shard_spans(shard: pa.Table, window: int = WINDOW) -> pa.Table:
-    """The spans of a shard's segments (k, start, words) whose windows also start earlier in the shard."""
-    hashes, firsts, _, _ = word_hashes(shard["words"].to_pylist())
-    symbols = np.unique(hashes, return_inverse=True)[1] + 1
-    sizes = np.diff(firsts)
-    # Segments joined, a 0 after each.
-    text = np.zeros(len(symbols) + len(sizes), np.int64)
-    starts = firsts[:-1] + np.arange(len(sizes))
-    within = np.arange(len(symbols)) - np.repeat(firsts[:-1], sizes)
-    text[np.repeat(starts, sizes) + within] = symbols
-    index = FMIndex(text, window)
-    length, lows, _ = index.matching_statistics(text, starts, starts + sizes)
-    k, first = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
-    k[np.repeat(starts, sizes) + within] = np.repeat(np.asarray(shard["k"]), sizes)
-    first[np.repeat(starts, sizes) + within] = np.repeat(np.asarray(shard["start"]).astype(np.int64), sizes) + within
-    # Places in the order of documents and words; equal places are one.
-    order = np.lexsort((first, k))
-    place = np.empty(len(text), np.int64)
-    place[order] = np.cumsum(np.concatenate([[0], (k[order][1:] != k[order][:-1]) | (first[order][1:] != first[order][:-1])]))
-    borders = index.borders(window)
-    earliest = np.minimum.reduceat(place[index.places], borders[:-1])
-    at = np.flatnonzero(length == window)
-    at = at[earliest[np.searchsorted(borders, lows[at])] < place[at]]
-    # Windows that overlap or touch make one span.
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] - at[:-1] > 1) | (k[at][1:] != k[at][:-1])
+    """The spans (k, h, start, words) of a shard's segments whose windows start earlier, by the index of the shard's first ones."""
+    shard = shard.combine_chunks()
+    encoded = shard["words"].combine_chunks().dictionary_encode()
+    texts, of = encoded.dictionary.to_pylist(), np.asarray(encoded.indices)
+    ks, hs, starts, first = (np.asarray(shard[c]) for c in ("k", "h", "start", "first"))
+    # The index: distinct words are numbered, segments stand in the order of documents and places, a 0 after each.
+    inside = np.flatnonzero(first)
+    inside = inside[np.lexsort((starts[inside], hs[inside], ks[inside]))]
+    number: dict[bytes, int] = {}
+    split = [t.split() for t in texts]
+    symbols = [np.asarray([number.setdefault(w, len(number) + 1) for w in split[k]] + [0], np.int64) for k in of[inside].tolist()]
+    index = FMIndex(np.concatenate(symbols), window)
+    begins = np.cumsum([0, *map(len, symbols)])[:-1]
+    # Distinct segments are streamed through it.
+    queries = np.asarray([number.get(w, 0) for words in split for w in words], np.int64)
+    sizes = np.asarray([len(words) for words in split], np.int64)
+    at = np.cumsum(sizes) - sizes
+    length, lows, _ = index.matching_statistics(queries, at, at + sizes)
+    # Where each window found is first: the least of its interval's places.
+    hits = np.flatnonzero(length == window)
+    groups, member = np.unique(lows[hits].astype(np.int64), return_inverse=True)
+    width = index.group(groups, window)[1] - groups
+    edge = np.cumsum(width) - width
+    rows = np.arange(int(width.sum())) - np.repeat(edge - groups, width)
+    earliest = np.full(len(queries), -1, np.int64)
+    if len(hits):
+        earliest[hits] = np.minimum.reduceat(index.locate(rows), edge)[member]
+    # Every segment, copies too, is held against these places.
+    n = sizes[of] - window + 1
+    row = np.repeat(np.arange(len(of)), n)
+    off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    place = earliest[at[of[row]] + off]
+    source = np.searchsorted(begins, place, "right") - 1
+    lead = inside[np.maximum(source, 0)]
+    own = (ks[lead] == ks[row]) & (hs[lead] == hs[row]) & (starts[lead] + place - begins[np.maximum(source, 0)] == starts[row] + off)
+    gone = np.flatnonzero((place >= 0) & ~own)
+    # Windows that follow one another make one span.
+    new = np.ones(len(gone), bool)
+    new[1:] = (row[gone][1:] != row[gone][:-1]) | (gone[1:] - gone[:-1] > 1)
     head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(at))[: len(head)] - 1
-    return pa.table({"k": pa.array(k[at[head]]), "start": pa.array(first[at[head]].astype(np.int32)), "words": pa.array((at[tail] - at[head] + window).astype(np.int32))})
+    tail = np.append(head[1:], len(gone))[: len(head)] - 1
+    rows = row[gone[head]]
+    spans = {"k": ks[rows], "h": hs[rows], "start": (starts[rows] + off[gone[head]]).astype(np.int32), "words": (gone[tail] - gone[head] + window).astype(np.int32)}
+    return pa.table({c: pa.array(v) for c, v in spans.items()})
+
+
+def shards_of(docs: DataFrame, window: int = WINDOW) -> DataFrame | None:
+    """The rows of _texts() for documents (k, h, text): every segment whose key comes up again, dealt to shards; None where there is none."""
+    keys = _keys(docs, window).groupBy("gram").agg(F.sum("n").alias("n"), F.max("twice").alias("twice")).where("n > 1 OR twice")
+    met = stored(_segments(docs, window).join(keys, "gram", "left_semi"), "segments")
+    codes = stored(_first(met), "codes")
+    loads = lambda codes: codes.groupBy("gram").agg(F.sum("words").alias("own"), F.sum(F.col("words") * F.col("n")).alias("streamed"))
+    wide = loads(codes).where(F.col("own") > SHARD_WORDS)
+    if not wide.isEmpty():
+        wide = stored(wide.select("gram"), "wide")
+        windows = stored(_windows(docs, met.join(wide, "gram", "left_semi"), window), "windows")
+        met = met.join(wide, "gram", "left_anti").union(windows)
+        codes = stored(codes.join(wide, "gram", "left_anti").union(_first(windows)), "codes")
+    salts = F.greatest(F.lit(1), F.ceil(16 * F.col("streamed") / SHARD_WORDS)).cast("int")
+    sizes = stored(loads(codes).withColumn("salts", salts), "loads")
+    total = sizes.agg(F.sum(F.col("streamed") + F.col("own") * F.col("salts"))).first()[0]
+    if not total:
+        return None
+    many, n = sizes.where("salts > 1").select("gram", "salts"), F.coalesce("salts", F.lit(1))
+    place = ["k", "h", "start", "words", "gram"]
+    streamed = met.join(many, "gram", "left").select(*place, F.pmod(F.xxhash64("k", "h", "start"), n).cast("int").alias("salt"), F.lit(False).alias("first"))
+    index = codes.select("gram", "at.*", "words").join(many, "gram", "left").select(*place, F.explode(F.sequence(F.lit(0), n - 1)).alias("salt"), F.lit(True).alias("first"))
+    shard = F.pmod(F.xxhash64("gram", "salt"), F.lit(-(-total // SHARD_WORDS))).cast("int")
+    wanted = streamed.union(index).groupBy("k", "h").agg(F.collect_list(F.struct(shard.alias("shard"), "start", "words", "first")).alias("wanted"))
+    if not docs.groupBy("k", "h").count().where("count > 1").isEmpty():
+        docs = docs.dropDuplicates(["k", "h"])
+    return _texts(docs.join(wanted, ["k", "h"]))
 
 
 def repeated_spans(df: DataFrame, window: int = WINDOW) -> DataFrame:
-    """k (doc_id; null: the largest bigint), start and words of spans of words whose windows also start earlier. Spans may overlap."""
-    docs = df.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("k"), "text")
-    order = F.row_number().over(Window.partitionBy("gram", "code").orderBy("k", "start"))
-    same = F.rank().over(Window.partitionBy("gram", "code").orderBy("k", "start"))
-    met = _segments(docs, window).repartition("gram").withColumn("nth", same).withColumn("row", order)
-    met = met.withColumn("codes", F.sum(F.when((F.col("row") == 1) & ~F.col("late"), 1).otherwise(0)).over(Window.partitionBy("gram")))
-    gone, unclear = F.col("late") | (F.col("nth") > 1), (F.col("row") == 1) & ((F.col("codes") > 1) | F.col("twice"))
-    marks = met.where(gone | unclear).select("k", "start", "words", F.when(gone, F.lit(None)).otherwise(F.col("gram")).alias("gram"))
-    marks = stored(marks, "segments")
-    whole, unclear = marks.where("gram IS NULL").select("k", "start", "words"), marks.where("gram IS NOT NULL")
-    sizes = unclear.groupBy("gram").agg(F.sum("words").alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0]
-    if not total:
-        return whole
-    large = sizes.where(F.col("n") > SHARD_WORDS).select("gram", F.ceil(F.col("n") / SHARD_WORDS).cast("int").alias("parts"))
-    wanted = unclear.join(large, "gram", "left").groupBy("k").agg(F.collect_list(F.struct("start", "words", "gram", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("wanted"))
-    shards = -(-total // SHARD_WORDS)
-    parts = _texts(docs.join(wanted, "k"), window).withColumn("shard", F.pmod(F.xxhash64("gram", "part"), F.lit(shards)))
+    """k and h (see identified()), start and words of spans of words whose windows also start earlier. Spans may overlap."""
+    parts = shards_of(identified(df).select(F.col(_K).alias("k"), F.col(_H).alias("h"), "text"), window)
+    shape = "k bigint, h bigint, start int, words int"
+    if parts is None:
+        return df.sparkSession.createDataFrame([], shape)
 
     def search(shard: pa.Table) -> pa.Table:
         out = shard_spans(shard, window)
         trim()
         return out
 
-    spans = parts.groupBy("shard").applyInArrow(search, "k bigint, start int, words int")
-    return whole.union(stored(spans, "spans"))
+    return stored(parts.groupBy("shard").applyInArrow(search, shape), "spans")
 
 
 def _with_spans(df: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    by_doc = spans.groupBy("k").agg(F.collect_list(F.struct("start", "words")).alias(key)).withColumnRenamed("k", f"{key}_k")
-    return df.withColumn(f"{key}_own", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST))).join(by_doc, F.col(f"{key}_own") == F.col(f"{key}_k"), "left").drop(f"{key}_own", f"{key}_k")
+    """df with the array of its documents' spans; nothing else tells rows apart than what identified() says."""
+    by_doc = spans.groupBy(F.col("k").alias(_K), F.col("h").alias(_H)).agg(F.collect_list(F.struct("start", "words")).alias(key))
+    return identified(df).join(by_doc, [_K, _H], "left").drop(_K, _H)
 
 
 def _keep(text: bytes, spans: list | None) -> tuple[list[bytes], int]:
