@@ -3,9 +3,12 @@
 Merging by rank gives each byte string one token sequence, and a sequence is that one exactly if every two neighbours in it
 are what merging gives for their joined bytes. So the tokenizer is a nondeterministic transducer: its state is the last
 token and a place in the trie of tokens, and at each token's end it may emit and return to the root if the pair is allowed.
-Here it is determinised as it is used. A state of the result is the set of live readings; what all of them agree on is
-emitted, which needs but a bounded lookahead. A step is built when it has been asked for some times; until then such a
-piece runs through the nondeterministic transducer. States and steps are kept until there are too many, then built anew.
+Here it is determinised as it is used: a step is built when it is first asked for, and every piece goes through such steps.
+A state of the result is the set of live readings; what all of them agree on is emitted, which needs but a bounded
+lookahead. States and steps are kept until there are too many, then built anew.
+
+Words come up again and again, so an encoder also keeps the ids of recent pieces; only pieces that are not among them go
+through the transducer. Long pieces aren't kept, so what a worker holds is bounded in bytes.
 
 Decoding runs token by token through a state machine for UTF-8 that keeps the bytes of a character not yet complete.
 
@@ -15,7 +18,9 @@ Defined cases: a null text is an empty one and has no ids; very long texts are e
 from __future__ import annotations
 
 import base64
+import contextlib
 import functools
+import gc
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -30,9 +35,9 @@ from tessera.llm.shared import documents, pieces_of, texts_of
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: How many states and pieces a Python worker keeps before it begins anew.
-KEPT_STATES, KEPT_PIECES = 60_000, 500_000
-#: How often a step must be asked for to be built.
-BUILT_AT = 8
+KEPT_STATES, KEPT_PIECES = 100_000, 500_000
+#: Longer pieces (in characters) are encoded each time.
+KEPT_LENGTH = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -55,49 +60,40 @@ class Transducer:
     """Encodes pieces of bytes by the ranks of merges.
 
     A reading is (tokens not yet emitted, the emitted or pending token before the place, place in the trie). A state is its
-    live readings, all with the same emitted past.
+    live readings, all with the same emitted past; equal sets of readings, however they came about, are one state. States
+    are numbered in steps of 256, so that a state and a byte make the key of a step.
     """
 
     def __init__(self, ranks: dict[bytes, int], kept_states: int = KEPT_STATES):
         self.ranks, self.kept_states = ranks, kept_states
         self.bytes_of = {rank: token for token, rank in ranks.items()}
+        # The trie: of each place, by byte, the token that ends there (or -1) and the place from where it goes on (or 0: it doesn't).
         # Tokens that merging never makes from their own bytes can't be emitted.
-        self.edges: dict[int, int] = {}
-        self.token_at: list[int] = [-1]
-        self.inner: list[bool] = [True]
+        self.trie: list[dict[int, tuple[int, int]]] = [{}]
         for token, rank in ranks.items():
             if merge(token, ranks) == (rank,):
                 place = 0
-                for byte in token:
-                    self.inner[place] = True
-                    step = self.edges.get(place << 8 | byte)
-                    if step is None:
-                        step = self.edges[place << 8 | byte] = len(self.token_at)
-                        self.token_at.append(-1)
-                        self.inner.append(False)
-                    place = step
-                self.token_at[place] = rank
-        self.root = self._nested()
+                for byte in token[:-1]:
+                    ends, on = self.trie[place].get(byte, (-1, 0))
+                    if not on:
+                        on = len(self.trie)
+                        self.trie.append({})
+                        self.trie[place][byte] = ends, on
+                    place = on
+                self.trie[place][token[-1]] = rank, self.trie[place].get(token[-1], (-1, 0))[1]
         self.allowed: dict[int, bool] = {}
         self.spines: tuple[dict, dict] = ({}, {})
+        #: Bytes of pieces encoded, steps built for them, and the most bytes ever read before a token was emitted.
+        self.bytes_read = self.steps_built = self.lookahead = 0
         self.forget()
 
-    def _nested(self) -> dict[int, tuple[int, dict]]:
-        """The trie as dicts: byte to (token or -1, what follows)."""
-        none: dict = {}
-        after = [{} if inner else none for inner in self.inner]
-        for edge, place in self.edges.items():
-            after[edge >> 8][edge & 255] = (self.token_at[place], after[place])
-        return after[0]
-
     def forget(self) -> None:
         """Drop all states but the first."""
         first = (((), -1, 0),)
-        self.readings = [first]
+        self.readings = {0: first}
         self.number = {first: 0}
-        self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-        self.finals: list[tuple[int, ...] | None] = [()]
-        self.asked: dict[int, int] = {}
+        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.finals: dict[int, tuple[int, ...] | None] = {0: ()}
         if len(self.allowed) > 8 * self.kept_states:
             self.allowed = {}
 
@@ -138,86 +134,67 @@ class Transducer:
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Build the step of a state by a byte: the next state and what is emitted."""
-        live = []
+        live, trie, allowed = [], self.trie, self.allowed.get
         for pending, last, place in self.readings[state]:
-            place = self.edges.get(place << 8 | byte)
-            if place is None:
+            found = trie[place].get(byte)
+            if found is None:
                 continue
-            if self.inner[place]:
-                live.append((pending, last, place))
-            token = self.token_at[place]
-            if token >= 0 and self.may_follow(last, token):
-                live.append(((*pending, token), token, 0))
+            token, on = found
+            if on:
+                live.append((pending, last, on))
+            if token >= 0:
+                fits = last < 0 or allowed(last << 32 | token)
+                if fits or fits is None and self.may_follow(last, token):
+                    live.append(((*pending, token), token, 0))
+        # What all readings agree on can be emitted.
         emitted = live[0][0] if live else ()
         for p, _, _ in live:
-            same = 0
-            while same < len(emitted) and same < len(p) and emitted[same] == p[same]:
-                same += 1
-            emitted = emitted[:same]
-            if not same:
+            if not emitted:
                 break
+            if p[: len(emitted)] != emitted:
+                same = 0
+                while same < len(p) and emitted[same] == p[same]:
+                    same += 1
+                emitted = emitted[:same]
         agreed = len(emitted)
         key = tuple([(p[agreed:], last, place) for p, last, place in live]) if agreed else tuple(live)
         to = self.number.get(key)
         if to is None:
-            to = self.number[key] = len(self.readings)
-            self.readings.append(key)
-            self.steps.append({})
+            to = self.number[key] = len(self.number) << 8
+            self.readings[to] = key
             ends = [p for p, _, place in key if place == 0]
-            self.finals.append(ends[0] if len(ends) == 1 else None)
-        self.steps[state][byte] = to, emitted
-        return to, emitted
-
-    def _run(self, piece: bytes) -> tuple[int, ...]:
-        """The reading of a whole piece, without building states: depth first, the longest token first, and each prefix once, for it has one reading."""
-        root, allowed, n = self.root, self.allowed.get, len(piece)
-        ending, begin = [-1] * (n + 1), [0] * (n + 1)
-        waiting, start, last = [], 0, -1
-        while start < n:
-            follows = root
-            for at in range(start, n):
-                step = follows.get(piece[at])
-                if step is None:
-                    break
-                token, follows = step
-                if token >= 0:
-                    waiting.append((start, last, at + 1, token))
-            while True:
-                if not waiting:
-                    raise ValueError(f"no reading of {piece!r}: these ranks are no BPE")
-                come, before, end, token = waiting.pop()
-                if ending[end] < 0:
-                    fits = not come or allowed(before << 32 | token)
-                    if fits or fits is None and self.may_follow(before, token):
-                        ending[end], begin[end] = token, come
-                        start, last = end, token
-                        break
-        out, at = [], n
-        while at:
-            out.append(ending[at])
-            at = begin[at]
-        return tuple(reversed(out))
+            self.finals[to] = ends[0] if len(ends) == 1 else None
+        self.steps_built += 1
+        self.steps[state | byte] = step = to, emitted
+        return step
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
-        """The ids of a piece."""
-        if len(self.readings) > self.kept_states or len(self.asked) > 8 * self.kept_states:
+        """The ids of a piece, by steps of the determinised transducer; those not yet there are built."""
+        if len(self.number) > self.kept_states:
             self.forget()
-        state, out, steps = 0, (), self.steps
+        state, out, step_of = 0, (), self.steps.get
         for byte in piece:
-            step = steps[state].get(byte)
-            if step is None:
-                asked = self.asked[state << 8 | byte] = self.asked.get(state << 8 | byte, 0) + 1
-                if asked < BUILT_AT:
-                    return self._run(piece)
-                step = self._step(state, byte)
-            state, emitted = step
+            state, emitted = step_of(state | byte) or self._step(state, byte)
             if emitted:
                 out += emitted
+        self.bytes_read += len(piece)
         rest = self.finals[state]
         if rest is None:
             raise ValueError(f"no single reading of {piece!r}: these ranks are no BPE")
         return out + rest
 
+    def stream(self, piece: bytes) -> Iterator[tuple[int, ...]]:
+        """The tokens that each byte lets out, and those that the end does."""
+        state = waiting = 0
+        for byte in piece:
+            state, emitted = self.steps.get(state | byte) or self._step(state, byte)
+            waiting += 1
+            self.lookahead = max(self.lookahead, waiting)
+            if emitted:
+                waiting -= sum(len(self.bytes_of[t]) for t in emitted)
+            yield emitted
+        yield self.finals[state] or ()
+
 
 class Encoder:
     """Cuts texts by a pattern and encodes each match by the transducer; remembers the ids of recent pieces, in two generations."""
@@ -245,7 +222,8 @@ class Encoder:
         if ids is None:
             tokens = self.transducer.encode(piece.encode())
             ids = struct.pack(f"={len(tokens)}i", *tokens)
-        self.known[piece] = ids
+        if len(piece) <= KEPT_LENGTH:
+            self.known[piece] = ids
         return ids
 
 
@@ -339,13 +317,24 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+@contextlib.contextmanager
+def no_cycles() -> Iterator[None]:
+    """States and steps have no cycles; looking for some again and again would cost."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def encode_texts(df: DataFrame, ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """doc_id and ids (array of int) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks, pattern)
         for b in pieces_of(batches):
-            ids = [enc.encode(t.decode()) for t in texts_of(b)]
+            with no_cycles():
+                ids = [enc.encode(t.decode()) for t in texts_of(b)]
             ends = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) for x in ids], out=ends[1:])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids), pa.int32()))], names=["doc_id", "ids"])
@@ -374,7 +363,8 @@ def round_trip(df: DataFrame, ranks: str = RANKS, pattern: str = public_tokenize
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, dec = encoder(ranks, pattern), decoder(ranks)
         for b in pieces_of(batches):
-            ids = [enc.encode(t.decode()) for t in texts_of(b)]
+            with no_cycles():
+                ids = [enc.encode(t.decode()) for t in texts_of(b)]
             ends = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) for x in ids], out=ends[1:])
             texts = pa.array([dec.decode(x.tolist()) for x in ids], pa.string())
