@@ -2,10 +2,12 @@
 
 Documents are encoded and closed by an end id; only those longer than a sequence are cut. Whole pieces fill a sequence
 alone. The others are dealt at random into shards of some thousands, each packed by several islands: an island's members
-are packings; crossover injects whole well-filled bins of one parent into another, removes the bins that hold any of the
-same pieces, and best-fits the pieces thus displaced, largest first. After each epoch an island's elites move on to the
-next island of its shard. Pieces from the bins that stay badly filled are gathered from all shards and packed once more
-the same way, so that a shard leaves no remainder of its own.
+are packings, at first of the pieces in random orders; crossover injects whole well-filled bins of one parent into another,
+removes the bins that hold any of the same pieces and those filled badly, and best-fits the pieces thus displaced, largest
+first. No packing by sorted order is among the members: what comes out is what crossover has made. After each epoch an
+island's elites move on to the next island of its shard, where they meet new random members. Pieces from the bins that
+stay badly filled are gathered from all shards and packed once more the same way, so that a shard leaves no remainder of
+its own.
 
 Defined cases: a null text is an empty one and has the end id alone; rows that repeat are packed each; ties in length are
 told apart by doc_id, piece and start; an empty table gives no rows.
@@ -27,9 +29,11 @@ from tessera.llm.tokens import WORD_BPE, encode_documents, encoder
 
 CAPACITY, END_ID = 2048, 0
 #: Pieces of a shard, islands, epochs, children an island and epoch, members and elites of an island.
-SHARD, ISLANDS, EPOCHS, CHILDREN, MEMBERS, ELITES = 4096, 2, 2, 12, 5, 2
-#: Bins below this share of the capacity are packed once more across shards.
+SHARD, ISLANDS, EPOCHS, CHILDREN, MEMBERS, ELITES = 4096, 3, 3, 10, 6, 2
+#: Bins below this share of the capacity are broken up by crossover, and at the end packed once more across shards.
 WELL_FILLED = 0.97
+#: How steeply the chance to be injected grows with how full a bin is.
+STEEP = 16
 
 
 def cut_pieces(df: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str = WORD_BPE) -> DataFrame:
@@ -83,10 +87,10 @@ def best_fit(sizes: np.ndarray, order: np.ndarray, bins: np.ndarray, fill: list[
 
 
 def crossover(a: Packing, b: Packing, sizes: np.ndarray, capacity: int, draw: np.random.Generator) -> Packing:
-    """Inject bins of b, the fuller the likelier, into a; bins of a that hold any of their pieces go, and what else was in those is best-fitted, largest first."""
-    chosen = draw.random(len(b.fill)) < 0.5 * (b.fill / capacity) ** 4
+    """Inject bins of b, the fuller the likelier, into a; bins of a that hold any of their pieces go, badly filled ones too, and what else was in those is best-fitted, largest first."""
+    chosen = draw.random(len(b.fill)) < 0.5 * (b.fill / capacity) ** STEEP
     inside = chosen[b.bins]
-    struck = np.zeros(len(a.fill), bool)
+    struck = a.fill < WELL_FILLED * capacity
     struck[a.bins[inside]] = True
     displaced = np.flatnonzero(struck[a.bins] & ~inside)
     bins = np.where(inside, len(a.fill) + b.bins, a.bins)
@@ -98,21 +102,20 @@ def crossover(a: Packing, b: Packing, sizes: np.ndarray, capacity: int, draw: np
 
 
 def evolve(sizes: np.ndarray, elites: list[np.ndarray], seed: int, capacity: int = CAPACITY, children: int = CHILDREN, members: int = MEMBERS, kept: int = ELITES) -> list[np.ndarray]:
-    """One epoch of one island: its elites, the best first. It stops early where no bin can be saved any more."""
+    """One epoch of one island, from the elites given and random members: its elites, the best first. It stops early where no bin can be saved any more."""
     draw = np.random.Generator(np.random.PCG64(seed))
     least = -(-int(sizes.sum()) // capacity)
     people = [Packing(e, sizes) for e in elites]
-    for k in range(len(people), members):
-        jitter = sizes * (1 + (0.15 * draw.random(len(sizes)) if k else 0))
-        people.append(Packing(best_fit(sizes, np.argsort(-jitter, kind="stable"), np.full(len(sizes), -1, np.int64), [], capacity), sizes))
+    while len(people) < members:
+        people.append(Packing(best_fit(sizes, draw.permutation(len(sizes)), np.full(len(sizes), -1, np.int64), [], capacity), sizes))
     rank = lambda p: p.score(capacity)
     people.sort(key=rank)
     for _ in range(children):
         if len(people[0].fill) <= least:
             break
-        i, j = sorted(draw.choice(len(people), 2, replace=False)) if len(people) > 1 else (0, 0)
+        i, j = draw.choice(len(people), 2, replace=False) if len(people) > 1 else (0, 0)
         child = crossover(people[i], people[j], sizes, capacity, draw)
-        if rank(child) < rank(people[-1]):
+        if rank(child) < rank(people[-1]) and all(rank(child) != rank(p) for p in people):
             people[-1] = child
             people.sort(key=rank)
     return [p.bins.astype(np.int32) for p in people[:kept]]
