@@ -75,6 +75,47 @@ def test_repeats_match_brute_force(spark, tables, corpus, monkeypatch, shard):
     assert sum(v[1] > 0 for v in got.values()) > 8
 
 
+def test_repeats_know_rows_by_id_and_text(spark):
+    """Null ids and ids shared by different long texts: each row loses only its own repeats."""
+    from tessera.llm.substring_dedup import remove_repeats
+
+    words = lambda a, n: " ".join(f"w{k}" for k in range(a, a + n))
+    twice = words(0, 30) + " x " + words(0, 30)
+    rows = [(None, twice), (None, "short"), (None, words(9000, 50)), (7, words(1000, 400)), (7, words(2000, 60) + " y " + words(2000, 60)), (7, words(1000, 400)), (8, words(3000, 30) + " " + words(1100, 25))]
+    got = sorted(r[0] for r in remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).select("text").collect())
+    assert got == sorted([words(0, 30) + " x", "short", words(9000, 50), words(1000, 400), words(2000, 60) + " y", words(1000, 400), words(3000, 30)])
+
+
+def test_repeats_of_one_passage_in_many_documents(spark, monkeypatch):
+    """No shard outgrows its size, whatever surrounds a passage that very many documents hold, and copies of one document are dealt out."""
+    import random
+
+    from tessera.llm import substring_dedup as S
+
+    draw = random.Random(3)
+    passage = " ".join(f"p{k}" for k in range(30))
+    free = lambda n: " ".join(f"f{draw.randrange(10**7)}" for _ in range(n))
+    rows = [(k, f"{free(25)} {passage} {free(25)}") for k in range(3000)] + [(k, passage + " " + passage) for k in range(5000, 5600)]
+    monkeypatch.setattr(S, "SHARD_WORDS", 20_000)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    docs = S.identified(df).select(F.col("__tessera_k").alias("k"), F.col("__tessera_h").alias("h"), "text")
+    loads = S.shards_of(docs).groupBy("shard").agg(F.sum(F.size(F.split(F.col("words").cast("string"), " ")))).collect()
+    assert len(loads) > 3 and max(r[1] for r in loads) < 2 * 20_000
+    out = dict(rows_of(S.remove_repeats(df), "doc_id", "text"))
+    assert {k: sha(t) for k, t in out.items()} == {k: v[2] for k, v in brute_repeats(rows).items()}
+
+
+def test_fm_index_locates_and_compares_words():
+    from tessera.llm.fm_index import FMIndex
+
+    draw = np.random.default_rng(8)
+    text = np.concatenate([np.append(p, 0) for p in [draw.integers(1, 4, 300), np.tile([1, 2, 3], 60), np.full(90, 2)]])
+    index = FMIndex(text, 20)
+    n = len(text)
+    suffixes = sorted(range(n), key=lambda k: (text[k : k + 32].tolist(), k))
+    assert index.locate(np.arange(n)).tolist() == suffixes
+
+
 def test_fm_index_matching_statistics():
     from tessera.llm.fm_index import FMIndex
 
@@ -193,6 +234,21 @@ def test_byte_bpe(spark, tables, corpus):
         assert got[doc_id] == (len(ids), sha(",".join(map(str, ids))), sha(text or "")), doc_id
 
 
+def test_every_piece_goes_through_determinised_steps(corpus):
+    """Pieces that are not remembered are read byte by byte through steps; tokens come out before the end."""
+    from tessera.llm.byte_bpe import Encoder
+
+    enc = Encoder()
+    pieces = {p for r in corpus for p in enc.cut(r[1] or "")}
+    for r in corpus:
+        enc.encode(r[1] or "")
+    read = enc.transducer.bytes_read
+    assert read >= sum(len(p.encode()) for p in pieces) and 0 < enc.transducer.steps_built < read
+    long = "deterministically" * 500
+    parts = list(enc.transducer.stream(long.encode()))
+    assert tuple(t for p in parts for t in p) == enc.transducer.encode(long.encode()) and enc.transducer.lookahead < 64
+
+
 def test_transducer_against_merging():
     import random
 
@@ -388,3 +444,15 @@ def test_crossover_keeps_every_piece():
     assert child.fill.sum() == sizes.sum() and child.fill.max() <= 2048 and (child.bins >= 0).all()
     best = evolve(sizes, [], 3)[0]
     assert len(np.unique(best)) <= min(len(p.fill) for p in some)
+
+
+@pytest.mark.parametrize(("low", "high", "n"), [(300, 900, 2000), (400, 1100, 2000)])
+def test_evolution_beats_best_fit_decreasing(low, high, n):
+    """Where sorted pieces leave gaps, injected full bins close them."""
+    from tessera.llm.packing import Packing, best_fit, evolve
+
+    sizes = np.random.default_rng(4).integers(low, high, n)
+    plain = Packing(best_fit(sizes, np.argsort(-sizes, kind="stable"), np.full(n, -1), [], 2048), sizes)
+    best = evolve(sizes, evolve(sizes, [], 1, children=30), 2, children=30)[0]
+    fill = np.bincount(best, weights=sizes)
+    assert len(fill) < len(plain.fill) and fill.max() <= 2048 and fill.sum() == sizes.sum()
