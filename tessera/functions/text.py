@@ -11,6 +11,10 @@ from pyspark.sql.types import StringType
 
 # Common words left out of keywords.
 STOPWORDS = "the and for are with that this from was were has have had not but you your they their will can its into about which when what who how why our out more than then them these those been being over under such also each other some any all".split()
+# Words that are no terms of an answer, of an answer's evaluation, and of a quiz.
+ANSWER_STOP = "the a an of to in on for with and or is are what how why when which does do explain".split()
+EVALUATION_STOP = "the a an of to in on for with and or is are what how why which this that we you it".split()
+QUIZ_STOP = "the a an of to in on for with and or is are be this that it its as by from at we you can will which when how what was were has have using used also such these those them they our your into than then".split()
 TERMINALS = ".!?;:"
 #: Typographic characters and what is written for them.
 SMART = {"“": '"', "”": '"', "„": '"', "‘": "'", "’": "'", "‚": "'", "–": "-", "—": "-", "−": "-", " ": " ", " ": " ", " ": " ", "　": " "}
@@ -21,6 +25,17 @@ def tokens(text: Column, least: int = 2) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda x: F.length(x) >= least)
 
 
+def term_counts(text: Column, least: int = 2) -> Column:
+    """An array of (term, tf) of a text's tokens, in order: the runs of equal words among the sorted ones."""
+
+    def runs(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        pairs = F.transform(F.array(starts), lambda s: F.transform(s, lambda i, k: F.struct(F.get(w, i).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(w)) - i).cast("bigint").alias("tf"))))
+        return F.when(F.size(w) > 0, F.element_at(pairs, 1)).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+    return F.element_at(F.transform(F.array(F.sort_array(tokens(text, least))), runs), 1)
+
+
 def word_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+"), F.lit(0)))
 
@@ -91,9 +106,9 @@ def looks_like_heading(text: Column) -> Column:
 
 
 def script_counts(text: Column) -> tuple[Column, Column]:
-    """Arabic and Latin letters."""
+    """Letters of three Arabic blocks, and letters from a to z."""
     count = lambda keep: F.length(F.regexp_replace(F.coalesce(text, F.lit("")), f"[^{keep}]", ""))
-    return count("؀-ۿݐ-ݿ"), count("A-Za-zÀ-ɏ")
+    return count(r"\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}"), count("A-Za-z")
 
 
 def script_language(text: Column) -> tuple[Column, Column]:
@@ -103,9 +118,42 @@ def script_language(text: Column) -> tuple[Column, Column]:
     return F.when(total == 0, "en").when(arabic >= latin, "ar").otherwise("en"), F.when(total == 0, 0.0).otherwise(F.greatest(arabic, latin) / total)
 
 
-def terms(text: Column) -> Column:
+def terms(text: Column, stop: list[str] = QUIZ_STOP) -> Column:
     """Distinct Latin words of more than two letters, without common words."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z][a-z\-]+"), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS)))
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z][a-z\-]+"), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(stop)))
+
+
+def key_terms(sentence: Column, concept: Column, k: int = 8) -> Column:
+    """The terms of both, the concept's first, the longer before the shorter, then by the alphabet."""
+    own = terms(concept)
+    ranked = F.array_sort(F.transform(F.array_union(own, terms(sentence)), lambda t: F.struct((~F.array_contains(own, t)).alias("a"), (-F.length(t)).alias("b"), t.alias("t"))))
+    return F.transform(F.slice(ranked, 1, k), lambda x: x["t"])
+
+
+def study_minutes(words: Column) -> Column:
+    """Reading time at 200 words a minute, at least one; null without words."""
+    return F.when(words > 0, F.greatest(F.lit(1), F.bround(words / 200).cast("int")))
+
+
+def color_band(mastery: Column, weak: float, strong: float) -> Column:
+    """What a mastery is shown in."""
+    return F.when(mastery < weak, "red").when(mastery < strong, "amber").otherwise("green")
+
+
+def iso_time(seconds: Column) -> Column:
+    """Seconds since 1970 as a UTC time in ISO form (for sessions in UTC)."""
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def first_number(text: Column, patterns: list[str]) -> Column:
+    """The number in the first of the patterns (with one group) that is in the text."""
+    return F.coalesce(*(F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), p, 1), F.lit("")).cast("int") for p in patterns))
+
+
+def point_id(key: Column) -> Column:
+    """A stable id of 128 bits in the form of a UUID."""
+    h = F.md5(key.cast("binary"))
+    return F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
 
 
 def clock(seconds: Column) -> Column:
@@ -122,5 +170,5 @@ def domain(url: Column) -> Column:
 
 
 def url_key(url: Column) -> Column:
-    """What equal pages share: no query, fragment or final slashes, lower case."""
-    return F.lower(F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"/+$", ""))
+    """What equal pages share: no final slashes, then no query or fragment, lower case."""
+    return F.lower(F.regexp_replace(F.regexp_replace(url, r"/+$", ""), r"[?#].*$", ""))

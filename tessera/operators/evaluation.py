@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import cited, sentences
+from tessera.functions.text import EVALUATION_STOP, cited, terms
 from tessera.storage import running_total
 
 
@@ -76,8 +76,59 @@ def purity(neighbours: DataFrame, vectors: DataFrame, key: str = "vec_id", label
 
 def grounding(answers: DataFrame, key: str, text: str, valid: str) -> DataFrame:
     """Of each answer: its sentences, how many cite only valid marks and at least one, the ratio, and the invalid marks in order."""
-    marks = answers.select(key, valid, F.explode(sentences(F.col(text))).alias("s")).withColumn("marks", F.array_distinct(cited(F.col("s"))))
+    marks = answers.select(key, valid, F.explode(answer_sentences(F.col(text))).alias("s")).withColumn("marks", F.array_distinct(cited(F.col("s"))))
     bad = F.array_except("marks", valid)
     rows = marks.withColumn("bad", bad).withColumn("ok", ((F.size("marks") > 0) & (F.size("bad") == 0)).cast("bigint"))
     out = rows.groupBy(key).agg(F.count("*").alias("sentences"), F.sum("ok").alias("grounded"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("bad")))), ",").alias("invalid"))
-    return out.withColumn("ratio", F.round(F.col("grounded") / F.col("sentences"), 6))
+    return out.withColumn("ratio", F.round(F.col("grounded") / F.col("sentences"), 4))
+
+
+def answer_sentences(text: Column) -> Column:
+    return F.filter(F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\r")), r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
+
+
+def answer_metrics(answers: DataFrame, chosen: DataFrame, queries: DataFrame, gold: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+    """A row for each answer (item_id, answer, valid) with its context (item_id, place, doc_id, text): the share of the context that is right (item_id, doc_id) and whether any is, whether all citations are valid, grounding and what is not grounded, the share of cited sentences of which half the terms are in a passage they cite, whether relations between concepts are there, and the share of the question's terms in the answer."""
+    near = chosen.join(gold.select("item_id", "doc_id").distinct().withColumn("right", F.lit(1)), ["item_id", "doc_id"], "left").groupBy("item_id").agg(F.avg(F.coalesce("right", F.lit(0))).alias("context_precision"), F.max(F.coalesce("right", F.lit(0))).cast("double").alias("context_recall"))
+    ground = grounding(answers, "item_id", "answer", "valid").select("item_id", (F.col("invalid") == "").cast("double").alias("citation_accuracy"), F.col("ratio").alias("grounding"), F.round(1 - F.col("ratio"), 4).alias("hallucination"))
+    words = lambda c: terms(c, EVALUATION_STOP)
+    said = answers.select("item_id", F.posexplode(answer_sentences(F.col("answer"))).alias("pos", "s")).withColumn("place", F.explode(F.transform(F.filter(cited(F.col("s")), lambda m: m.startswith("C")), lambda m: F.substring(m, 2, 9).cast("int"))))
+    held = said.join(chosen.select("item_id", "place", words(F.col("text")).alias("t")), ["item_id", "place"], "left").withColumn("w", words(F.col("s")))
+    share = F.size(F.array_intersect("w", F.coalesce("t", F.array().cast("array<string>")))) / F.nullif(F.size("w"), F.lit(0))
+    faithful = held.groupBy("item_id", "pos").agg(F.max(F.coalesce(share >= 0.5, F.lit(False)).cast("int")).alias("ok")).groupBy("item_id").agg(F.avg("ok").alias("faithfulness"))
+    asked = queries.select("item_id", words(F.col("text")).alias("q")).join(answers.select("item_id", words(F.col("answer")).alias("a")), "item_id")
+    complete = asked.select("item_id", F.coalesce(F.size(F.array_intersect("q", "a")) / F.nullif(F.size("q"), F.lit(0)), F.lit(0.0)).alias("completeness"))
+    out = near.join(ground, "item_id").join(complete, "item_id").join(faithful, "item_id", "left")
+    hops = relations.select("item_id").distinct().withColumn("multi_hop", F.lit(1.0)) if relations is not None else queries.select("item_id", F.lit(0.0).alias("multi_hop")).limit(0)
+    out = out.join(hops, "item_id", "left")
+    six = lambda c, other=0.0: F.round(F.coalesce(c, F.lit(other)), 6).alias(c)
+    return out.select("item_id", six("context_precision"), six("context_recall"), six("citation_accuracy"), six("grounding"), six("faithfulness", 1.0), six("multi_hop"), six("hallucination"), six("completeness"))
+
+
+ANSWER_METRICS = ("context_precision", "context_recall", "citation_accuracy", "grounding", "faithfulness", "multi_hop", "hallucination", "completeness")
+
+
+def tagged_means(arms: dict[str, DataFrame], metrics: tuple[str, ...]) -> DataFrame:
+    """arm and the mean of each metric (four decimals): evaluations side by side."""
+    out = None
+    for name, rows in arms.items():
+        one = rows.agg(*(F.round(F.avg(m), 4).alias(m) for m in metrics)).select(F.lit(name).alias("arm"), *metrics)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def without_gold(ranking: DataFrame, gold: DataFrame) -> DataFrame:
+    """A ranking without the very rows that queries were made from (item_id, doc_id), ranks closed up: the harder task of finding related ones."""
+    left = ranking.join(gold.select("item_id", "doc_id").distinct(), ["item_id", "doc_id"], "left_anti")
+    return left.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("rank")))
+
+
+def rates(rows: DataFrame, by: str | None, **conditions: Column) -> DataFrame:
+    """The share of rows for which each condition holds, of each group if there is one: routing accuracy, safety, dispatch, discrimination."""
+    share = [F.round(F.avg(F.coalesce(x, F.lit(False)).cast("double")), 6).alias(name) for name, x in conditions.items()]
+    return (rows.groupBy(by) if by else rows.groupBy()).agg(F.count("*").alias("rows"), *share)
+
+
+def latencies(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """Mean and 95th percentile of each group."""
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.percentile(value, F.lit(0.95)), 6).alias("p95"))

@@ -23,19 +23,57 @@ def hierarchy(levels: list[tuple[DataFrame, str, str, str | None, str]]) -> tupl
     return nodes, edges
 
 
-def cooccurrence(members: DataFrame, group: str, item: str, least: int = 2, most: int | None = None) -> DataFrame:
-    """Pairs a < b of items that share groups: weight (how many) and the first five groups. Groups of more than most items (if given) are cut to their least items."""
+def cooccurrence(members: DataFrame, group: str, item: str, least: int = 2, sources: int = 0) -> DataFrame:
+    """Pairs a < b of items that share groups: weight (how many) and, if asked for, so many first groups of each."""
     m = members.select(group, item).distinct()
-    if most:
-        m = m.withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy(item))).where(F.col("n") <= most).drop("n")
     pairs = m.select(group, F.col(item).alias("a")).join(m.select(group, F.col(item).alias("b")), group).where("a < b")
-    out = pairs.groupBy("a", "b").agg(F.count("*").alias("weight"), F.slice(F.array_sort(F.collect_set(group)), 1, 5).alias("groups"))
-    return out.where(F.col("weight") >= least)
+    out = pairs.groupBy("a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
+    if not sources:
+        return out
+    # A window with a limit keeps no more than so many of a pair's groups at a time.
+    first = pairs.withColumn("n", F.row_number().over(Window.partitionBy("a", "b").orderBy(group))).where(F.col("n") <= sources)
+    return out.join(first.groupBy("a", "b").agg(F.array_sort(F.collect_list(group)).alias("groups")), ["a", "b"])
 
 
-def merged_edges(edges: DataFrame) -> DataFrame:
-    """Edges with the same ends and kind as one: weights add up, the first confidence and all sources stay."""
-    return edges.groupBy("src", "dst", "kind").agg(F.sum("weight").alias("weight"), F.count("*").alias("merged"), F.min("source").alias("first_source"))
+def merged_edges(edges: DataFrame, all_sources: bool = False) -> DataFrame:
+    """Edges with the same ends and kind as one: weights add up; the first source stays, or all distinct ones do."""
+    kept = [F.array_sort(F.collect_set("source")).alias("sources")] if all_sources else []
+    return edges.groupBy("src", "dst", "kind").agg(F.sum("weight").alias("weight"), F.count("*").alias("merged"), F.min("source").alias("first_source"), *kept)
+
+
+def merged_nodes(nodes: DataFrame, order: str) -> DataFrame:
+    """Nodes (id, kind, label, attrs: a map, and an order column) with the same id as one: the first kind, the first label that is not empty, and of each attribute the last value."""
+    pairs = nodes.select("id", order, F.explode("attrs").alias("key", "value")).groupBy("id", "key").agg(F.max_by("value", order).alias("value"))
+    attrs = pairs.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("attrs"))
+    named = F.min_by("label", F.when(F.coalesce("label", F.lit("")) != "", F.col(order)))
+    return nodes.groupBy("id").agg(F.min_by("kind", order).alias("kind"), F.coalesce(named, F.lit("")).alias("label")).join(attrs, "id", "left")
+
+
+def of_kind(nodes: DataFrame, kind: str) -> DataFrame:
+    return nodes.where(F.col("kind") == kind)
+
+
+def subgraph(nodes: DataFrame, edges: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """The nodes of a kind and the edges between them."""
+    own = of_kind(nodes, kind)
+    ends = lambda df, side: df.join(own.select(F.col("id").alias(side)), side, "left_semi")
+    return own, ends(ends(edges, "src"), "dst")
+
+
+def ego(edges: DataFrame, node: str, most: int = 50) -> DataFrame:
+    """The edges of one node, the heaviest first: neighbour, kind, weight and direction."""
+    near = edges.where((F.col("src") == node) | (F.col("dst") == node))
+    out = near.select(F.when(F.col("src") == node, F.col("dst")).otherwise(F.col("src")).alias("neighbour"), "kind", "weight", F.when(F.col("src") == node, "out").otherwise("in").alias("direction"))
+    return out.orderBy(F.desc("weight"), "neighbour", "kind").limit(most)
+
+
+def related_of_resources(provenance: DataFrame, related: DataFrame, concepts: int = 12, neighbours_: int = 5) -> DataFrame:
+    """resource, concept, related and weight: of each resource's first concepts the heaviest related concepts. provenance: resource, concept; related: src, dst, weight."""
+    first = provenance.withColumn("n", F.row_number().over(Window.partitionBy("resource").orderBy("concept"))).where(F.col("n") <= concepts).select("resource", "concept")
+    near = both_ways(related.withColumn("kind", F.lit("related_to"))).select(F.col("src").alias("concept"), F.col("dst").alias("related"), "weight")
+    place = F.row_number().over(Window.partitionBy("concept").orderBy(F.desc("weight"), "related"))
+    best = near.withColumn("n", place).where(F.col("n") <= neighbours_).drop("n")
+    return first.join(best, "concept").select("resource", "concept", "related", "weight")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -84,19 +122,19 @@ def edge_weight(kind: str = "kind") -> F.Column:
 
 
 def expanded(seeds: DataFrame, edges: DataFrame, hops: int = c.MAX_HOPS, decay: float = c.DECAY, beam: int = c.BEAM, most: int = c.MAX_EXPANDED) -> DataFrame:
-    """query, node, score, hop and path of what seeds (query, node, score) reach.
+    """query, node, score, hop, path and relationship (the kind of its last edge; seed) of what seeds (query, node, score) reach.
 
     A hop gives a neighbour the best of score * decay * edge weight over the frontier before it; only nodes that it betters
     join the next frontier, of which the best go on. Ties are broken by node and by path.
     """
-    moves = both_ways(edges).select(F.col("src").alias("node"), F.col("dst").alias("to"), (edge_weight() * decay).alias("factor"))
-    moves = moves.groupBy("node", "to").agg(F.max("factor").alias("factor"))
-    known = seeds.groupBy("query", "node").agg(F.max("score").alias("score")).withColumns({"hop": F.lit(0), "path": F.array("node")})
+    moves = both_ways(edges).select(F.col("src").alias("node"), F.col("dst").alias("to"), (edge_weight() * decay).alias("factor"), "kind")
+    moves = moves.groupBy("node", "to").agg(F.max(F.struct("factor", "kind")).alias("m")).select("node", "to", "m.factor", F.col("m.kind").alias("relationship"))
+    known = seeds.groupBy("query", "node").agg(F.max("score").alias("score")).withColumns({"hop": F.lit(0), "path": F.array("node"), "relationship": F.lit("seed")})
     frontier = known
     best = lambda by: Window.partitionBy("query", *by).orderBy(F.round("score", 9).desc(), *([] if by else ["node"]), F.array_join("path", "/"))
     for hop in range(1, hops + 1):
         front = frontier.withColumn("n", F.row_number().over(best([]))).where(F.col("n") <= beam)
-        reached = front.join(moves, "node").select("query", F.col("to").alias("node"), (F.col("score") * F.col("factor")).alias("score"), F.lit(hop).alias("hop"), F.concat("path", F.array("to")).alias("path"))
+        reached = front.drop("relationship").join(moves, "node").select("query", F.col("to").alias("node"), (F.col("score") * F.col("factor")).alias("score"), F.lit(hop).alias("hop"), F.concat("path", F.array("to")).alias("path"), "relationship")
         reached = reached.withColumn("n", F.row_number().over(best(["node"]))).where("n = 1").drop("n")
         had = known.select("query", "node", F.col("score").alias("had"))
         frontier = stored(reached.join(had, ["query", "node"], "left").where("had IS NULL OR score > had").drop("had"))

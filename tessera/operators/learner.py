@@ -135,10 +135,11 @@ class LinearBandit:
         self.b[arm] += reward * x
 
 
-def reward(correct: Column, gain: Column, seconds: Column, repeat: Column, skipped: Column) -> Column:
-    """Correctness and mastery gain, less slowness, repeated mistakes and skipped prerequisites."""
+def reward(correct: Column, gain: Column, seconds: Column, repeat: Column, skipped: Column, forgetting: Column | None = None) -> Column:
+    """Correctness and mastery gain, less slowness (30 seconds count in full), repeated mistakes, skipped prerequisites and forgetting."""
     w = (0.4, 1.0, 0.15, 0.3, 0.3)
-    return F.round(w[0] * correct + w[1] * gain - w[2] * F.least(F.lit(1.0), seconds / 60) - w[3] * repeat - w[4] * skipped, 5)
+    lost = F.lit(0.0) if forgetting is None else F.greatest(F.lit(0.0), forgetting)
+    return F.round(w[0] * correct + w[1] * gain - w[2] * F.least(F.lit(1.0), seconds / 30) - w[3] * repeat - w[4] * skipped - w[1] * lost, 5)
 
 
 def difficulty_policy(events: DataFrame) -> DataFrame:

@@ -9,6 +9,25 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import STOPWORDS, tokens
 
+# Words that no phrase holds, and words that none begins or ends with.
+PHRASE_STOP = (
+    "the a an and or of to in on for with by as is are be this that these those it its we you can will using used use uses such each which when "
+    "how from into than then some any all more most our based given shown called defined following follows different various many also one two new via per "
+    "between within about above below over under same"
+).split()
+GENERIC = (
+    "data example examples information result results chapter section model models value values number numbers name names set sets step steps table tables column columns "
+    "figure figures introduction overview summary note notes answer answers question questions problem problems goal goals practice sample samples score range first find "
+    "print create function functions code output input type types list row rows case point points part way thing things lecture lesson week session slide page"
+).split()
+
+
+def without_repeated_lines(pages: DataFrame, repeated: DataFrame, group: str, page: str, text: str = "text") -> DataFrame:
+    """Pages without their group's repeated lines (headers and footers); what else is in the text stays as it is."""
+    gone = repeated.groupBy(group).agg(F.collect_set("line").alias("gone"))
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("gone", F.trim(x))), "\n")
+    return pages.join(gone, group, "left").withColumn(text, F.when(F.col("gone").isNull(), F.col(text)).otherwise(left)).drop("gone")
+
 
 def keywords(docs: DataFrame, k: int = 10) -> DataFrame:
     """doc_id, word, n and place: the most frequent words of three letters and more; ties by first occurrence."""
@@ -26,14 +45,24 @@ def repeated_lines(pages: DataFrame, group: str, page: str, text: str = "text",
     return on.join(n, group).where(F.col("on_pages") >= F.greatest(F.lit(2), F.floor(F.col("pages") * ratio))).select(group, "line", "on_pages", "pages")
 
 
-def phrases(docs: DataFrame, least: int = 4, documents: int = 3, sizes: tuple[int, ...] = (2, 3, 4), most: int = 360) -> DataFrame:
-    """phrase, n and documents: runs of words that don't begin or end with a common one, found often enough, the most frequent first."""
-    w = docs.select("doc_id", tokens(F.col("text")).alias("w"))
-    runs = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.slice("w", i, n))).otherwise(F.array().cast("array<array<string>>"))
-    edge = lambda x: ~x[0].isin(STOPWORDS) & ~F.element_at(x, -1).isin(STOPWORDS) & (F.length(x[0]) > 2) & (F.length(F.element_at(x, -1)) > 2)
-    found = w.select("doc_id", F.explode(F.transform(F.filter(F.concat(*map(runs, sizes)), edge), lambda x: F.array_join(x, " "))).alias("phrase"))
+def candidate_phrases(docs: DataFrame, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
+    """doc_id, phrase and n: runs of Latin words of three letters and more, none of them a common one, the outer ones not generic.
+
+    A common word ends a run, so texts are cut there first; a run of one word, and there are many, makes no phrase at all.
+    """
+    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[a-z][a-z\-]+"), F.lit(0)), lambda w: F.length(w) >= 3)
+    line = F.array_join(F.transform(words, lambda w: F.when(w.isin(PHRASE_STOP), "|").otherwise(w)), " ")
+    runs = docs.select("doc_id", F.explode(F.split(line, r" ?\|(?: \|)* ?")).alias("run")).where(F.contains("run", F.lit(" "))).select("doc_id", F.split("run", " ").alias("w"))
+    firsts = runs.select("doc_id", "w", F.posexplode("w").alias("i", "first")).where(~F.col("first").isin(GENERIC))
+    ends = lambda n: (F.size("w") >= F.col("i") + n) & ~F.get("w", F.col("i") + (n - 1)).isin(GENERIC)
+    made = F.array_compact(F.array(*(F.when(F.coalesce(ends(n), F.lit(False)), F.array_join(F.slice("w", F.col("i") + 1, n), " ")) for n in sizes)))
     # Counted by document first, so that a document's repeats never leave its task apart.
-    counted = found.groupBy("phrase", "doc_id").agg(F.count("*").alias("n")).groupBy("phrase").agg(F.sum("n").alias("n"), F.count("*").alias("documents"))
+    return firsts.select("doc_id", F.explode(made).alias("phrase")).groupBy("phrase", "doc_id").agg(F.count("*").alias("n"))
+
+
+def phrases(docs: DataFrame, least: int = 4, documents: int = 3, sizes: tuple[int, ...] = (2, 3, 4), most: int = 360) -> DataFrame:
+    """phrase, n and documents: candidate phrases found often enough, the most frequent first."""
+    counted = candidate_phrases(docs, sizes).groupBy("phrase").agg(F.sum("n").alias("n"), F.count("*").alias("documents"))
     return counted.where((F.col("n") >= least) & (F.col("documents") >= documents)).orderBy(F.desc("n"), "phrase").limit(most)
 
 

@@ -1,19 +1,28 @@
-"""Research over kept pages: term search, freshness and trust, selection, passages, confidence gates, merging."""
+"""Research over kept pages: term search, freshness and trust, selection, passages, confidence gates, merging, sessions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import terms, tokens
+from tessera.functions.text import domain, terms, url_key
 from tessera.operators.evidence import overlap
 
-# Words that speak for and against a source, weights of trust, the gate's weights and bounds.
-TEACHING = ["course", "lecture", "tutorial", "university", "lesson"]
-CITING = ["references", "doi", "arxiv", "bibliography"]
-SPAM = ["buy now", "click here", "casino", "subscribe", "free trial"]
+# How far domains and endings are trusted, words that speak for and against a source, weights of trust, the gate's weights and bounds.
+AUTHORITY = {
+    "arxiv.org": 1.0, "wikipedia.org": 0.85, "docs.python.org": 0.95, "scholar.google.com": 0.9, "nature.com": 0.95, "acm.org": 0.95, "ieee.org": 0.95, "springer.com": 0.9,
+    "sciencedirect.com": 0.9, "pytorch.org": 0.95, "tensorflow.org": 0.95, "scikit-learn.org": 0.95, "developer.mozilla.org": 0.9, "khanacademy.org": 0.85, "coursera.org": 0.8, "edx.org": 0.8,
+    "towardsdatascience.com": 0.6, "medium.com": 0.5, "stackoverflow.com": 0.75, "github.com": 0.7,
+}
+ENDING_AUTHORITY = {"edu": 0.9, "gov": 0.9, "org": 0.7, "ac": 0.85}
+OTHER_AUTHORITY = 0.45
+TEACHING = r"(?i)\b(tutorial|guide|introduction|lecture|course|documentation|explained|definition|concept|paper|study|reference|how to|example)\b"
+SPAM = r"(?i)\b(buy now|free download|click here|cheap|casino|porn|crypto giveaway|discount|coupon|earn money|viagra)\b"
+DATE = r"(20[0-9]{2})[-/]([0-9]{1,2})(?:[-/]([0-9]{1,2}))?"
 TRUST = {"authority": 0.40, "fresh": 0.15, "teaching": 0.20, "citing": 0.15, "spam": -0.50}
-LEAST_TRUST, GATE, HIGH, LOW, LEXICAL_REFERENCE, GATE_WEIGHTS = 0.4, 0.70, 0.72, 0.55, 22.0, (0.55, 0.30, 0.15)
+LEAST_TRUST, GATE, HIGH, LOW, LEXICAL_REFERENCE = 0.4, 0.70, 0.72, 0.55, 22.0
+GATE_WEIGHTS = {"semantic": 0.55, "agreement": 0.30, "lexical": 0.15}
+SNIPPET, RESULTS, SOURCES = 200, 6, 3
 
 
 def page_text(html: Column) -> Column:
@@ -26,37 +35,74 @@ def occurrences(text: Column, term: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)
 
 
-def term_search(queries: DataFrame, pages: DataFrame, k: int = 5) -> DataFrame:
-    """item_id, page_id, hits and rank: pages by how often they hold a query's terms, as words."""
-    asked = queries.select("item_id", F.explode(F.array_distinct(tokens(F.col("text"), 3))).alias("term"))
-    words = pages.select("page_id", F.explode(tokens(F.col("text"), 3)).alias("term")).groupBy("page_id", "term").agg(F.count("*").alias("n"))
-    hits = words.join(asked, "term").groupBy("item_id", "page_id").agg(F.sum("n").alias("hits"))
+def term_search(queries: DataFrame, pages: DataFrame, k: int = RESULTS) -> DataFrame:
+    """item_id, page_id, hits and rank: pages by how often a query's words of three and more characters are in them, inside words too.
+
+    A word of a query has no blanks, so it lies within a word of the page. Each distinct word of the pages is cut into its
+    parts of the lengths asked for, and these meet the queries' words in an equi-join; then words stand for their pages.
+    """
+    low = lambda t: F.filter(F.split(F.lower(F.coalesce(t, F.lit(""))), r"\s+"), lambda w: w != "")
+    asked = queries.select("item_id", F.explode(F.array_distinct(low(F.col("text")))).alias("term")).where(F.length("term") > 2)
+    sizes = [r[0] for r in asked.select(F.length("term")).distinct().collect()]  # one for each length of a word
+    if not sizes:
+        return queries.sparkSession.createDataFrame([], f"item_id {queries.schema['item_id'].dataType.simpleString()}, page_id {pages.schema['page_id'].dataType.simpleString()}, hits bigint, rank int")
+    words = pages.select("page_id", F.explode(low(F.col("text"))).alias("word")).groupBy("page_id", "word").agg(F.count("*").alias("n"))
+    cut = lambda n: F.when(F.length("word") >= n, F.transform(F.sequence(F.lit(1), F.length("word") - (n - 1)), lambda i: F.substring("word", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    parts = words.select("word").distinct().select("word", F.explode(F.array_distinct(F.concat(*map(cut, sorted(sizes))))).alias("term"))
+    found = parts.join(asked.select("term").distinct(), "term", "left_semi").withColumn("in_word", occurrences(F.col("word"), F.col("term")).cast("bigint"))
+    counts = words.join(found, "word").groupBy("page_id", "term").agg(F.sum(F.col("n") * F.col("in_word")).alias("n"))
+    hits = counts.join(asked, "term").groupBy("item_id", "page_id").agg(F.sum("n").alias("hits"))
     place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("hits"), "page_id"))
     return hits.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def freshness(text: Column, today: str) -> Column:
-    """By the first date in the text: 1 now, falling to 0 in five years; one half without a date."""
-    year, month = F.regexp_extract(text, r"((?:19|20)\d\d)-(\d\d)-(\d\d)", 1), F.regexp_extract(text, r"((?:19|20)\d\d)-(\d\d)-(\d\d)", 2)
-    date = F.try_to_date(F.concat_ws("-", year, month, F.regexp_extract(text, r"((?:19|20)\d\d)-(\d\d)-(\d\d)", 3)), "yyyy-MM-dd")
-    age = F.datediff(F.to_date(F.lit(today)), date) / 365.25
-    return F.when(date.isNull(), 0.5).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - age / 5)))
-
-
-def share_of(text: Column, words: list[str], most: int) -> Column:
-    """How many of the words are in the text, as a share of most."""
-    low = F.lower(text)
-    return F.least(F.lit(1.0), sum((F.when(low.contains(w), 1).otherwise(0) for w in words), F.lit(0)) / F.lit(most))
+def query_language(text: Column) -> Column:
+    """The language whose encyclopedia a query is for: Arabic where it has a letter of that script."""
+    return F.when(text.rlike(r"[\x{0600}-\x{06FF}]"), "ar").otherwise("en")
 
 
-def trust(authority: Column, text: Column, today: str) -> Column:
-    parts = {"authority": authority, "fresh": freshness(text, today), "teaching": share_of(text, TEACHING, 2), "citing": share_of(text, CITING, 2), "spam": share_of(text, SPAM, 2)}
-    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), sum((F.lit(TRUST[k]) * v for k, v in parts.items()), F.lit(0.0)))), 6)
+def authority(host: Column) -> Column:
+    """By the domain or one above it, else by a second-level ending, else by the ending."""
+    ending, second = F.regexp_extract(host, r"\.([^.]+)$", 1), F.regexp_extract(host, r"([^.]+)\.[^.]+$", 1)
+    out = F.lit(OTHER_AUTHORITY)
+    for part in (ending, second):
+        for name, value in ENDING_AUTHORITY.items():
+            out = F.when(part == name, value).otherwise(out)
+    for name, value in AUTHORITY.items():
+        out = F.when(host.endswith(f".{name}"), value).otherwise(out)
+    for name, value in AUTHORITY.items():
+        out = F.when(host == name, value).otherwise(out)
+    return out
 
 
-def selected(sources: DataFrame, k: int = 3, by: str = "item_id") -> DataFrame:
-    """The k most trusted sources of each query that are no duplicates and trusted enough."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("trust"), "page_id"))
+def freshness(text: Column, today: str) -> Column:
+    """By the first year and month in the text: 1 now, falling to 0 in five years; one half without a date."""
+    year, month = F.regexp_extract(text, DATE, 1), F.regexp_extract(text, DATE, 2)
+    date = F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lit("01")), "yyyy-MM-dd")
+    age = F.datediff(F.to_date(F.lit(today)), date) / F.lit(5 * 365)
+    return F.when(date.isNull(), 0.5).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - age)))
+
+
+def scored_sources(results: DataFrame, today: str, deny: tuple[str, ...] = (), by: str | None = None, order: str = "page_id") -> DataFrame:
+    """results (page_id, url, title, snippet and what else) with domain, url_key, what speaks for and against the source, trust, and duplicate: whether an earlier one in order (of the same by, if given) has the key."""
+    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit("")))
+    count = lambda pattern: F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+    denied = F.col("domain").isin(list(deny)) if deny else F.lit(False)
+    out = results.withColumn("domain", domain(F.col("url")))
+    out = out.withColumn("url_key", F.coalesce(F.nullif(url_key(F.col("url")), F.lit("")), F.concat_ws("::", "domain", F.lower(F.trim("title")))))
+    out = out.withColumns({
+        "authority": authority(F.col("domain")), "fresh": freshness(text, today), "teaching": F.least(F.lit(1.0), 0.4 + 0.15 * count(TEACHING)),
+        "spam": F.least(F.lit(1.0), 0.25 * count(SPAM) + F.when(denied, 0.5).otherwise(0.0)),
+    })
+    out = out.withColumn("citing", F.when(F.col("domain").isin(list(AUTHORITY)), 0.8).when(F.col("authority") >= 0.7, 0.5).otherwise(0.3))
+    total = sum((F.lit(w) * F.col(k) for k, w in TRUST.items()), F.lit(0.0))
+    nth = F.row_number().over(Window.partitionBy(*([by] if by else []), "url_key").orderBy(order))
+    return out.withColumns({"trust": F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)), 3), "duplicate": nth > 1})
+
+
+def selected(sources: DataFrame, k: int = SOURCES, by: str = "item_id", order: str = "page_id") -> DataFrame:
+    """The k most trusted sources of each query that are no duplicates and trusted enough; ties by order."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("trust"), order))
     return sources.where(~F.col("duplicate") & (F.col("trust") >= LEAST_TRUST)).withColumn("place", place).where(F.col("place") <= k)
 
 
@@ -68,14 +114,19 @@ def passages(rows: DataFrame, queries: DataFrame, n: int = 2, words: int = 15) -
     return parts.withColumn("o", overlap(terms(F.col("passage")), F.col("q"))).withColumn("place", place).where(F.col("place") <= n).select("item_id", "page_id", "place", "passage", F.col("o").alias("terms"))
 
 
+def page_markdown(title: Column, url: Column, text: Column) -> Column:
+    """A cleaned page as a Markdown document: its title as heading, where it comes from, its text."""
+    return F.concat(F.lit("# "), title, F.lit("\n\nSource: "), url, F.lit("\n\n"), F.btrim(text), F.lit("\n"))
+
+
 def confidence(evidence: DataFrame) -> DataFrame:
-    """item_id, confidence and level: of the first five rows (rank, semantic, lexical, source) the best semantic and lexical scores and the share of the commonest source."""
+    """item_id, confidence, level and answered: of the first five rows (rank, semantic, lexical, source) the best semantic and lexical scores and the share of the commonest source."""
     top = evidence.where("rank <= 5")
     best = top.groupBy("item_id").agg(F.max("semantic").alias("semantic"), F.max("lexical").alias("lexical"), F.count("*").alias("n"))
     mode = top.groupBy("item_id", "source").agg(F.count("*").alias("m")).groupBy("item_id").agg(F.max("m").alias("m"))
-    a, b, c = GATE_WEIGHTS
-    value = a * F.col("semantic") + b * F.least(F.lit(1.0), F.col("lexical") / LEXICAL_REFERENCE) + c * F.col("m") / F.col("n")
-    out = best.join(mode, "item_id").select("item_id", F.round(value, 6).alias("confidence"))
+    signals = {"semantic": F.col("semantic"), "agreement": F.col("m") / F.col("n"), "lexical": F.least(F.lit(1.0), F.col("lexical") / LEXICAL_REFERENCE)}
+    value = sum((w * F.round(signals[k], 4) for k, w in GATE_WEIGHTS.items()), F.lit(0.0)) / sum(GATE_WEIGHTS.values())
+    out = best.join(mode, "item_id").select("item_id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)), 4).alias("confidence"))
     return out.select("*", F.when(F.col("confidence") >= HIGH, "high").when(F.col("confidence") >= LOW, "medium").otherwise("low").alias("level"), (F.col("confidence") >= GATE).alias("answered"))
 
 
@@ -84,3 +135,19 @@ def merged_evidence(kept: DataFrame, web: DataFrame, k: int = 10) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("confidence"), "origin", "ref"))
     both = kept.select("item_id", F.lit("kept").alias("origin"), "ref", "confidence").unionByName(web.select("item_id", F.lit("web").alias("origin"), "ref", "confidence"))
     return both.withColumn("rank", place).where(F.col("rank") <= k)
+
+
+def researched(gate: DataFrame, kept: DataFrame, web: DataFrame, approve: bool = False) -> DataFrame:
+    """The loop in one plan: queries below the gate (item_id, confidence, level, answered) that have web evidence are answered from both kinds of evidence, others from what is kept. A row each: used_web, approved, sources and evidence in order."""
+    asked = web.join(gate.where("NOT answered").select("item_id"), "item_id", "left_semi")
+    rows = merged_evidence(kept, asked).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "origin", "ref"))).alias("evidence"))
+    used = asked.groupBy("item_id").agg(F.count("*").alias("sources"))
+    out = gate.join(rows, "item_id", "left").join(used, "item_id", "left").withColumn("sources", F.coalesce("sources", F.lit(0)))
+    return out.select("item_id", "confidence", "level", (F.col("sources") > 0).alias("used_web"), ((F.col("sources") > 0) & F.lit(approve)).alias("approved"), "sources", F.transform("evidence", lambda x: F.concat_ws(":", x["origin"], x["ref"])).alias("evidence"))
+
+
+def session_statistics(sessions: DataFrame) -> DataFrame:
+    """One row: sessions, those that went to the web, those approved and rejected, and what was taken in (ingested: an array)."""
+    n = lambda c: F.sum(F.coalesce(F.col(c), F.lit(False)).cast("bigint"))
+    out = sessions.agg(F.count("*").alias("sessions"), n("used_web").alias("web_triggered"), n("approved").alias("approved"), F.sum(F.coalesce(F.size("ingested"), F.lit(0))).alias("resources_ingested"))
+    return out.select("sessions", "web_triggered", "approved", (F.col("web_triggered") - F.col("approved")).alias("rejected"), "resources_ingested")

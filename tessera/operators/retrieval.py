@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import constants as c
-from tessera.functions.text import tokens
+from tessera.functions.text import term_counts, tokens
+from tessera.storage import stored
 
-#: Rows of a block on the query and on the corpus side of a vector search.
-QUERY_BLOCK, CORPUS_BLOCK = 1_000, 20_000
+#: Rows of a block on the query and on the corpus side of a vector search, bytes of query vectors that may go to every task, and words whose features a worker remembers.
+QUERY_BLOCK, CORPUS_BLOCK, QUERY_BYTES, KEPT_WORDS = 1_000, 20_000, 64 << 20, 200_000
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -42,29 +43,42 @@ def ranked(scores: DataFrame, by: str, key: str, score: str = "score", k: int |
     return out.where(F.col(rank) <= k) if k else out
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = c.TOP_K, allowed: DataFrame | None = None, k1: float = c.BM25_K1, b: float = c.BM25_B) -> DataFrame:
-    """item_id, doc_id, score and rank. Corpus figures are those of all documents; allowed (doc_id) narrows what is ranked."""
-    stats = corpus_statistics(docs).first()
-    n, mean = stats["documents"], stats["mean_length"] or 1.0
-    asked = query_terms(queries)
-    # Only words that some query asks for are counted.
-    words = docs.select("doc_id", tokens(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    hits = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def counted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, dl (tokens), nd (distinct terms) and t (terms with their counts) of every document, kept: texts are cut into tokens once for all that is asked of them."""
+    counts = docs.select("doc_id", term_counts(F.col(text)).alias("t"))
+    return stored(counts.select("doc_id", F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a + x["tf"]).alias("dl"), F.size("t").alias("nd"), "t"))
+
+
+def asked_terms(counts: DataFrame, asked: DataFrame) -> DataFrame:
+    """doc_id, dl, nd, term and tf of the terms that are asked for (item_id, term)."""
+    return counts.select("doc_id", "dl", "nd", F.inline("t")).join(asked.select("term").distinct(), "term", "left_semi")
+
+
+def scored_terms(hits: DataFrame, asked: DataFrame, n: int, mean: float, allowed: DataFrame | None = None, k1: float = c.BM25_K1, b: float = c.BM25_B) -> DataFrame:
+    """item_id, doc_id and score from the postings (doc_id, term, tf, dl) of the terms asked for, in a corpus of n documents of a mean length."""
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     if allowed is not None:
         hits = hits.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
     rarity = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean))
-    scored = hits.join(df, "term").select("term", "doc_id", (rarity * weight).alias("w")).join(asked, "term")
-    return ranked(scored.groupBy("item_id", "doc_id").agg(F.sum("w").alias("score")), "item_id", "doc_id", k=k)
+    weighed = hits.join(df, "term").select("term", "doc_id", (rarity * weight).alias("w")).join(asked, "term")
+    return weighed.groupBy("item_id", "doc_id").agg(F.sum("w").alias("score"))
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int = c.TOP_K, allowed: DataFrame | None = None, k1: float = c.BM25_K1, b: float = c.BM25_B, counts: DataFrame | None = None) -> DataFrame:
+    """item_id, doc_id, score and rank. Corpus figures are those of all documents; allowed (doc_id) narrows what is ranked. counts: counted(docs), where it is there."""
+    counts = counted(docs) if counts is None else counts
+    stats = counts.where("dl > 0").agg(F.count("*").alias("documents"), F.avg("dl").alias("mean_length")).first()
+    asked = query_terms(queries)
+    scores = scored_terms(asked_terms(counts, asked), asked, stats["documents"], stats["mean_length"] or 1.0, allowed, k1, b)
+    return ranked(scores, "item_id", "doc_id", k=k)
 
 
-def set_cosine(queries: DataFrame, docs: DataFrame, k: int = c.TOP_K) -> DataFrame:
+def set_cosine(queries: DataFrame, docs: DataFrame, k: int = c.TOP_K, counts: DataFrame | None = None) -> DataFrame:
     """item_id, doc_id, score and rank by the cosine of term sets."""
     asked = query_terms(queries)
     sizes = asked.groupBy("item_id").agg(F.count("*").alias("nq"))
-    words = docs.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("w")).select("doc_id", F.size("w").alias("nd"), F.explode("w").alias("term"))
-    both = words.join(asked, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"), F.first("nd").alias("nd"))
+    both = asked_terms(counted(docs) if counts is None else counts, asked).join(asked, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"), F.max("nd").alias("nd"))
     scored = both.join(sizes, "item_id").select("item_id", "doc_id", (F.col("n") / F.sqrt(F.col("nq") * F.col("nd"))).alias("score"))
     return ranked(scored, "item_id", "doc_id", k=k)
 
@@ -79,8 +93,9 @@ def fused(arms: Iterable[tuple[DataFrame, float]], k: int | None = c.TOP_K, rrf_
 
 
 def hybrid(queries: DataFrame, docs: DataFrame, k: int = c.TOP_K, candidates: int = c.CANDIDATES, allowed: DataFrame | None = None) -> DataFrame:
-    """BM25 and a second ranking, fused."""
-    return fused([(set_cosine(queries, docs, candidates), c.W_DENSE), (bm25(queries, docs, candidates, allowed), c.W_LEXICAL)], k)
+    """BM25 and the cosine of term sets (in place of a model's vectors; see nearest() for those), fused."""
+    counts = counted(docs)
+    return fused([(set_cosine(queries, docs, candidates, counts), c.W_DENSE), (bm25(queries, docs, candidates, allowed, counts=counts), c.W_LEXICAL)], k)
 
 
 def boosted(ranking: DataFrame, boosts: DataFrame, weight: float = c.GRAPH_WEIGHT, k: int | None = c.TOP_K) -> DataFrame:
@@ -91,59 +106,105 @@ def boosted(ranking: DataFrame, boosts: DataFrame, weight: float = c.GRAPH_WEIGH
     return ranked(out, "item_id", "doc_id", k=k)
 
 
+def _matrix(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A column of lists of one length as rows at unit length."""
+    column = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    rows = np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of scores the k best with their ids (a row of ids each, or one for all), ties by id; padded with minus infinity."""
+    n, m = scores.shape
+    bound = np.partition(scores, m - k, axis=1)[:, m - k] if m > k else np.full(n, -np.inf)
+    rows, columns = np.nonzero((scores >= bound[:, None]) & (scores > -np.inf))
+    values, names = scores[rows, columns], ids[columns] if ids.ndim == 1 else ids[rows, columns]
+    order = np.lexsort((names, -values, rows))
+    rows, values, names = rows[order], values[order], names[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    top, who = np.full((n, k), -np.inf), np.zeros((n, k), np.int64)
+    kept = place < k
+    top[rows[kept], place[kept]], who[rows[kept], place[kept]] = values[kept], names[kept]
+    return top, who
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, k: int = c.TOP_K, key: str = "vec_id", vector: str = "embedding", same: bool = False) -> DataFrame:
-    """query_id, key, score and rank: the k nearest rows by cosine of each query; same: whether a row may find itself.
+    """query_id, key, score (to nine decimals) and rank: the k nearest rows by cosine of each query; same: whether a row may find itself.
 
-    Queries and corpus are dealt into blocks of bounded size, each pair of blocks is one matrix product, and only its best
-    k for each query go on.
+    Up to QUERY_BYTES of query vectors go to every task, which reads its part of the corpus once and keeps each query's
+    best. More queries are dealt into blocks, the corpus too, and each pair of blocks is one matrix product. Either way
+    only the best k of a part go on.
     """
-    n_q, n_c = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_BLOCK), (corpus, CORPUS_BLOCK)))
+    q, d = queries.select(F.col(key).alias("id"), F.col(vector).alias("v")), corpus.select(F.col(key).alias("id"), F.col(vector).alias("v"))
+    shape, names = f"query_id bigint, {key} bigint, score double", ["query_id", key, "score"]
+
+    def rows_of(asked: np.ndarray, top: np.ndarray, who: np.ndarray) -> pa.Table:
+        at, place = np.nonzero(top > -np.inf)
+        return pa.table([pa.array(asked[at]), pa.array(who[at, place]), pa.array(top[at, place])], names=names)
+
+    def compared(asked: np.ndarray, left: np.ndarray, ids: np.ndarray, right: np.ndarray) -> np.ndarray:
+        scores = np.round(left @ right.T, 9)
+        if not same:
+            scores[asked[:, None] == ids[None, :]] = -np.inf
+        return scores
+
+    size = q.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("dim")).first()
+    if not size["n"]:
+        return queries.sparkSession.createDataFrame([], f"{shape}, rank int")
+    if size["n"] * size["dim"] * 8 <= QUERY_BYTES:
+        rows = q.toArrow()  # checked above
+        held = queries.sparkSession.sparkContext.broadcast((np.asarray(rows["id"]), _matrix(rows["v"])))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked, left = held.value
+            step = max(64, min(CORPUS_BLOCK, (32 << 20) // (8 * len(asked))))
+            top, who = np.full((len(asked), k), -np.inf), np.zeros((len(asked), k), np.int64)
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    ids = np.asarray(part.column(0))
+                    new, new_ids = best_of(compared(asked, left, ids, _matrix(part.column(1))), ids, k)
+                    top, who = best_of(np.hstack([top, new]), np.hstack([who, new_ids]), k)
+            yield from rows_of(asked, top, who).to_batches()
+
+        return ranked(d.mapInArrow(scan, shape), "query_id", key, k=k)
+
+    n_q, n_c = -(-size["n"] // QUERY_BLOCK), max(1, -(-d.count() // CORPUS_BLOCK))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    left = queries.select(F.col(key).alias("id"), F.col(vector).alias("v"), own(n_q).alias("i"), every(n_c).alias("j"))
-    right = corpus.select(F.col(key).alias("id"), F.col(vector).alias("v"), every(n_q).alias("i"), own(n_c).alias("j"))
-
-    def search(q: pa.Table, d: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if q.num_rows and d.num_rows:
-            qs, ds = (np.asarray(x["v"].to_pylist(), np.float64) for x in (q, d))
-            qi, di = np.asarray(q["id"]), np.asarray(d["id"])
-            unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-            sims = unit(qs) @ unit(ds).T
-            for row in range(len(qi)):
-                s = np.round(sims[row], 9)
-                if not same:
-                    s = np.where(di == qi[row], -np.inf, s)
-                best = np.lexsort((di, -s))[: k + (not same)]
-                out += [(int(qi[row]), int(di[j]), float(sims[row, j])) for j in best if s[j] > -np.inf][:k]
-        a, b, s = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(a, pa.int64()), key: pa.array(b, pa.int64()), "score": pa.array(s, pa.float64())})
-
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(search, f"query_id bigint, {key} bigint, score double")
-    return ranked(found, "query_id", key, k=k)
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+
+    def search(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not (a.num_rows and b.num_rows):
+            return rows_of(np.zeros(0, np.int64), np.zeros((0, k)), np.zeros((0, k), np.int64))
+        asked, ids = np.asarray(a["id"]), np.asarray(b["id"])
+        return rows_of(asked, *best_of(compared(asked, _matrix(a["v"]), ids, _matrix(b["v"])), ids, k))
+
+    left = q.select("id", "v", own(n_q).alias("i"), every(n_c).alias("j"))
+    right = d.select("id", "v", every(n_q).alias("i"), own(n_c).alias("j"))
+    return ranked(left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(search, shape), "query_id", key, k=k)
 
 
 def hash_embedding(text: Column, dim: int = 384) -> Column:
-    """Signed feature hashing of words and their 3- to 5-grams, at unit length."""
+    """Signed feature hashing of words and their 3- to 5-grams, at unit length. A worker remembers the places of recent words' features."""
 
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        place: dict[str, tuple[int, float]] = {}
-
-        def bucket(feature: str) -> tuple[int, float]:
-            if feature not in place:
-                if len(place) > 500_000:
-                    place.clear()
-                h = int.from_bytes(blake2b(feature.encode(), digest_size=8).digest(), "big")
-                place[feature] = (h % dim, -1.0 if h >> 63 else 1.0)
-            return place[feature]
-
-        def vector(words: np.ndarray) -> np.ndarray:
-            out = np.zeros(dim)
-            for w in words if words is not None else []:
-                for f in (w, *(f"#{w}#"[i : i + n] for n in (3, 4, 5) for i in range(len(w) + 3 - n))):
-                    at, sign = bucket(f)
-                    out[at] += sign
+        known: dict[str, np.ndarray] = {}
+
+        def places(word: str) -> np.ndarray:
+            if len(known) > KEPT_WORDS:
+                known.clear()
+            features = (word, *(f"#{word}#"[i : i + n] for n in (3, 4, 5) for i in range(len(word) + 3 - n)))
+            hashes = (int.from_bytes(blake2b(f.encode(), digest_size=8).digest(), "big") for f in features)
+            known[word] = out = np.fromiter((h % dim * 2 + (h >> 63) for h in hashes), np.int32)
+            return out
+
+        def vector(words: np.ndarray | None) -> np.ndarray:
+            if words is None or not len(words):
+                return np.zeros(dim, np.float32)
+            found = [known[w] if w in known else places(w) for w in words]
+            counts = np.bincount(np.concatenate(found), minlength=2 * dim).reshape(dim, 2)
+            out = (counts[:, 0] - counts[:, 1]).astype(np.float64)
             size = np.linalg.norm(out)
             return (out / size if size else out).astype(np.float32)
 
@@ -156,19 +217,36 @@ def hash_embedding(text: Column, dim: int = 384) -> Column:
 def containing(passages: DataFrame, docs: DataFrame, words: int = 4) -> DataFrame:
     """item_id and doc_id where the document's text contains the passage's.
 
-    A passage's inner words (without its first, which may begin inside a word) are whole words of the document, so their
-    run meets the document's runs in an equi-join; the texts of such pairs are then compared. Passages with fewer words
-    are compared by their first run of whole inner words, or, with none, with every document.
+    A passage's inner words (without its first and last, which may be parts of words) are whole words of the document, so
+    a run of them meets the document's runs in an equi-join, and the texts of such pairs are compared. A passage of two
+    words meets documents by the end of its first word, one of a single word by that as a part of a word. Passages of
+    blanks alone, of which there are few kinds, are looked for one kind at a time.
     """
     split = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    run = lambda w, i: F.array_join(F.slice(w, i, words), " ")
-    p = passages.select("item_id", F.col("text").alias("passage"), split(F.col("text")).alias("w"))
-    long = p.where(F.size("w") >= words + 2).select("item_id", "passage", run(F.col("w"), F.lit(2)).alias("run"))
-    short = p.where(F.size("w") < words + 2).select("item_id", "passage")
+    run = lambda w, i, n: F.array_join(F.slice(w, i, n), " ")
+    p = passages.where("text IS NOT NULL").select("item_id", F.col("text").alias("passage"), split(F.col("text")).alias("w"))
     d = docs.select("doc_id", "text", split(F.col("text")).alias("w"))
-    runs = d.where(F.size("w") >= words).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: run(F.col("w"), i)))).alias("run"))
-    pairs = runs.join(long, "run").select("item_id", "doc_id", "passage").distinct().join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage"))
-    out = pairs.select("item_id", "doc_id")
-    if not short.isEmpty():
-        out = out.union(docs.join(short, F.contains(F.col("text"), F.col("passage"))).select("item_id", "doc_id"))
-    return out.distinct()
+    sizes = {r[0] for r in p.select(F.least(F.size("w"), F.lit(words + 2))).distinct().collect()}  # one for each number up to words + 2
+    pairs = []
+    for n in sorted(x - 2 for x in sizes if x > 2):
+        own = p.where(F.least(F.size("w"), F.lit(words + 2)) == n + 2).select("item_id", "passage", run(F.col("w"), F.lit(2), F.lit(n)).alias("run"))
+        every = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: run(F.col("w"), i, F.lit(n)))  # noqa: B023
+        runs = d.where(F.size("w") >= n).select("doc_id", F.explode(F.array_distinct(every)).alias("run"))
+        pairs.append(runs.join(own, "run").select("item_id", "doc_id", "passage"))
+    for n in sizes & {1, 2}:
+        own = p.where(F.size("w") == n).select("item_id", "passage", F.col("w")[0].alias("part"))
+        lengths = [r[0] for r in own.select(F.length("part")).distinct().collect()]  # one for each length of a word
+        seen = d.select("doc_id", F.explode(F.array_distinct("w")).alias("word"))
+        ends = lambda m: F.array(F.right("word", F.lit(m))) if n == 2 else F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("word") - (m - 1))), lambda i: F.substring("word", i, F.lit(m)))  # noqa: B023, E731
+        parts = seen.select("word").distinct().select("word", F.explode(F.array_distinct(F.concat(*map(ends, lengths)))).alias("part")).join(own.select("part").distinct(), "part", "left_semi")
+        pairs.append(seen.join(parts, "word").join(own, "part").select("item_id", "doc_id", "passage"))
+    out = [x.distinct().join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id") for x in pairs]
+    for blank in [r[0] for r in p.where(F.size("w") == 0).select("passage").distinct().collect()] if 0 in sizes else []:
+        items = p.where(F.col("passage") == blank).agg(F.collect_set("item_id").alias("items")).first()["items"]
+        out.append(docs.where(F.contains("text", F.lit(blank))).select(F.explode(F.array(*map(F.lit, items))).alias("item_id"), "doc_id"))
+    if not out:
+        return passages.sparkSession.createDataFrame([], f"item_id {passages.schema['item_id'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}")
+    whole = out[0]
+    for x in out[1:]:
+        whole = whole.union(x)
+    return whole.distinct()

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators import chunking as ch
-from tessera.operators import evidence as evd
 from tessera.operators import graph as g
 from tessera.operators import mining as mn
 from tessera.operators import retrieval as r
@@ -17,7 +16,8 @@ from tessera.session import table
 from tessera.sources import blocks as bl
 
 PAIRS = "SELECT a.l_partkey AS a, b.l_partkey AS b, count(*) AS weight FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY ALL HAVING count(*) >= 2"
-STOP = "(" + ", ".join(f"'{w}'" for w in tx.STOPWORDS) + ")"
+_list = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
+STOP, QUIZ_STOP, PHRASE_STOP, GENERIC = map(_list, (tx.STOPWORDS, tx.QUIZ_STOP, mn.PHRASE_STOP, mn.GENERIC))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,9 +103,9 @@ def alias_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mn.aliases(table(spark, sf_dir, "documents"), spark.createDataFrame(LEXICON, "alias string, concept string"))
 
 
-@query(f"""WITH w AS (SELECT doc_id, {TOKENS.format(t="text", n=2)} AS w FROM documents),
+@query(rf"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z][a-z\-]+'), lambda x: length(x) >= 3) AS w FROM documents),
 runs AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - n + 2), lambda i: w[i:i + n - 1])) AS x FROM w, (VALUES (2), (3), (4)) s(n) WHERE len(w) >= n),
-edges AS (SELECT doc_id, array_to_string(x, ' ') AS phrase FROM runs WHERE x[1] NOT IN {STOP} AND x[-1] NOT IN {STOP} AND length(x[1]) > 2 AND length(x[-1]) > 2)
+edges AS (SELECT doc_id, array_to_string(x, ' ') AS phrase FROM runs WHERE len(list_filter(x, lambda t: t IN {PHRASE_STOP})) = 0 AND x[1] NOT IN {GENERIC} AND x[-1] NOT IN {GENERIC})
 SELECT phrase, count(*) AS n, count(DISTINCT doc_id) AS documents FROM edges GROUP BY 1 HAVING count(*) >= 4 AND count(DISTINCT doc_id) >= 3 ORDER BY n DESC, phrase LIMIT 360""")
 def phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mn.phrases(table(spark, sf_dir, "documents"))
@@ -125,13 +125,14 @@ def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT doc_id, CASE WHEN la + ar = 0 THEN 'en' WHEN ar >= la THEN 'ar' ELSE 'en' END AS language, CASE WHEN la + ar = 0 THEN 0.0 ELSE greatest(la, ar) / (la + ar) END::DOUBLE AS share FROM
-(SELECT doc_id, length(regexp_replace(text, '[^\\x{0600}-\\x{06FF}\\x{0750}-\\x{077F}]', '', 'g')) AS ar, length(regexp_replace(text, '[^A-Za-z\\x{00C0}-\\x{024F}]', '', 'g')) AS la FROM documents)""")
+(SELECT doc_id, length(regexp_replace(text, '[^\\x{0600}-\\x{06FF}\\x{0750}-\\x{077F}\\x{08A0}-\\x{08FF}]', '', 'g')) AS ar, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS la FROM documents)""")
 def script_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     language, share = tx.script_language(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", language.alias("language"), share.alias("share"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents), w AS (SELECT *, list_filter(regexp_split_to_array(trim(line), '\s+'), lambda x: x <> '') AS w FROM l)
+SELECT doc_id, CAST(n AS INTEGER) AS n, line FROM w WHERE length(trim(line)) <= 70 AND len(w) BETWEEN 1 AND 10 AND NOT regexp_matches(trim(line), '[.!?;:,]$') AND ((upper(line) = line AND regexp_matches(line, '\p{Lu}')) OR (len(w) <= 8 AND len(list_filter(w, lambda x: regexp_matches(x, '^\p{Lu}'))) >= len(w) * 0.6))""")
 def heading_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     return lines.where(tx.looks_like_heading(F.col("line"))).select("doc_id", "n", "line")
@@ -142,7 +143,12 @@ def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.collapsed(F.col("text")).alias("text"))
 
 
-@query()
+_PLAIN = "replace(translate(text, '{a}', '{b}'), '…', '...')".format(a="".join(tx.SMART).replace("'", "''"), b="".join(tx.SMART.values()).replace("'", "''"))
+_CLEAN = rf"regexp_replace({_PLAIN}, '[\x00-\x08\x0B-\x1F\x7F]', '', 'g')"
+_FLOW = rf"regexp_replace(regexp_replace({_CLEAN}, '(^|[^.!?:;\n])\n(\p{{Ll}})', '\1 \2', 'g'), '(^|[^.!?:;\n])\n(\p{{Ll}})', '\1 \2', 'g')"
+
+
+@query(rf"""SELECT doc_id, CASE WHEN contains(text, '|') THEN {_CLEAN} ELSE trim(regexp_replace(regexp_replace(regexp_replace({_FLOW}, '[ \t]{{2,}}', ' ', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10)) END AS text FROM documents""")
 def block_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.normalized_block(F.col("text"), F.when(F.col("text").contains("|"), "table").otherwise("paragraph")).alias("text"))
 
@@ -153,16 +159,6 @@ def content_hash_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed.join(hashed.groupBy("digest").agg(F.count("*").alias("copies")), "digest").select("doc_id", "digest", "copies")
 
 
-_AUTH = "CASE " + " ".join(f"WHEN host = '{k}' OR last2 = '{k}' THEN {v}" for k, v in evd.AUTHORITY.items()) + " WHEN second = 'ac' THEN 0.85 " + " ".join(f"WHEN ending = '{k}' THEN {v}" for k, v in evd.ENDING_AUTHORITY.items()) + f" ELSE {evd.OTHER_AUTHORITY} END::DOUBLE"
-
-
-@query(f"""WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)), '^www\\.', '') AS host, lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '')) AS url_key FROM pages),
-p AS (SELECT *, regexp_extract(host, '([^.]+\\.[^.]+)$', 1) AS last2, regexp_extract(host, '([^.]+)$', 1) AS ending, regexp_extract(host, '([^.]+)\\.[^.]+$', 1) AS second FROM h)
-SELECT page_id, host AS domain, url_key, {_AUTH} AS authority, row_number() OVER (PARTITION BY url_key ORDER BY page_id) > 1 AS duplicate FROM p""")
-def source_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evd.scored_sources(table(spark, sf_dir, "pages"))
-
-
 @query()
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bl.blocks(table(spark, sf_dir, "pages"), "page_id", "html", "html")
@@ -185,12 +181,18 @@ def plain_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bl.plain_paragraphs(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Table ' || doc_id || '.2: ' || text WHEN doc_id % 3 = 1 THEN 'see Fig. 4: ' || text || ' figure 4: again and again' ELSE text END AS text FROM documents),
+m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\b(figure|fig\.|table)\s+(\d+(?:\.\d+)?)\s*[:.]\s*([^.\n]+)', 1)) AS a, unnest(regexp_extract_all(text, '(?i)\b(figure|fig\.|table)\s+(\d+(?:\.\d+)?)\s*[:.]\s*([^.\n]+)', 2)) AS number, unnest(regexp_extract_all(text, '(?i)\b(figure|fig\.|table)\s+(\d+(?:\.\d+)?)\s*[:.]\s*([^.\n]+)', 3)) AS c FROM t),
+r AS (SELECT doc_id, CASE WHEN lower(a) LIKE 'fig%' THEN 'figure' ELSE 'table' END AS kind, number, trim(c) AS caption, row_number() OVER () AS pos FROM m)
+SELECT doc_id, kind, number, arg_min(caption, pos) AS caption FROM r WHERE len(regexp_split_to_array(caption, '\s+')) >= 3 GROUP BY ALL""")
 def figure_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mn.figures(table(spark, sf_dir, "documents"))
+    """Captions of documents to two thirds of which a marker is added."""
+    i, text = F.col("doc_id"), F.col("text")
+    made = F.when(i % 3 == 0, F.concat(F.lit("Table "), i, F.lit(".2: "), text)).when(i % 3 == 1, F.concat(F.lit("see Fig. 4: "), text, F.lit(" figure 4: again and again"))).otherwise(text)
+    return mn.figures(table(spark, sf_dir, "documents").withColumn("text", made))
 
 
-@query(f"""WITH t AS (SELECT conv_id, turn, role, list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z\\-]+'), lambda w: length(w) > 2 AND w NOT IN {STOP})) AS w FROM conversations),
+@query(f"""WITH t AS (SELECT conv_id, turn, role, list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z\\-]+'), lambda w: length(w) > 2 AND w NOT IN {QUIZ_STOP})) AS w FROM conversations),
 u AS (SELECT conv_id, turn, w, lead(w) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM t)
 SELECT conv_id, turn, len(w)::INTEGER AS terms, len(list_filter(w, lambda x: list_contains(answer, x)))::INTEGER AS covered, len(list_filter(w, lambda x: list_contains(answer, x))) >= 0.4 * len(w) AS passed FROM u WHERE answer IS NOT NULL AND len(w) > 0""")
 def quiz_grade(spark: SparkSession, sf_dir: str) -> DataFrame:

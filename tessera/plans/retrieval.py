@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tokens
+from tessera.functions.text import ANSWER_STOP, EVALUATION_STOP, tokens
 from tessera.operators import evaluation as ev
 from tessera.operators import evidence as evd
 from tessera.operators import retrieval as r
 from tessera.plans.registry import query
 from tessera.session import table
+from tessera.sources import index as ix
+from tessera.storage import scratch, stored
 
 TOKENS = r"list_filter(regexp_extract_all(lower(coalesce({t}, '')), '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= {n})"
 POSTINGS = f"""
@@ -90,6 +92,14 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(r.bm25(_items(spark, sf_dir), _docs(spark, sf_dir)))
 
 
+@query(f"WITH {BM25.replace('{where}', '')} {OUT.format(name='lexical', k=10)}")
+def bm25_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a kept index, which is built first."""
+    path = scratch(spark)
+    ix.save_postings(_docs(spark, sf_dir), path)
+    return _out(ix.bm25(spark, path, _items(spark, sf_dir)))
+
+
 @query(f"WITH {BM25.replace('{where}', "JOIN documents d ON d.doc_id = w.doc_id AND d.lang = 'en'")} {OUT.format(name='lexical', k=10)}")
 def bm25_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     allowed = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id")
@@ -211,10 +221,33 @@ evidence AS (SELECT f.item_id, f.doc_id, f.rank, d.source, d.text, CASE WHEN con
   FROM (SELECT *, max(score) OVER (PARTITION BY item_id) AS most FROM fused WHERE rank <= 10) f JOIN documents d USING (doc_id))"""
 )
 CONTEXT = """,
-firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY confidence DESC, doc_id) AS nth FROM evidence) WHERE nth = 1),
-sized AS (SELECT *, CAST(least(greatest(1, floor(len(regexp_extract_all(text, '\\S+')) * CAST(1.3 AS DOUBLE))), 320) AS INTEGER) AS tokens FROM firsts),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY confidence DESC, doc_id) AS nth FROM evidence WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '') WHERE nth = 1),
+counted AS (SELECT *, regexp_extract_all(text, '\\S+') AS w FROM firsts),
+sized AS (SELECT * EXCLUDE (text, w), CASE WHEN len(w) <= 246 THEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) ELSE array_to_string(w[1:246], ' ') || ' …' END AS text, CAST(CASE WHEN len(w) <= 246 THEN greatest(1, floor(len(w) * CAST(1.3 AS DOUBLE))) ELSE 321 END AS INTEGER) AS tokens FROM counted),
 summed AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY item_id ORDER BY confidence DESC, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tokens_so_far, CAST(row_number() OVER (PARTITION BY item_id ORDER BY confidence DESC, doc_id) AS INTEGER) AS place FROM sized),
-chosen AS (SELECT * FROM summed WHERE tokens_so_far <= 1200 AND place <= 5)"""
+chosen AS (SELECT * FROM summed WHERE (tokens_so_far <= 1200 OR place = 1) AND place <= 5)"""
+_STOP = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
+TERMS = lambda t, words: rf"list_distinct(list_filter(regexp_extract_all(lower(coalesce({t}, '')), '[a-z][a-z\-]+'), lambda w: length(w) > 2 AND w NOT IN {_STOP(words)}))"
+SENTENCES = lambda t: rf"string_split(regexp_replace(trim({t}, ' ' || chr(9) || chr(10) || chr(13)), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+ANSWERS = (
+    CONTEXT.replace("1200", "1800")
+    + rf""",
+sentence_lists AS (SELECT item_id, place, c.text, {TERMS("b.text", ANSWER_STOP)} AS q, list_filter(list_transform({SENTENCES("c.text")}, lambda x: trim(x)), lambda x: len(regexp_extract_all(x, '\S+')) >= 4) AS s FROM chosen c JOIN benchmark b USING (item_id)),
+sentence_rows AS (SELECT item_id, place, q, unnest(CASE WHEN len(s) = 0 THEN [text] ELSE s END) AS x, unnest(range(greatest(1, len(s)))) AS i FROM sentence_lists),
+best_rows AS (SELECT item_id, place, arg_max(x, len(list_intersect({TERMS("x", ANSWER_STOP)}, q)) * 1000000 - i) AS s FROM sentence_rows GROUP BY ALL),
+one_line AS (SELECT item_id, place, trim(array_to_string(regexp_extract_all(replace(s, '•', ' '), '\S+'), ' '), ' -:;,') AS s FROM best_rows),
+said AS (SELECT item_id, place, regexp_replace(CASE WHEN length(s) <= 260 THEN s ELSE regexp_replace(left(s, 260), ' [^ ]*$', '') || ' …' END, '\.+$', '') AS s FROM one_line),
+once AS (SELECT item_id, s, min(place) AS place FROM said WHERE place <= 3 AND s <> '' GROUP BY ALL),
+answers AS (SELECT item_id, string_agg('[C' || place || '] ' || s || '.', ' ' ORDER BY place) AS answer FROM once GROUP BY 1),
+valid AS (SELECT item_id, list('C' || place ORDER BY place) AS valid FROM best_rows GROUP BY 1)"""
+)
+GROUNDED = (
+    ANSWERS
+    + rf""",
+marked_sentences AS (SELECT item_id, s, list_distinct(regexp_extract_all(s, '\[([CK][0-9]+)\]', 1)) AS marks, valid FROM (SELECT item_id, unnest({SENTENCES("answer")}) AS s FROM answers) JOIN valid USING (item_id) WHERE trim(s) <> ''),
+grounded AS (SELECT item_id, count(*) AS sentences, CAST(sum(CASE WHEN len(marks) > 0 AND len(list_filter(marks, lambda m: NOT list_contains(valid, m))) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS grounded,
+  array_to_string(list_sort(list_distinct(flatten(list(list_filter(marks, lambda m: NOT list_contains(valid, m)))))), ',') AS invalid FROM marked_sentences GROUP BY 1)"""
+)
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,14 +265,14 @@ def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evd.context(_evidence(spark, sf_dir), budget=1200).drop("text")
 
 
-@query()
+@query(f"WITH {EVIDENCE} {ANSWERS} SELECT item_id, answer, array_to_string(valid, ',') AS valid FROM answers JOIN valid USING (item_id)")
 def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = evd.context(_evidence(spark, sf_dir))
     return evd.answers(evd.best_sentences(chosen, _items(spark, sf_dir))).select("item_id", "answer", F.array_join("valid", ",").alias("valid"))
 
 
-@query()
-def grounding_of_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"WITH {EVIDENCE} {GROUNDED} SELECT *, round(grounded / sentences, 4) AS ratio FROM grounded")
+def grounding_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = evd.context(_evidence(spark, sf_dir))
     return ev.grounding(evd.answers(evd.best_sentences(chosen, _items(spark, sf_dir))), "item_id", "answer", "valid")
 
@@ -247,3 +280,48 @@ def grounding_of_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {EVIDENCE} SELECT source, count(*) AS citations, count(DISTINCT item_id) AS queries, round(avg(confidence), 6) AS mean_confidence FROM evidence GROUP BY 1")
 def citation_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evd.citation_sources(_evidence(spark, sf_dir))
+
+
+FAITHFUL = (
+    GROUNDED
+    + rf""",
+gold AS (SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+near_gold AS (SELECT c.item_id, avg(CASE WHEN g.doc_id IS NULL THEN 0 ELSE 1 END) AS context_precision, CAST(max(CASE WHEN g.doc_id IS NULL THEN 0 ELSE 1 END) AS DOUBLE) AS context_recall FROM chosen c LEFT JOIN gold g ON g.item_id = c.item_id AND g.doc_id = c.doc_id GROUP BY 1),
+cited_rows AS (SELECT item_id, pos, s, CAST(unnest(regexp_extract_all(s, '\[C([0-9]+)\]', 1)) AS INTEGER) AS place FROM (SELECT item_id, unnest({SENTENCES("answer")}) AS s, unnest(range(len({SENTENCES("answer")}))) AS pos FROM answers) WHERE trim(s) <> ''),
+held_rows AS (SELECT r.item_id, pos, {TERMS("s", EVALUATION_STOP)} AS w, {TERMS("c.text", EVALUATION_STOP)} AS t FROM cited_rows r LEFT JOIN chosen c ON c.item_id = r.item_id AND c.place = r.place),
+faithful AS (SELECT item_id, avg(ok) AS faithfulness FROM (SELECT item_id, pos, max(CASE WHEN len(w) > 0 AND len(list_intersect(w, t)) / len(w) >= 0.5 THEN 1 ELSE 0 END) AS ok FROM held_rows GROUP BY ALL) GROUP BY 1),
+complete AS (SELECT a.item_id, CASE WHEN len({TERMS("b.text", EVALUATION_STOP)}) > 0 THEN len(list_intersect({TERMS("b.text", EVALUATION_STOP)}, {TERMS("answer", EVALUATION_STOP)})) / len({TERMS("b.text", EVALUATION_STOP)}) ELSE 0 END AS completeness FROM answers a JOIN benchmark b USING (item_id)),
+answer_rows AS (SELECT item_id, round(context_precision, 6) AS context_precision, context_recall, CASE WHEN invalid = '' THEN 1 ELSE 0 END::DOUBLE AS citation_accuracy, round(grounded / sentences, 4) AS grounding, round(coalesce(faithfulness, 1), 6) AS faithfulness, CAST(0 AS DOUBLE) AS multi_hop, round(1 - round(grounded / sentences, 4), 4) AS hallucination, round(completeness, 6) AS completeness FROM near_gold JOIN grounded USING (item_id) JOIN complete USING (item_id) LEFT JOIN faithful USING (item_id))"""
+)
+
+
+def _answered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Answers, contexts and what is right."""
+    items = _items(spark, sf_dir)
+    chosen = stored(evd.context(_evidence(spark, sf_dir)))
+    return stored(evd.answers(evd.best_sentences(chosen, items))), chosen, r.containing(items, _docs(spark, sf_dir))
+
+
+@query(f"WITH {EVIDENCE} {FAITHFUL} SELECT * FROM answer_rows")
+def answer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said, chosen, gold = _answered(spark, sf_dir)
+    return ev.answer_metrics(said, chosen, _items(spark, sf_dir), gold)
+
+
+@query(f"WITH {EVIDENCE} {FAITHFUL} SELECT 'answers' AS arm, {', '.join(f'round(avg({m}), 4) AS {m}' for m in ev.ANSWER_METRICS)} FROM answer_rows")
+def answer_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said, chosen, gold = _answered(spark, sf_dir)
+    return ev.tagged_means({"answers": ev.answer_metrics(said, chosen, _items(spark, sf_dir), gold)}, ev.ANSWER_METRICS)
+
+
+_ARM = "SELECT '{arm}' AS arm, round(avg(hit), 4) AS hit, round(avg(reciprocal_rank), 4) AS reciprocal_rank, round(avg(ndcg), 4) AS ndcg FROM (SELECT CASE WHEN coalesce(hits, 0) > 0 THEN 1.0 ELSE 0.0 END AS hit, round(coalesce(1 / first, 0)::DOUBLE, 6) AS reciprocal_rank, round(coalesce(dcg / list_sum(list_transform(range(1, least(10, n) + 1), lambda i: 1 / log2(i + 1.0))), 0)::DOUBLE, 6) AS ndcg FROM benchmark b LEFT JOIN (SELECT item_id, count(*) AS n FROM gold GROUP BY 1) USING (item_id) LEFT JOIN (SELECT item_id, sum(rel) AS hits, min(CASE WHEN rel = 1 THEN rank END) AS first, sum(CASE WHEN rel = 1 THEN 1 / log2(rank + 1.0) ELSE 0.0 END) AS dcg FROM (SELECT f.item_id, f.rank, CASE WHEN g.doc_id IS NULL THEN 0 ELSE 1 END AS rel FROM {table} f LEFT JOIN gold g USING (item_id, doc_id) WHERE f.rank <= 10) GROUP BY 1) USING (item_id))"
+
+
+@query(f"WITH {HYBRID} {GOLD} " + " UNION ALL ".join(_ARM.format(arm=a, table=t) for a, t in (("lexical", "lexical"), ("sets", "sets"), ("hybrid", "fused"))))
+def retrieval_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The arms of hybrid retrieval side by side."""
+    items, docs = _items(spark, sf_dir), _docs(spark, sf_dir)
+    counts, gold = r.counted(docs), stored(r.containing(items, docs))
+    sets, lexical = stored(r.set_cosine(items, docs, 50, counts)), stored(r.bm25(items, docs, 50, counts=counts))
+    arms = {"lexical": lexical, "sets": sets, "hybrid": r.fused([(sets, r.c.W_DENSE), (lexical, r.c.W_LEXICAL)])}
+    return ev.tagged_means({a: ev.retrieval_metrics(x.where("rank <= 10"), gold, items) for a, x in arms.items()}, ("hit", "reciprocal_rank", "ndcg"))

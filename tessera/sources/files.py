@@ -13,8 +13,14 @@ SIDECAR = ".meta."
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """path, length and modified of every file below a folder but empty ones, which Spark's readers pass over; contents aren't read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", F.col("modificationTime").alias("modified"))
+    """path, length and modified of every file below a folder, by the file system that holds it; contents aren't read. Names are listed by the driver, as Spark's readers list them too; those pass over empty files, this does not."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    found, rows = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while found.hasNext():
+        f = found.next()
+        rows.append((f.getPath().toString(), f.getLen(), f.getModificationTime() / 1000))
+    return spark.createDataFrame(rows, "path string, length bigint, modified double").withColumn("modified", F.timestamp_seconds("modified"))
 
 
 def ending(path: Column) -> Column:

@@ -13,6 +13,8 @@ def scratch(spark: SparkSession) -> str:
     """A new folder name under the one that driver and executors share."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         named = spark.sparkContext.getCheckpointDir()
