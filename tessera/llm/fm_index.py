@@ -76,12 +76,13 @@ class FMIndex:
         if not 1 <= most <= 31:
             raise ValueError("matches of 1 to 31 symbols are known")
         n, self.most = len(text), most
-        values, rank = np.unique(text, return_inverse=True)
+        self.size = int(text.max()) + 1
+        rank = text
         ranks, width = {1: rank}, 1
         while width < 32:
             after = np.zeros(n, np.int64)
             after[: max(0, n - width)] = rank[width:] + 1
-            rank = np.unique(rank * (n + 1) + after, return_inverse=True)[1]
+            rank = np.unique(rank * (max(n, self.size) + 1) + after, return_inverse=True)[1]
             width *= 2
             ranks[width] = rank
         places = np.argsort(rank, kind="stable")
@@ -93,19 +94,19 @@ class FMIndex:
         #: What the suffixes on both sides of a border share; the outer borders share nothing.
         self.shared = np.zeros(n + 1, np.uint8)
         self.shared[1:n] = np.minimum(common, most)
-        self.size = int(values[-1]) + 1
         self.first = np.zeros(self.size + 1, np.int64)
         np.cumsum(np.bincount(text, minlength=self.size), out=self.first[1:])
-        self.matrix = WaveletMatrix(text[places - 1], self.size)
+        before = text[places - 1]
+        self.matrix = WaveletMatrix(before, self.size)
         self.n = n
-        self._sample(places)
+        self._sample(places, before)
 
-    def _sample(self, places: np.ndarray) -> None:
+    def _sample(self, places: np.ndarray, before: np.ndarray) -> None:
         """Keep one place in SAMPLE, and those from which a step through the BWT would not come to the suffix one place before: suffixes with 32 equal symbols are not told apart by what follows."""
-        order = np.empty(self.n, np.int64)
+        order, stepped = np.empty(self.n, np.int64), np.empty(self.n, np.int64)
         order[places] = np.arange(self.n)
-        kept = places % SAMPLE == 0
-        kept |= self.step(np.arange(self.n)) != order[places - 1]
+        stepped[np.argsort(before, kind="stable")] = np.arange(self.n)
+        kept = (places % SAMPLE == 0) | (stepped != order[places - 1])
         self.sampled, self.kept_places = Bits(kept), places[kept].astype(np.int32)
 
     def step(self, rows: np.ndarray) -> np.ndarray:
@@ -135,8 +136,8 @@ class FMIndex:
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the suffixes that begin with the symbol and go on like those between low and high."""
-        base = self.first[symbol]
-        return base + self.matrix.rank(symbol, low), base + self.matrix.rank(symbol, high)
+        both = self.matrix.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
+        return self.first[symbol] + both[: len(symbol)], self.first[symbol] + both[len(symbol) :]
 
     def matching_statistics(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each place of the queries (symbols[start:end]; symbols unknown to the index as 0): the length of the longest match that begins there, up to most, and the interval of suffixes that have it.

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,21 +60,27 @@ def codes_of(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((sums[ends] - sums[starts]) * down[starts] ^ mix((ends - starts).astype(np.uint64)))
 
 
-def segments_of(words: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """Of a document's word hashes: each segment's key, code, start, number of words, and whether a window may occur in it twice."""
+def segments_of(words: np.ndarray, firsts: np.ndarray, window: int = WINDOW, coded: bool = True) -> tuple[np.ndarray, ...]:
+    """Of the word hashes of some documents (firsts: where each begins, and the end): each segment's document, key, code (if asked for), start, number of words, and whether a window may occur in it twice."""
+    if len(words) < window:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64, bool))
     grams = np.zeros(len(words) - GRAM + 1, np.uint64)
     for k in range(GRAM):
         grams = grams * _STEP + words[k : k + len(grams)]
     grams = mix(grams)
     keys = least_of(grams, window - GRAM + 1)
-    starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
-    ends = np.append(starts[1:], len(keys)) + window - 1
+    of = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+    at = np.flatnonzero(of[: len(keys)] == of[window - 1 :])  # windows within a document
+    new = np.ones(len(at), bool)
+    new[1:] = (keys[at[1:]] != keys[at[:-1]]) | (of[at[1:]] != of[at[:-1]])
+    head = np.flatnonzero(new)
+    starts, ends = at[head], at[np.append(head[1:], len(at))[: len(head)] - 1] + window
     # A window that is there twice has its key's run there twice.
     sizes = ends - starts - GRAM + 1
-    of = np.repeat(np.arange(len(starts)), sizes)
-    at = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[of]
-    twice = np.bincount(of[grams[at] == keys[starts][of]], minlength=len(starts)) > 1
-    return keys[starts], codes_of(words, starts, ends), starts, ends - starts, twice
+    segment = np.repeat(np.arange(len(starts)), sizes)
+    runs = np.arange(len(segment)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[segment]
+    twice = np.bincount(segment[grams[runs] == keys[starts][segment]], minlength=len(starts)) > 1
+    return of[starts], keys[starts], codes_of(words, starts, ends) if coded else keys[:0], starts - firsts[of[starts]], ends - starts, twice
 
 
 def identified(df: DataFrame) -> DataFrame:
@@ -81,14 +88,6 @@ def identified(df: DataFrame) -> DataFrame:
     return df.withColumns({_K: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)), _H: F.xxhash64("doc_id", "text")})
 
 
-def _of_documents(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple]:
-    """The row, batch and segments of every document that has a window."""
-    for b in pieces_of(batches):
-        hashes, firsts, _, _ = word_hashes(texts_of(b))
-        for row in np.flatnonzero(np.diff(firsts) >= window).tolist():
-            yield b, row, segments_of(hashes[firsts[row] : firsts[row + 1]], window)
-
-
 def _keys(docs: DataFrame, window: int) -> DataFrame:
     """gram, n and twice: how many segments have each key, and whether a window may be twice in one; summed in parts of a task."""
 
@@ -98,7 +97,9 @@ def _keys(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, twices, n = [], [], 0
-        for _, _, (gram, _, _, _, twice) in _of_documents(batches, window):
+        for b in pieces_of(batches):
+            hashes, firsts, _, _ = word_hashes(texts_of(b))
+            _, gram, _, _, _, twice = segments_of(hashes, firsts, window, coded=False)
             grams.append(gram)
             twices.append(twice)
             n += len(gram)
@@ -114,21 +115,13 @@ def _keys(docs: DataFrame, window: int) -> DataFrame:
 def _segments(docs: DataFrame, window: int) -> DataFrame:
     """gram (the key), code, k, h, start and words of every segment."""
 
-    def flush(rows: list[tuple]) -> pa.RecordBatch:
-        gram, code, k, h, start, words = (np.concatenate(c) for c in zip(*rows, strict=True))
-        columns = [gram.view(np.int64), code.view(np.int64), k, h, start.astype(np.int32), words.astype(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "code", "k", "h", "start", "words"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, n = [], 0
-        for b, row, (gram, code, start, words, _) in _of_documents(batches, window):
-            rows.append((gram, code, np.full(len(gram), b.column(0)[row].as_py(), np.int64), np.full(len(gram), b.column(1)[row].as_py(), np.int64), start, words))
-            n += len(gram)
-            if n > 20_000:
-                yield flush(rows)
-                rows, n = [], 0
-        if rows:
-            yield flush(rows)
+        for b in pieces_of(batches):
+            hashes, firsts, _, _ = word_hashes(texts_of(b))
+            row, gram, code, start, words, _ = segments_of(hashes, firsts, window)
+            k, h = (np.asarray(b.column(c))[row] for c in (0, 1))
+            columns = [gram.view(np.int64), code.view(np.int64), k, h, start.astype(np.int32), words.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "code", "k", "h", "start", "words"])
 
     return docs.select("k", "h", "text").mapInArrow(run, "gram bigint, code bigint, k bigint, h bigint, start int, words int")
 
@@ -166,6 +159,8 @@ def _texts(docs: DataFrame) -> DataFrame:
         for b in pieces_of(batches):
             for k, h, text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b), b.column(3).to_pylist(), strict=True):
                 words, roles = text.split(), {}
+                line = b" ".join(words)
+                begins = np.cumsum([0, *map(len, words)]) + np.arange(len(words) + 1)
                 for x in wanted:
                     key = x["shard"], x["start"], x["words"]
                     roles[key] = roles.get(key, False) or x["first"]
@@ -174,7 +169,7 @@ def _texts(docs: DataFrame) -> DataFrame:
                     part = items[p : p + 20_000]
                     columns = [
                         pa.array([s for (s, _, _), _ in part], pa.int32()), pa.array([f for _, f in part], pa.bool_()), pa.array(np.full(len(part), k, np.int64)), pa.array(np.full(len(part), h, np.int64)),
-                        pa.array([a for (_, a, _), _ in part], pa.int32()), pa.array([b" ".join(words[a : a + n]) for (_, a, n), _ in part], pa.binary()),
+                        pa.array([a for (_, a, _), _ in part], pa.int32()), pa.array([line[p:q] for p, q in zip(begins[[a for (_, a, _), _ in part]].tolist(), (begins[[a + n for (_, a, n), _ in part]] - 1).tolist(), strict=True)], pa.binary()),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -184,21 +179,23 @@ def _texts(docs: DataFrame) -> DataFrame:
 def shard_spans(shard: pa.Table, window: int = WINDOW) -> pa.Table:
     """The spans (k, h, start, words) of a shard's segments whose windows start earlier, by the index of the shard's first ones."""
     shard = shard.combine_chunks()
+    # Distinct segments, and their words, numbered by what they are.
     encoded = shard["words"].combine_chunks().dictionary_encode()
-    texts, of = encoded.dictionary.to_pylist(), np.asarray(encoded.indices)
+    of, split = np.asarray(encoded.indices), pc.split_pattern(encoded.dictionary.cast(pa.string()), " ")
+    sizes = np.asarray(pc.list_value_length(split), np.int64)
+    at = np.cumsum(sizes) - sizes
+    symbols = np.asarray(split.flatten().dictionary_encode().indices, np.int64) + 1
     ks, hs, starts, first = (np.asarray(shard[c]) for c in ("k", "h", "start", "first"))
-    # The index: distinct words are numbered, segments stand in the order of documents and places, a 0 after each.
+    # The index: segments stand in the order of documents and places, a 0 after each.
     inside = np.flatnonzero(first)
     inside = inside[np.lexsort((starts[inside], hs[inside], ks[inside]))]
-    number: dict[bytes, int] = {}
-    split = [t.split() for t in texts]
-    symbols = [np.asarray([number.setdefault(w, len(number) + 1) for w in split[k]] + [0], np.int64) for k in of[inside].tolist()]
-    index = FMIndex(np.concatenate(symbols), window)
-    begins = np.cumsum([0, *map(len, symbols)])[:-1]
+    own = sizes[of[inside]] + 1
+    begins = np.cumsum(own) - own
+    within = np.arange(int(own.sum())) - np.repeat(begins, own)
+    text = np.append(symbols, 0)[np.where(within < np.repeat(own - 1, own), np.repeat(at[of[inside]], own) + within, -1)]
+    index = FMIndex(text, window)
     # Distinct segments are streamed through it.
-    queries = np.asarray([number.get(w, 0) for words in split for w in words], np.int64)
-    sizes = np.asarray([len(words) for words in split], np.int64)
-    at = np.cumsum(sizes) - sizes
+    queries = np.where(symbols < index.size, symbols, 0)
     length, lows, _ = index.matching_statistics(queries, at, at + sizes)
     # Where each window found is first: the least of its interval's places.
     hits = np.flatnonzero(length == window)
