@@ -35,6 +35,8 @@ LEAST_CHARS, LEAST_WORDS, LEAST_TEXTS = 200, 50, 20
 CHAR_BOUND, CHAR_SLACK = 0.14, 2.8
 WORD_BOUND, WORD_SLACK = 0.16, 1.5
 LEAST_BASE_WORDS, MOST_REPEAT_PERCENT, WINDOW = 50, 50, 3
+#: Languages (rows of about 300 bytes) that may be broadcast; parts that each language's rows are dealt to beyond that.
+BROADCAST_LANGUAGES, SALTS = 5_000, 64
 
 _P = "__tessera_"
 
@@ -122,10 +124,10 @@ def histograms(df: DataFrame, text: str = "text", lang: str = "lang", prefix: st
 
 
 def distance(p: Column, q: Column) -> Column:
-    """The Jensen-Shannon distance of two arrays of shares: the root of the divergence in bits."""
+    """The Jensen-Shannon distance of two arrays of shares: the root of the divergence in bits; null without the second."""
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
     terms = F.zip_with(p, q, lambda a, b: (part(a, (a + b) / 2) + part(b, (a + b) / 2)) / 2)
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
+    return F.when(q.isNotNull(), F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.lit(0.0))))
 
 
 def _mean(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:
@@ -136,6 +138,15 @@ def _mean(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     return mean.select(*keys, f"{prefix}texts", *(F.array(*(f"{h}{k}" for k in range(n))).alias(f"{prefix}ref_{h}") for h, n in sizes.items()))
 
 
+def with_language(rows: DataFrame, by_language: DataFrame, key: str) -> DataFrame:
+    """rows with the (stored) row of their language, if there is one. Few languages are broadcast; of more than that, each language's rows are dealt over SALTS tasks, for one language may hold most rows."""
+    if by_language.count() <= BROADCAST_LANGUAGES:
+        return rows.join(F.broadcast(by_language), key, "left")
+    salt = f"{key}_salt"
+    copies = by_language.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(copies, [key, salt], "left").drop(salt)
+
+
 def references(facts: DataFrame, prefix: str = _P) -> DataFrame:
     """A row for each language: its key, both references and how many distinct texts they come from."""
     key, both = f"{prefix}lang", [f"{prefix}chars", f"{prefix}words"]
@@ -143,9 +154,9 @@ def references(facts: DataFrame, prefix: str = _P) -> DataFrame:
     texts = clean.groupBy(key, f"{prefix}text_hash").agg(*(F.first(c).alias(c) for c in both))
     far = F.greatest(distance(F.col(both[0]), F.col(f"{prefix}ref_chars")), distance(F.col(both[1]), F.col(f"{prefix}ref_words")))
     texts = stored(texts, "histograms")
-    placed = texts.join(_mean(texts, [key], prefix), key).select(key, *both, far.alias(f"{prefix}far"))
+    placed = with_language(texts, stored(_mean(texts, [key], prefix), "means"), key).select(key, *both, far.alias(f"{prefix}far"))
     middle = placed.groupBy(key).agg(F.percentile_approx(f"{prefix}far", 0.5).alias(f"{prefix}middle"))
-    return _mean(placed.join(middle, key).where(F.col(f"{prefix}far") <= F.col(f"{prefix}middle")), [key], prefix)
+    return _mean(with_language(placed, stored(middle, "middles"), key).where(F.col(f"{prefix}far") <= F.col(f"{prefix}middle")), [key], prefix)
 
 
 def judged(df: DataFrame, text: str = "text", lang: str = "lang", prefix: str = _P, carry: list[str] | None = None) -> DataFrame:
@@ -155,7 +166,7 @@ def judged(df: DataFrame, text: str = "text", lang: str = "lang", prefix: str =
     facts = facts.withColumns({f"{prefix}lang": F.coalesce(F.col(lang), F.lit("")), f"{prefix}text_hash": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
     facts = stored(facts.select(*carry, *[c for c in facts.columns if c.startswith(prefix)]), "facts")
     refs = stored(references(facts, prefix), "references").where(F.col(f"{prefix}texts") >= LEAST_TEXTS)
-    out = facts.join(refs, f"{prefix}lang", "left")
+    out = with_language(facts, refs, f"{prefix}lang")
     n_chars, n_words = F.col(f"{prefix}n_chars"), F.col(f"{prefix}n_words")
     far = {
         f"{prefix}char_distance": F.when(n_chars >= LEAST_CHARS, distance(F.col(f"{prefix}chars"), F.col(f"{prefix}ref_chars"))),
