@@ -11,7 +11,8 @@ With 40 bands of 3 least and 3 greatest values, a pair of similarity 0.8 shares
 
 Defined cases: null and empty texts, and texts without words, have an empty set and link with nothing; fewer words than a
 shingle count as one shingle; rows that repeat a doc_id are one document, by its least set; a null doc_id links with
-nothing and is kept; an empty table gives no rows.
+nothing and is kept; an empty table gives no rows. The full sets are of 64-bit hashes of the shingles: two texts are
+linked wrongly only where such hashes meet by chance.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from tessera.llm.shared import documents, mix, pieces_of, stored, texts_of, word
 BANDS, PERMUTATIONS_A_BAND = 40, 3
 #: Shingles on each side of a block; a longer document is a side of its own.
 BLOCK = 150_000
+#: Parts that each family's documents are dealt to while they learn how large it is.
+SALTS = 32
 _STEP = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -152,16 +155,22 @@ def family_links(placed: DataFrame, df: DataFrame, words: int, percent: int) ->
     placed = stored(placed.join(apart, "key"), "apart")
     families = components(placed.select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
     docs = stored(placed.select("doc_id", "part").distinct().join(families, "doc_id"), "families")
-    sets = full_sets(df, docs.select("doc_id"), words).withColumn("size", F.octet_length("items") / 8)
-    docs = docs.join(sets.withColumnRenamed("id", "doc_id"), "doc_id")
+    sets = full_sets(df, docs.select("doc_id"), words)
+    docs = docs.join(sets.select(F.col("id").alias("doc_id"), (F.octet_length("items") / 8).alias("size")), "doc_id")
     parts = docs.groupBy("family", "part").agg(F.sum("size").alias("size"))
     wide = parts.groupBy("family").agg(F.sum("size").alias("whole"), F.max(F.struct("size", "part")).alias("main"))
-    docs = docs.join(wide, "family").withColumn("is_outer", F.col("part") != F.col("main.part"))
+    # A family may hold a large share of all documents, so nothing is dealt by family alone: first by family and salt, without
+    # the sets; then by document, to get the sets; then by block.
+    wide = wide.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    docs = docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(wide, ["family", "salt"]).withColumn("is_outer", F.col("part") != F.col("main.part"))
     n_inner, n_outer = F.ceil(F.col("whole") / BLOCK), F.ceil((F.col("whole") - F.col("main.size")) / BLOCK)
-    own = lambda n: F.pmod(F.xxhash64("doc_id"), n)
-    inner = docs.select("family", own(n_inner).alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), n_outer - 1)).alias("j"), F.lit(False).alias("outer"), "doc_id", "part", "items")
-    outer = docs.where("is_outer").select("family", F.explode(F.sequence(F.lit(0).cast("bigint"), n_inner - 1)).alias("i"), own(n_outer).alias("j"), F.lit(True).alias("outer"), "doc_id", "part", "items")
-    return inner.union(outer).groupBy("family", "i", "j").applyInArrow(lambda block: block_links(block, percent), f"a {kind}, b {kind}")
+    own, upto = lambda n: F.pmod(F.xxhash64(F.lit(1), "doc_id"), n), lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    # Of each document the blocks in which it is an inner and an outer one.
+    inner = F.transform(upto(n_outer), lambda j: F.struct(own(n_inner).alias("i"), j.alias("j"), F.lit(False).alias("outer")))
+    outer = F.transform(upto(n_inner), lambda i: F.struct(i.alias("i"), own(n_outer).alias("j"), F.lit(True).alias("outer")))
+    blocks = docs.select("doc_id", "family", "part", F.when(F.col("is_outer"), F.concat(inner, outer)).otherwise(inner).alias("blocks"))
+    dealt = blocks.join(sets.withColumnRenamed("id", "doc_id"), "doc_id").select("family", F.explode("blocks").alias("x"), "doc_id", "part", "items").select("family", "x.*", "doc_id", "part", "items")
+    return dealt.repartition("family", "i", "j").groupBy("family", "i", "j").applyInArrow(lambda block: block_links(block, percent), f"a {kind}, b {kind}")
 
 
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, permutations: int = PERMUTATIONS_A_BAND) -> DataFrame:
