@@ -9,13 +9,14 @@ features of the span itself, trained with the posteriors as weights, decides whi
 Of the corpus, only counts by vote pattern and by feature are gathered (at most 5 * 3^5 and 5 * 40 rows).
 
 Defined cases: a null text is an empty one and has no spans; very long texts are searched whole; equal rows get equal
-spans; candidates that overlap a base span or an earlier candidate are dropped; other columns are kept; an empty table
+spans; candidates that overlap a base span, and of the others those that overlap an earlier one, are dropped; other columns are kept; an empty table
 gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +38,8 @@ PATTERNS = {
 LOCAL_PHONE = r"(?<![0-9A-Za-z+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])"
 KEY = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])(?=[0-9_+/-]*[A-Za-z])[A-Za-z0-9_+/-]{20,}+"
 # Endings of host names, country codes, first digits of card numbers, words that announce a kind.
-ENDINGS = r"\.(com|org|net|edu|gov|info|io|eu|de|at|ch|fr|be|es|mx|uk|us|ca|it|nl)$"
-COUNTRY = r"^\+(1|33|34|44|49|32|39|41|43|52|54|57)[\x20(.-]"
+ENDINGS = r"\.(com|org|net|edu|gov|mil|int|info|biz|io|ai|app|dev|eu|de|at|ch|li|lu|fr|be|es|pt|mx|ar|cl|co|pe|br|uk|ie|us|ca|au|nz|it|nl|dk|se|no|fi|is|pl|cz|sk|hu|ro|bg|gr|tr|ru|ua|jp|kr|cn|hk|tw|in|sg|za|il|ae)$"
+COUNTRY = r"^\+(1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|54|55|56|57|60|61|62|63|64|65|66|81|82|84|86|90|91|351|352|353|354|358|420|421|971|972)[\x20(.-]"
 ISSUERS = r"^(4|5[1-5]|2[2-7]|3[47]|6011|65)"
 ANNOUNCED = {
     "email": r"(?i)(e-?mail|contact|write to|kontakt|courriel|correo|adresse)\W*$",
@@ -49,23 +50,43 @@ ANNOUNCED = {
 }
 UNSAID = r"(?i)(version|page|seite|isbn|issn|§|chapter|figure|no\.|nr\.)\W*$"
 LABELERS, ROUNDS, SMOOTH = 5, 25, 0.5
+_FAR = (1 << 31) - 1
 FEATURES, BUCKETS = 5, 8
 _P = "__tessera_"
-_FOUND = "struct<pos:int,out:array<struct<start:int,end:int,s:string,before:string,after:string>>>"
+#: How many values a step of running() goes over one by one, and characters of a block of a text that is cut often.
+STEP, TEXT_BLOCK = 48, 2048
+
+
+def running(values: Column, join: Callable[[Column, Column], Column], first: int, levels: int = 2) -> Column:
+    """Of each value (an array of bigint) the join of all before it. Blocks are joined first, then what precedes each block, then what precedes each value in its block, so that the time grows with the length (and beyond some millions of values a little faster)."""
+    over = lambda v, at, n: F.aggregate(F.slice(v, at, n), F.lit(first).cast("bigint"), lambda a, x: join(a, x))
+
+    def plain(v: Column) -> Column:
+        return F.transform(v, lambda _, i: over(v, F.lit(1), i))
+
+    def by_blocks(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), ((F.size(v) - 1) / STEP).cast("int")), lambda b: over(v, b * STEP + 1, F.lit(STEP)))
+
+        def within(before: Column) -> Column:
+            block = lambda i: (i / STEP).cast("int")
+            return F.transform(v, lambda _, i: join(F.get(before, block(i)), over(v, block(i) * STEP + 1, i % STEP)))
+
+        return let(running(blocks, join, first, levels - 1), within)
+
+    return let(values, lambda v: F.when(F.size(v) <= STEP, plain(v)).otherwise(by_blocks(v))) if levels else let(values, plain)
 
 
 def matches(text: Column, pattern: str) -> Column:
     """All matches from left to right, none overlapping: start, end (code points), s, and up to 24 characters before and one after, back to the last match."""
 
     def placed(found: Column, between: Column) -> Column:
-        def add(state: Column, i: Column) -> Column:
-            start = state["pos"] + F.length(F.get(between, i))
-            end = start + F.length(F.get(found, i))
-            one = F.struct(start.alias("start"), end.alias("end"), F.get(found, i).alias("s"), F.right(F.get(between, i), F.lit(24)).alias("before"), F.left(F.get(between, i + 1), F.lit(1)).alias("after"))
-            return F.struct(end.alias("pos"), F.concat(state["out"], F.array(one)).alias("out")).cast(_FOUND)
+        sizes = F.transform(found, lambda s, i: (F.length(s) + F.length(F.get(between, i))).cast("bigint"))
+
+        def one(before: Column, s: Column, i: Column) -> Column:
+            start = (F.get(before, i) + F.length(F.get(between, i))).cast("int")
+            return F.struct(start.alias("start"), (start + F.length(s)).alias("end"), s.alias("s"), F.right(F.get(between, i), F.lit(24)).alias("before"), F.left(F.get(between, i + 1), F.lit(1)).alias("after"))
 
-        none = F.struct(F.lit(0).alias("pos"), F.array().alias("out")).cast(_FOUND)
-        return F.when(F.size(found) == 0, none["out"]).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), none, add)["out"])
+        return let(running(sizes, lambda a, b: a + b, 0), lambda before: F.transform(found, lambda s, i: one(before, s, i)))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: let(F.split(text, pattern), lambda s: placed(m, s)))
 
@@ -214,11 +235,29 @@ def all_spans(found: DataFrame, prefix: str = _P) -> DataFrame:
         return out > 0
 
     short = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
-    base, kind = F.transform(F.col(f"{prefix}base"), short), "array<struct<start:int,kind:int,end:int>>"
-    apart = lambda x, spans: ~F.exists(spans, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
-    loose = F.array_sort(F.transform(F.filter(F.col(f"{prefix}loose"), accepted), short))
-    spans = F.aggregate(loose, base.cast(kind), lambda out, x: F.when(apart(x, out), F.concat(out, F.array(x))).otherwise(out).cast(kind))
-    return found.withColumns({f"{prefix}spans": F.when(F.size(f"{prefix}loose") == 0, F.array_sort(base).cast(kind)).otherwise(F.array_sort(spans))})
+    kind = "array<struct<start:int,kind:int,end:int>>"
+    base = F.array_sort(F.transform(F.col(f"{prefix}base"), short)).cast(kind)
+    loose = F.when(F.size(f"{prefix}loose") == 0, F.array().cast(kind)).otherwise(F.transform(F.filter(F.col(f"{prefix}loose"), accepted), short).cast(kind))
+    out = apart(found.withColumns({f"{prefix}spans": base, f"{prefix}more": loose}), f"{prefix}more", f"{prefix}spans", prefix)
+    return out.withColumn(f"{prefix}spans", F.when(F.size(f"{prefix}more") == 0, F.col(f"{prefix}spans")).otherwise(F.array_sort(F.concat(f"{prefix}spans", f"{prefix}more")))).drop(f"{prefix}more")
+
+
+def apart(df: DataFrame, loose: str, base: str, prefix: str = _P) -> DataFrame:
+    """df with only those candidates in the column loose that overlap no span in the column base and no earlier candidate of those. Both are put in order together; what reaches over a candidate is then known from what is before and after it."""
+    mark = lambda spans, own: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x["kind"].alias("kind"), x["end"].alias("end")))
+    ends = lambda spans, own: F.transform(spans, lambda x: F.when(x["own"] == own, x["end"]).otherwise(-1).cast("bigint"))
+    begins = lambda spans: F.transform(spans, lambda x: F.when(x["own"] == 0, x["start"]).otherwise(_FAR).cast("bigint"))
+    some = lambda x, like: F.when(F.size(loose) > 0, x).otherwise(F.array().cast(like))
+    spans, numbers = "array<struct<start:int,own:int,kind:int,end:int>>", "array<bigint>"
+    both, before, after = (F.col(f"{prefix}{c}") for c in ("both", "before", "after"))
+    out = df.withColumn(f"{prefix}both", some(F.array_sort(F.concat(mark(F.col(base), 0), mark(F.col(loose), 1))).cast(spans), spans))
+    out = out.withColumns({f"{prefix}before": some(running(ends(both, 0), F.greatest, -1), numbers), f"{prefix}after": some(F.reverse(running(F.reverse(begins(both)), F.least, _FAR)), numbers)})
+    # Bound by let, what is before and after is not computed for each element, however the optimizer joins projections.
+    clear = lambda b, a: F.filter(F.transform(both, lambda x, i: F.when((x["own"] == 1) & (F.get(b, i) <= x["start"]) & (F.get(a, i) >= x["end"]), x)), lambda x: x.isNotNull())
+    out = out.withColumn(f"{prefix}both", let(before, lambda b: let(after, lambda a: clear(b, a))))
+    out = out.withColumn(f"{prefix}before", some(running(ends(both, 1), F.greatest, -1), numbers))
+    first = lambda b: F.filter(F.transform(both, lambda x, i: F.when(F.get(b, i) <= x["start"], F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))), lambda x: x.isNotNull())
+    return out.withColumn(loose, let(before, first)).drop(f"{prefix}both", f"{prefix}before", f"{prefix}after")
 
 
 def _total(features: Column, bias: float, weights: list[float]) -> Column:
@@ -232,20 +271,29 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
 
 
+def cut(blocks: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end (exclusive) of a text in blocks of TEXT_BLOCK characters."""
+    at, to = (start / TEXT_BLOCK).cast("int"), (end / TEXT_BLOCK).cast("int")
+    left, right = (start % TEXT_BLOCK).cast("int"), (end % TEXT_BLOCK).cast("int")
+    block = lambda k: F.coalesce(F.get(blocks, k), F.lit(""))
+    over = F.concat(F.substring(block(at), left + 1, F.lit(TEXT_BLOCK)), F.array_join(F.slice(blocks, at + 2, F.greatest(to - at - 1, F.lit(0))), ""), F.substring(block(to), F.lit(1), right))
+    return F.when(at == to, F.substring(block(at), left + 1, right - left)).otherwise(over)
+
+
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """df with each span of its texts replaced by its kind in angle brackets, and n_chars (if there) by the new length. Null texts stay null."""
     out = all_spans(stored(found_spans(df, text), "spans"))
     t, names = F.col(text), F.array(*map(F.lit, KINDS))
-    state = "struct<pos:int,out:string>"
-
-    def step(a: Column, x: Column) -> Column:
-        said = F.concat(a["out"], F.substring(t, a["pos"] + 1, x["start"] - a["pos"]), F.lit("<"), F.get(names, x["kind"]), F.lit(">"))
-        apart = x["start"] >= a["pos"]
-        return F.struct(F.greatest(a["pos"], x["end"]).alias("pos"), F.when(apart, said).otherwise(a["out"]).alias("out")).cast(state)
-
-    spans = F.col(f"{_P}spans")
-    folded = F.aggregate(spans, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")).cast(state), step, lambda a: F.concat(a["out"], F.substring(t, a["pos"] + 1, F.length(t))))
-    out = out.withColumn(text, F.when(t.isNull() | (F.size(spans) == 0), t).otherwise(folded))
+    spans, covered, blocks = (F.col(f"{_P}{c}") for c in ("spans", "covered", "blocks"))
+    ends = F.transform(spans, lambda x: x["end"].cast("bigint"))
+    # Texts are cut at characters, which are counted from a text's beginning: so long ones are cut into blocks before.
+    out = out.withColumns({f"{_P}covered": running(ends, F.greatest, 0), f"{_P}blocks": F.when(F.length(t) <= TEXT_BLOCK, F.array(t)).otherwise(F.regexp_extract_all(t, F.lit(rf"(?s).{{1,{TEXT_BLOCK}}}"), F.lit(0)))})
+    # Text after the end of all earlier spans, then the kind of a span that begins behind it.
+    said = lambda c, b, x, i: F.when(F.get(c, i) <= x["start"], F.concat(cut(b, F.get(c, i), x["start"]), F.lit("<"), F.get(names, x["kind"]), F.lit(">"))).otherwise("")
+    between = lambda c, b: F.array_join(F.transform(spans, lambda x, i: said(c, b, x, i)), "")
+    last = lambda c: F.greatest(F.try_element_at(c, F.lit(-1)), F.try_element_at(ends, F.lit(-1)))
+    whole = let(covered, lambda c: let(blocks, lambda b: F.concat(between(c, b), cut(b, last(c), F.length(t)))))
+    out = out.withColumn(text, F.when(t.isNull() | (F.size(spans) == 0), t).otherwise(whole))
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.when(F.size(spans) == 0, F.col("n_chars")).otherwise(F.length(text)).cast(df.schema["n_chars"].dataType))
     return out.select(*df.columns)
