@@ -25,12 +25,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset and all run on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -104,11 +106,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Remembered(dict):
-    """Values of recent keys, in two generations of at most so many: made when asked for, taken over when asked for again, else forgotten."""
+    """Values of recent keys, in two generations of at most so many: made when asked for, taken over when asked for again, else forgotten. Longer keys than so many bytes are made each time, so that what is kept is bounded in bytes."""
 
-    def __init__(self, make: Callable, most: int):
+    def __init__(self, make: Callable, most: int, longest: int = 64):
         super().__init__()
-        self.make, self.most, self.older = make, most, {}
+        self.make, self.most, self.longest, self.older = make, most, longest, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
@@ -117,7 +119,8 @@ class Remembered(dict):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
-        self[key] = value
+        if len(key) <= self.longest:
+            self[key] = value
         return value
 
 

@@ -46,7 +46,8 @@ class WordEncoder:
 
     Each word is encoded by the library when it comes up, and remembered for a while. A word of Latin letters in composed form, with or without
     marks behind it, is just what the normalizer and pre-tokenizer cut in two, and goes straight to the library's model;
-    every other word goes through the whole tokenizer. The strings of special tokens are ordinary text.
+    every other word goes through the whole tokenizer, which also finds the strings of special tokens in it, as the library
+    does unless told otherwise.
     """
 
     def __init__(self, path: str):
@@ -54,7 +55,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.words = Remembered(self._word, CACHED_WORDS)
         self.plain = self._is_plain(path)
@@ -65,6 +65,9 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = [x["type"] for part in (spec["normalizer"], spec["pre_tokenizer"]) for x in (part or {}).get("normalizers", (part or {}).get("pretokenizers", []))]
+        # A special token must begin with a mark, hold a letter and no blank: then none spans words, or is in a word of letters and the marks behind it.
+        if any(t["lstrip"] or t["rstrip"] or t["normalized"] or t["content"][:1].isalpha() or not any(map(str.isalpha, t["content"])) or len(t["content"].split()) != 1 for t in spec["added_tokens"]):
+            return False
         return steps == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] and "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
 
     def _part(self, key: bytes) -> bytes:
