@@ -129,7 +129,7 @@ def train(df: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> tuple[dict[
 def scored(df: DataFrame, counts: DataFrame, words: Vocabulary, weights: dict[str, np.ndarray], borders: np.ndarray) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score (both in log10) of every row."""
     kind = df.schema["doc_id"].dataType.simpleString()
-    size = df.agg(F.sum(F.octet_length("text").cast("bigint") + 64)).first()[0] or 0
+    size = df.agg(F.sum(F.coalesce(F.octet_length("text").cast("bigint"), F.lit(0)) + 64)).first()[0] or 0
     group = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(-(-size // GROUP_BYTES) or 1)).cast("int")
     docs = df.select("doc_id", "text", group.alias("g")).repartition("g")
 
@@ -142,7 +142,10 @@ def scored(df: DataFrame, counts: DataFrame, words: Vocabulary, weights: dict[st
         # The group has asked for exactly its distinct words.
         distinct, at = np.unique(hashes, return_inverse=True)
         asked = np.asarray(known["hash"]).view(np.uint64)
-        count, ids = np.asarray(known["c"])[np.argsort(asked)][at].astype(np.float64), words.look_up(distinct)[at]
+        order = np.argsort(asked)
+        if not np.array_equal(asked[order], distinct):
+            raise ValueError("a group's answers are not those to its words")
+        count, ids = np.asarray(known["c"])[order][at].astype(np.float64), words.look_up(distinct)[at]
         base = np.log10((count + SMOOTH) / (words.total + SMOOTH * (words.distinct + 1)))
         model = gru.document_scores(weights, borders, ids, starts) / np.log(10)
         model += np.where(ids == OTHER, np.log10((count + SMOOTH) / (words.other_total + SMOOTH * (words.other_distinct + 1))), 0.0)

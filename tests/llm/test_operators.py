@@ -53,6 +53,61 @@ def test_quality_base_counts(spark, tables, corpus):
     assert not got[symbols][6]
 
 
+def test_verdicts_against_a_plain_version(spark, tables, corpus):
+    """Histograms, references and distances in numpy."""
+    from tessera.llm import divergence as D
+
+    split = lambda t: BLANKS.findall(t or "")
+    names = max(map(len, D.COMMON.values()))
+
+    def shares(x):
+        return np.asarray(x) / sum(x) if sum(x) else np.zeros(len(x))
+
+    def histograms(text, lang):
+        text = text or ""
+        kind = collections.Counter("upper" if c.isupper() else "letter" if c.isalpha() else "digit" if c.isdecimal() else "stop" if c in ".,;:!?'\"()-" else "symbol" if c in "#*$%&|<>" else "blank" if c in " \t\n\x0b\f\r" else "other" for c in text if not "a" <= c <= "z")
+        lower = sum("a" <= c <= "z" for c in text)
+        chars = shares([lower, kind["upper"], kind["letter"], kind["digit"], kind["stop"], kind["symbol"], kind["blank"], kind["other"]])
+        known = D.COMMON.get(lang, [])
+        hits = [known.index(w) for w in re.split(r"[\x20\x09-\x0D.,;:!?]+", text.lower()) if w in known]
+        counts = [hits.count(k) for k in range(names)]
+        return chars, shares([*counts, max(0, len(split(text)) - len(hits))])
+
+    def distance(p, q):
+        m = (p + q) / 2
+        part = lambda x: sum(a * math.log2(a / b) for a, b in zip(x, m) if a > 0)
+        return math.sqrt(max(0, (part(p) + part(q)) / 2))
+
+    rows = [(k, t, lang or "") for k, t, lang, *_ in corpus]
+    facts = {k: (t or "", lang, histograms(t, lang), base_counts(t)) for k, t, lang in rows}
+    refs = {}
+    for lang in {x[1] for x in facts.values()}:
+        clean = list({t: h for t, l, h, b in facts.values() if l == lang and not b[5]}.values())
+        if not clean:
+            continue
+        mean = [np.mean([h[i] for h in clean], axis=0) for i in (0, 1)]
+        far = [max(distance(h[0], mean[0]), distance(h[1], mean[1])) for h in clean]
+        middle = sorted(far)[(len(far) + 1) // 2 - 1]
+        near = [h for h, f in zip(clean, far) if f <= middle + 1e-12]
+        refs[lang] = (len(near), [np.mean([h[i] for h in near], axis=0) for i in (0, 1)])
+    got = {r[0]: r[1:] for r in rows_of(run(spark, tables, "op1_divergence_rules"), "doc_id", "char_distance", "word_distance", "kept")}
+    for k, (text, lang, h, base) in facts.items():
+        n, ref = refs.get(lang, (0, None))
+        a = distance(h[0], ref[0]) if n >= D.LEAST_TEXTS and len(text) >= D.LEAST_CHARS else None
+        b = distance(h[1], ref[1]) if n >= D.LEAST_TEXTS and base[0] >= D.LEAST_WORDS else None
+        assert got[k][0] == (a if a is None else pytest.approx(a, abs=1e-9)) and got[k][1] == (b if b is None else pytest.approx(b, abs=1e-9)), k
+        rejected = a is not None and a > D.CHAR_BOUND + D.CHAR_SLACK / math.sqrt(len(text)) or b is not None and b > D.WORD_BOUND + D.WORD_SLACK / math.sqrt(base[0])
+        assert got[k][2] == (not base[5] and not rejected), k
+
+
+def test_many_languages_are_not_broadcast(spark, docs, monkeypatch):
+    from tessera.llm import divergence as D
+
+    few = {tuple(r) for r in D.judged(docs, carry=["doc_id"]).select("doc_id", "__tessera_kept").collect()}
+    monkeypatch.setattr(D, "BROADCAST_LANGUAGES", 0)
+    assert {tuple(r) for r in D.judged(docs, carry=["doc_id"]).select("doc_id", "__tessera_kept").collect()} == few
+
+
 def brute_repeats(corpus, window=20):
     seen, out = set(), {}
     for doc_id, text, *_ in sorted(corpus, key=lambda r: r[0]):
@@ -144,7 +199,6 @@ def test_token_table(spark, tables, corpus):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     start, expected = 0, {}
     for doc_id, text, *_ in sorted(corpus, key=lambda r: r[0]):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
@@ -154,6 +208,25 @@ def test_token_table(spark, tables, corpus):
     assert got == expected
 
 
+def test_plain_words_are_encoded_as_the_library_does():
+    """Every character of the short way, alone, inside a word and before each mark; special tokens are found as the library finds them."""
+    import string
+
+    from tokenizers import Tokenizer
+
+    from tessera.llm.tokens import _SIMPLE, WORD_BPE, encoder
+
+    t, enc = Tokenizer.from_file(WORD_BPE), encoder(WORD_BPE)
+    letters = [chr(k) for k in range(0x250) if _SIMPLE(chr(k))]
+    words = [w for c in letters for w in (c, f"x{c}y", f"{c}{c.upper()}s", f"the{c}.")] + [f"Word{m}{n}" for m in string.punctuation for n in ["", *string.punctuation]]
+    words += ["<|endoftext|>", "a<|endoftext|>b", "<|startoftext|>.", "<|endoftext|", "x" * 5000, "e\u0301t\u00e9", "don't", "3rd", "½", "\u00a0x", "İi"]
+    for w in words:
+        assert np.frombuffer(enc.encode([w.encode()])[0], "<u4").tolist() == t.encode(w, add_special_tokens=False).ids, w
+    text = " one <|endoftext|>two\nthree<|startoftext|> four "
+    assert np.frombuffer(enc.encode([text.encode()])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert max(map(len, enc.words)) <= 64
+
+
 def test_token_table_selective_reads(spark, docs, tmp_path):
     from tessera.llm.tokens import read_tokens, write_tokens
 
@@ -323,6 +396,51 @@ def test_personal_data(spark, tables, corpus):
     assert any(v[5] for v in got.values()) and not got[0][5]
 
 
+def test_personal_data_in_a_text_full_of_numbers(spark):
+    """A megabyte of numbers and keys takes time in proportion; spans and redaction are those of a plain version."""
+    import time
+
+    from tessera.llm.personal import all_spans, found_spans, redact
+
+    part = "call 555-123-4567 or +44 20 7946 0958, 10.0.0.7 key=ab12cd34ef56ab12cd34ef56 4111 1111 1111 1111 a@b.org é "
+    rows = [(1, part * 3), (2, part * 1_500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    begun = time.time()
+    spans = {r["doc_id"]: [(x["start"], x["end"], x["kind"]) for x in r["__tessera_spans"]] for r in all_spans(found_spans(df)).collect()}
+    assert time.time() - begun < 60
+    base = base_spans(part)
+    n = len(part)
+    assert len(spans[2]) * 3 == len(spans[1]) * 1_500
+    assert {(s % n, e % n, k) for s, e, k in spans[2]} == {(s % n, e % n, k) for s, e, k in spans[1]}
+    assert {f"{['email', 'ip', 'card', 'phone', 'secret'][k]}:{s}:{e}" for s, e, k in spans[1] if s < n} >= set(base)
+    begun = time.time()
+    out = {r["doc_id"]: r["text"] for r in redact(df).collect()}
+    assert time.time() - begun < 60
+    for doc_id, text in rows:
+        plain, at = [], 0
+        for s, e, k in sorted(spans[doc_id]):
+            if s >= at:
+                plain += [text[at:s], f"<{['email', 'ip', 'card', 'phone', 'secret'][k]}>"]
+            at = max(at, e)
+        assert out[doc_id] == "".join(plain) + text[at:]
+
+
+def test_running_joins(spark):
+    from tessera.llm.personal import running
+
+    import random
+
+    draw = random.Random(2)
+    for n in (0, 1, 23, 24, 25, 600, 15_000):
+        values = [draw.randrange(100) for _ in range(n)]
+        got = spark.createDataFrame([(values,)], "v array<bigint>").select(running(F.col("v"), lambda a, b: a + b, 0), running(F.col("v"), F.greatest, -1)).first()
+        total, most = 0, -1
+        for k, v in enumerate(values):
+            assert (got[0][k], got[1][k]) == (total, most)
+            total, most = total + v, max(most, v)
+        assert len(got[0]) == n
+
+
 @pytest.mark.parametrize("text", ["a@b.c@d.e x@y.com_foo@bar.com", "1.2.3.4.5.6.7.8 0001.2.3.255 1.2.3", "+1+1+1 (22) 333 4444 5555+", "4111-1111-1111-1111 4111 1111 1111 1112 4 1 1 1", "1" * 30_000, "a" * 20_000 + "@", "+" + "1" * 9, "ü 10.0.0.1 😀 j@k.lm"])
 def test_personal_patterns_match_plain_ones(spark, text):
     from tessera.llm.personal import KINDS, found_spans
@@ -372,7 +490,7 @@ def test_near_duplicates(spark, tables, corpus):
     assert sum(not v[2] for v in got.values()) >= 6
 
 
-def test_near_duplicates_in_one_large_family(spark):
+def test_near_duplicates_in_one_large_family(spark, monkeypatch):
     """A chain of texts each a little further from the first: only some are linked to the least member of a bucket."""
     import random
 
@@ -387,10 +505,9 @@ def test_near_duplicates_in_one_large_family(spark):
         rows.append((k, " ".join(words), "en", "s", 0))
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     for block in (150_000, 300):
-        minmax.BLOCK = block
+        monkeypatch.setattr(minmax, "BLOCK", block)
         got = {r[0]: r[1:] for r in rows_of(minmax.near_duplicates(df, 4, 80), "doc_id", "n_shingles", "component_id", "kept")}
         assert got == brute_groups(rows, 4, 80)
-    minmax.BLOCK = 150_000
 
 
 def test_components_of_a_path(spark):
@@ -405,7 +522,6 @@ def test_packing(spark, tables, corpus):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     expected = {}
     for doc_id, text, *_ in corpus:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
