@@ -32,13 +32,14 @@ def test_library(spark):
 
 
 def test_files(spark, tmp_path):
+    (tmp_path / "void.md").write_text("")
     for name in ("math/algebra/w1/A b.md", "math/algebra/w1/a-b.txt", "top.md", "math/x.meta.json", "math/y.exe"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text("x")
     found = fl.classified(fl.listing(spark, tmp_path.as_uri()), str(tmp_path))
-    assert sorted(r["resource_id"] for r in found.collect()) == ["math.algebra.w1.a-b", "math.algebra.w1.a-b-2", "technical.misc.m00.top"]
+    assert sorted(r["resource_id"] for r in found.collect()) == ["math.algebra.w1.a-b", "math.algebra.w1.a-b-2", "technical.misc.m00.top", "technical.misc.m00.void"]
     issues = {r["path"].split("/")[-1]: r["issues"] for r in fl.file_issues(fl.listing(spark, tmp_path.as_uri())).collect()}
-    assert issues == {"y.exe": ["error: ending"]}
+    assert issues == {"y.exe": ["error: ending"], "void.md": ["warning: empty"]}
     empty = spark.createDataFrame([("/a/b.md", 0)], "path string, length bigint")
     assert fl.file_issues(empty).first()["issues"] == ["warning: empty"]
     names = spark.createDataFrame([("../a/.b c?.md",)], "n string").select(fl.safe_name(F.col("n")), fl.is_resource_id(F.lit("a.b.c.d-1"))).first()
@@ -63,9 +64,15 @@ def test_tables(spark, tmp_path):
 
 
 def test_trust_and_selection(spark):
-    p = spark.createDataFrame([(1, "A university course of 2024-05-01 with references and doi"), (2, "buy now click here casino"), (3, "of 2013-01-01"), (4, "of 2024-99-99")], "page_id bigint, text string")
-    t = {r[0]: r[1] for r in p.select("page_id", rs.trust(F.lit(0.95), F.col("text"), "2024-06-01")).collect()}
-    assert t[1] > 0.6 > 0.4 > t[2] and t[3] == pytest.approx(0.38) and t[4] == pytest.approx(0.455)
+    rows = [(1, "https://arxiv.org/abs/1", "A tutorial", "introduction and guide, 2024-05"), (2, "https://spam.biz/x", "buy now", "click here, casino"), (3, "https://www.arxiv.org/abs/1/", "t", ""), (4, "https://x.ac.uk/?q", "t", "of 2013-01"), (5, "https://docs.github.com/a", "t", "2024-99")]
+    got = {r["page_id"]: r for r in rs.scored_sources(spark.createDataFrame(rows, "page_id bigint, url string, title string, snippet string"), "2024-06-01", deny=("spam.biz",)).collect()}
+    fresh = 1 - 31 / 1825
+    assert got[1]["trust"] == pytest.approx(0.4 + 0.15 * fresh + 0.2 * 0.85 + 0.15 * 0.8, abs=1e-3) and not got[1]["duplicate"]
+    assert got[2]["trust"] == 0 and got[2]["spam"] == 1.0 and got[4]["authority"] == 0.85 and got[4]["fresh"] == 0.0 and got[5]["authority"] == 0.7 and got[5]["fresh"] == 0.5
+    again = rs.scored_sources(spark.createDataFrame([rows[0], (9, "HTTPS://arxiv.org/abs/1", "t", "")], "page_id bigint, url string, title string, snippet string"), "2024-06-01")
+    assert {r["page_id"]: r["duplicate"] for r in again.collect()} == {1: False, 9: True}
+    found = rs.term_search(spark.createDataFrame([(0, "Cat the on of"), (1, "zz")], "item_id int, text string"), spark.createDataFrame([(1, "cats concat CAT", ), (2, "then other"), (3, None)], "page_id int, text string"))
+    assert {(r["page_id"], r["hits"]) for r in found.collect()} == {(1, 3), (2, 2)}
     s = spark.createDataFrame([(0, 1, 0.9, False), (0, 2, 0.95, True), (0, 3, 0.3, False)], "item_id int, page_id int, trust double, duplicate boolean")
     assert [r["page_id"] for r in rs.selected(s).collect()] == [1]
     q = spark.createDataFrame([(0, "gradient descent")], "item_id int, text string")
@@ -74,9 +81,9 @@ def test_trust_and_selection(spark):
 
 
 def test_confidence_and_merging(spark):
-    e = spark.createDataFrame([(0, 1, 0.9, 22.0, "a"), (0, 2, 0.5, 3.0, "a"), (0, 9, 1.0, 99.0, "b")], "item_id int, rank int, semantic double, lexical double, source string")
+    e = spark.createDataFrame([(0, 1, 0.9, 22.0, "a"), (0, 2, 0.5, 3.0, "c"), (0, 9, 1.0, 99.0, "b")], "item_id int, rank int, semantic double, lexical double, source string")
     c = rs.confidence(e).first()
-    assert c["confidence"] == pytest.approx(0.55 * 0.9 + 0.3 + 0.15) and c["level"] == "high" and c["answered"]
+    assert c["confidence"] == pytest.approx(0.55 * 0.9 + 0.3 * 0.5 + 0.15) and c["level"] == "high" and c["answered"]
     rows = lambda x: spark.createDataFrame(x, "item_id int, ref string, confidence double")
     assert [r["ref"] for r in rs.merged_evidence(rows([(0, "a", 0.5)]), rows([(0, "w", 0.9)])).orderBy("rank").collect()] == ["w", "a"]
     assert spark.createDataFrame([("cats cat",)], "t string").select(rs.occurrences(F.col("t"), F.lit("cat"))).first()[0] == 2.0

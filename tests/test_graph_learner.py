@@ -36,7 +36,8 @@ def test_components_and_statistics(spark):
 
 def test_cooccurrence_and_merging(spark):
     m = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "b"), (3, "a"), (3, "c"), (2, "b")], "grp int, item string")
-    assert [tuple(x) for x in g.cooccurrence(m, "grp", "item").collect()] == [("a", "b", 2, [1, 2])]
+    assert [tuple(x) for x in g.cooccurrence(m, "grp", "item", sources=1).collect()] == [("a", "b", 2, [1])]
+    assert [tuple(x) for x in g.cooccurrence(m, "grp", "item").collect()] == [("a", "b", 2)]
     e = spark.createDataFrame([("a", "b", "x", 1.0, "s2"), ("a", "b", "x", 2.0, "s1")], "src string, dst string, kind string, weight double, source string")
     assert tuple(g.merged_edges(e).first()) == ("a", "b", "x", 3.0, 2, "s1")
     near = g.neighbours(edges(spark, [("a", "b", "x", 1.0), ("c", "a", "y", 1.0)]), spark.createDataFrame([("a",)], "id string"))
@@ -104,4 +105,13 @@ def test_catalog(spark):
         cat.filtered(old, {"k"}, z=1)
     v = cat.validated(old, {"even": ("warning", F.col("k") % 2 == 0), "small": ("error", F.col("k") < 3)})
     assert [x["status"] for x in v.orderBy("k").collect()] == ["WARNING", "VALID", "INVALID"]
-    assert spark.createDataFrame([("plan my week",), ("hi",)], "t string").select(cat.routed(F.col("t"))).collect()[0][0] == "planner"
+    said = ["plan my week", "quiz me on sql", "give me a mcq", "create a study plan", "save this page to knowledge", "search the web for news", "find resources on joins", "what are my preferences", None]
+    routes = [r[0] for r in spark.createDataFrame([(x,) for x in said], "t string").select(cat.routed(F.col("t"))).collect()]
+    assert routes == ["planner", "quiz", "quiz", "planner", "curator", "web_research", "research", "tutor", "tutor"]
+
+
+def test_rewards_and_transitions(spark):
+    r = spark.range(1).select(ln.reward(F.lit(1.0), F.lit(0.1), F.lit(15.0), F.lit(0), F.lit(1)), ln.reward(F.lit(0.0), F.lit(-0.1), F.lit(90.0), F.lit(1), F.lit(0), F.lit(0.2))).first()
+    assert r[0] == pytest.approx(0.4 + 0.1 - 0.075 - 0.3) and r[1] == pytest.approx(-0.1 - 0.15 - 0.3 - 0.2)
+    log_ = spark.createDataFrame([(1, 1, "a", None), (1, 2, None, 5), (1, 3, "b", None), (2, 1, None, None)], "k int, at int, s string, n int")
+    assert {tuple(x) for x in cat.transitions(log_, "k", ["s", "n"], ["at"]).collect()} == {(1, "b", 5, 3), (2, None, None, 1)}

@@ -54,11 +54,13 @@ def test_metrics(spark):
 
 def test_vectors(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.9, 0.1], 0), (3, [0.0, 1.0], 1), (4, [0.1, 0.9], 1)], "vec_id bigint, embedding array<double>, label int")
-    old = r.QUERY_BLOCK, r.CORPUS_BLOCK
-    for r.QUERY_BLOCK, r.CORPUS_BLOCK in ((1000, 20_000), (2, 1)):
+    old = r.QUERY_BLOCK, r.CORPUS_BLOCK, r.QUERY_BYTES
+    for r.QUERY_BLOCK, r.CORPUS_BLOCK, r.QUERY_BYTES in ((1000, 20_000, 1 << 20), (1000, 20_000, 0), (2, 1, 0)):
         near = r.nearest(v, v, k=1)
         assert {(x["query_id"], x["vec_id"]) for x in near.collect()} == {(1, 2), (2, 1), (3, 4), (4, 3)}
-    r.QUERY_BLOCK, r.CORPUS_BLOCK = old
+    r.QUERY_BLOCK, r.CORPUS_BLOCK, r.QUERY_BYTES = old
+    tied = spark.createDataFrame([(k, [1.0, 1.0]) for k in range(9)], "vec_id bigint, embedding array<double>")
+    assert [x["vec_id"] for x in r.nearest(tied.where("vec_id = 4"), tied, k=3).orderBy("rank").collect()] == [0, 1, 2]
     assert ev.purity(near, v).first()["purity"] == 1.0
     assert ev.coherence_gap(v).first()["gap"] > 0.7
     assert r.nearest(v.where("vec_id > 9"), v).collect() == []
@@ -72,8 +74,8 @@ def test_hashed_embedding(spark):
 
 def test_containment(spark):
     docs = spark.createDataFrame([(1, "xx one two three four five six seven yy"), (2, "one two three four"), (3, "none")], "doc_id bigint, text string")
-    items = spark.createDataFrame([(1, "one two three four five six seven"), (2, "three four"), (3, "x one two three four five six")], "item_id bigint, text string")
-    assert {tuple(x) for x in r.containing(items, docs).collect()} == {(1, 1), (2, 1), (2, 2), (3, 1)}
+    items = spark.createDataFrame([(1, "one two three four five six seven"), (2, "three four"), (3, "x one two three four five six"), (4, "our"), (5, "e four"), (6, " "), (7, "one two three"), (8, "")], "item_id bigint, text string")
+    assert {tuple(x) for x in r.containing(items, docs).collect()} == {(1, 1), (2, 1), (2, 2), (3, 1), (4, 1), (4, 2), (5, 1), (5, 2), (6, 1), (6, 2), (7, 1), (7, 2), (8, 1), (8, 2), (8, 3)}
 
 
 def test_auc(spark):
@@ -86,6 +88,9 @@ def test_context_stops_at_the_budget(spark):
     e = spark.createDataFrame([(0, 1, 0.9, "a " * 4, "p"), (0, 2, 0.8, "b " * 4, "p"), (0, 3, 0.7, "c " * 40, "q"), (0, 4, 0.6, "d", "r")], "item_id bigint, doc_id bigint, confidence double, text string, source string")
     assert [x["doc_id"] for x in evd.context(e, budget=6).collect()] == [1]
     assert [x["doc_id"] for x in evd.context(e, budget=600).orderBy("place").collect()] == [1, 3, 4]
+    assert [x["doc_id"] for x in evd.context(e, budget=1).collect()] == [1]
+    long = evd.context(spark.createDataFrame([(0, 1, 0.9, "w " * 400, "p")], "item_id bigint, doc_id bigint, confidence double, text string, source string")).first()
+    assert long["tokens"] == 321 and long["text"].endswith("w …")
 
 
 def test_grounding(spark):
@@ -97,7 +102,15 @@ def test_grounding(spark):
 def test_answers_cite_their_items(spark):
     chosen = spark.createDataFrame([(0, 1, "Cats sleep. A pool shrinks maps. Dogs bark.")], "item_id bigint, place int, text string")
     out = evd.answers(evd.best_sentences(chosen, ask(spark, "what shrinks maps"))).first()
-    assert out["answer"] == "A pool shrinks maps [C1]." and out["valid"] == ["C1"]
+    assert out["answer"] == "[C1] A pool shrinks maps." and out["valid"] == ["C1"]
+    concepts = spark.createDataFrame([(0, 1, "Pool", 0, "seed", ["Pool"], 0.5), (0, 2, "Map", 1, "related_to", ["Pool", "Map"], 0.5)], "item_id bigint, place int, concept string, hop int, relationship string, path array<string>, confidence double")
+    both = evd.answers(evd.best_sentences(chosen, ask(spark, "what shrinks maps")), concepts=concepts, queries=ask(spark, "x").union(spark.createDataFrame([(9, "y")], "item_id bigint, text string")))
+    said = {x["item_id"]: x for x in both.collect()}
+    assert said[0]["answer"] == "Key concepts: Pool [K1], Map [K2]. [C1] A pool shrinks maps." and said[0]["valid"] == ["C1", "K1", "K2"] and said[9]["answer"] == evd.NO_ANSWER
+    assert [tuple(x)[:4] for x in evd.relations(concepts).collect()] == [(0, "Pool", "related_to", "Map")]
+    rows = chosen.withColumn("doc_id", F.lit(5))
+    text = evd.prompts(rows, ask(spark, "what?"), concepts).first()["prompt"]
+    assert "[K2] Map (1-hop via related_to, conf 0.50)" in text and "- Pool --related_to--> Map" in text and "[C1] #5" in text and text.endswith("# ANSWER")
 
 
 def test_running_totals_over_many_ranges(spark):

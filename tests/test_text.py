@@ -49,5 +49,8 @@ def test_small_functions(spark):
     assert len(one(spark, "!!!", tx.slug)) == 12
     assert one(spark, "pools [C1] and [K2].", tx.cited) == ["C1", "K2"]
     assert one(spark, "https://www.Example.org:80/a/?utm=x#y", tx.domain) == "example.org"
-    assert one(spark, "https://Example.org/a/?utm=x", tx.url_key) == "https://example.org/a"
+    assert one(spark, "https://Example.org/a/?utm=x", tx.url_key) == "https://example.org/a/"
+    assert one(spark, "https://Example.org/a//", tx.url_key) == "https://example.org/a"
+    assert one(spark, "aé ࢠ٣ b", lambda t: F.array(*tx.script_counts(t))) == [2, 2]
+    assert spark.range(1).select(tx.key_terms(F.lit("The longest words here win"), F.lit("win")), tx.study_minutes(F.lit(500)), tx.iso_time(F.lit(0)), tx.term_counts(F.lit("b a b cc"), 1)).first()[:3] == (["win", "longest", "words", "here"], 2, "1970-01-01T00:00:00Z")
     assert spark.range(1).select(tx.clock(F.lit(125.4))).first()[0] == "2:05"
