@@ -51,7 +51,8 @@ def fold(key: str, n: int) -> F.Column:
 
 
 def trim() -> None:
-    """Give memory that is free back to the system, where the C library can: a worker lives on after its task."""
+    """Give memory that is free back to the system, Arrow's and, where it can, the C library's: a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
