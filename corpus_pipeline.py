@@ -2,6 +2,9 @@
 
 Each stage takes the documents that its predecessor kept, with the columns of the table, and applies one operator. Between
 stages the documents are written to the shared folder and read again, so a lost executor never costs more than a stage.
+
+Every stage takes empty tables (and gives none), texts of any length, rows that repeat, and further columns, whatever their
+names, which it hands on.
 """
 
 from __future__ import annotations
@@ -17,27 +20,27 @@ from tessera.llm.substring_dedup import remove_repeats
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and lie near their language's references."""
+    """Documents that pass the base rules and lie near their language's references. Null and empty texts fail the base rules; a null language is one of its own; equal rows are judged alike."""
     return quality_filter(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each group linked by shingles of five words at similarity 0.8."""
+    """One document, that with the least id, of each group linked by shingles of five words at similarity 0.8. Null and empty texts link with nothing; of rows that share an id that with the least text stays; rows with a null id all stay."""
     return without_near_duplicates(docs, words=5, percent=80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 20 words or more that also stand earlier. A document left empty stays, as an empty text."""
+    """Documents without the passages of 20 words or more that also stand earlier (by id, then place; null ids last). A document left empty stays, as an empty text; null texts stay null; rows equal in id and text lose the same words, other rows with one id are different documents."""
     return remove_repeats(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
+    """Documents with personal data replaced by its kind in angle brackets. Null and empty texts stay as they are; of spans that overlap the first is replaced."""
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces and their places in sequences of 2048 ids."""
+    """The documents' pieces and their places in sequences of 2048 ids. A null or empty text is its end id alone; rows that repeat are packed each; ties in length are told apart by id, piece and start."""
     return pack_pieces(cut_pieces(docs))
 
 
