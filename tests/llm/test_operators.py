@@ -279,6 +279,62 @@ def test_gru_gradients_and_carried_state():
     assert one[:7] == pytest.approx(two[51:58], abs=1e-5)
 
 
+def test_the_language_model_learns_more_than_counts():
+    """Documents that walk round a ring of words: counts know nothing of the next one, a carried state does."""
+    from tessera.llm import gru
+
+    draw = np.random.default_rng(4)
+    ring = np.arange(2, 22)
+
+    def walk(n):
+        at = int(draw.integers(20))
+        return np.append(ring[(at + np.arange(n)) % 20], gru.END)
+
+    train, held = [walk(60) for _ in range(400)], [walk(60) for _ in range(20)]
+    counts = np.bincount(np.concatenate(train), minlength=22).astype(float) + 1
+    borders = gru.class_borders(counts, 4)
+    trainer = gru.Trainer(gru.fresh(counts, borders), borders)
+    for _ in range(4):
+        trainer.learn(np.concatenate(train), lanes=8)
+    ids = np.concatenate(held)
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in held])])
+    scores = gru.document_scores(trainer.w, borders, ids, starts)
+    base = np.log(counts / counts.sum())[ids]
+    assert scores.mean() > base.mean() + 0.5
+    # One document alone, word by word, has the same likelihood.
+    h, last, plain = np.zeros((1, trainer.w["inner"].shape[0]), np.float32), np.asarray([gru.END]), []
+    for word in held[0]:
+        h = gru.step(trainer.w, trainer.w["into"][last], h)[-1]
+        plain.append(float(gru.log_likelihood(trainer.w, borders, h, np.asarray([word]))[0]))
+        last = np.asarray([word])
+    assert scores[: len(plain)] == pytest.approx(plain, abs=1e-5)
+
+
+def test_dual_coordinate_descent_finds_the_optimum():
+    from tessera.llm import nbsvm as N
+
+    draw = np.random.default_rng(2)
+    labels = draw.integers(0, 2, 60)
+    some = draw.random((60, 200)) < np.where(labels[:, None] == 1, np.linspace(0.1, 0.4, 200), np.linspace(0.4, 0.1, 200))
+    rows = np.zeros((60, N.WIDTH), bool)
+    rows[:, :200] = some
+    bits = np.packbits(rows, axis=1)
+    scale = N.log_count_ratios(bits, labels)
+    x = rows[:, :200] * scale[:200]
+    x = np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.ones((60, 1))])
+    y = np.where(labels == 1, 1.0, -1.0)
+    loss = lambda w: 0.5 * w @ w + N.COST * np.maximum(0, 1 - y * (x @ w)).sum()
+    found = N.dual_coordinate_descent(bits, labels, scale, epochs=2000)
+    own = np.append(found[:200], found[-1])
+    assert not found[200:-1].any()
+    best, w = np.inf, np.zeros(201)
+    for t in range(1, 20_001):  # subgradient descent
+        w = w - (w - N.COST * (y * (1 - y * (x @ w) > 0)) @ x) / t
+        best = min(best, loss(w))
+    assert loss(own) <= best + 1e-3 * best
+    assert loss(np.append(*(lambda v: (v[:200], v[-1]))(N.dual_coordinate_descent(bits, labels, scale)))) <= 1.05 * loss(own)
+
+
 def test_quality_classifier(spark, tables, corpus):
     got = {r[0]: r[1:] for r in rows_of(run(spark, tables, "op5_quality_classifier"), "doc_id", "held_out", "score", "predicted")}
     assert set(got) == {r[0] for r in corpus}
