@@ -32,7 +32,54 @@ SELECT doc_id, len(w) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_re
 FROM docs LEFT JOIN lists USING (doc_id)
 """
 
+NEGATIVES = """
+WITH whole AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+  FROM whole a JOIN whole b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.other_id) AS INTEGER) AS rank, n.other_id AS negative_id, positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * positive_score <= 100 * n.score AND 100 * n.score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+MIXED = f"""
+WITH sized AS (SELECT doc_id, source, CAST(len({WORDS.format(text="coalesce(text, '')")}) AS BIGINT) AS size, md5('20240229:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS s, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM sized GROUP BY source),
+filled AS (
+  SELECT *, (SELECT sum(s) FROM sources) - coalesce(sum(3 * s) OVER before, 0) AS room, (SELECT sum(w) FROM sources) - coalesce(sum(w) OVER before, 0) AS weights
+  FROM sources WINDOW before AS (ORDER BY 3 * s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+levels AS (SELECT min(room / weights) AS level FROM filled WHERE w * (room / weights) <= 3 * s),
+targets AS (SELECT source, s, least(CAST(3 * s AS DOUBLE), w * level) AS target FROM sources, levels),
+aims AS (SELECT *, CASE WHEN s = 0 THEN 0 ELSE CAST(floor(target / s) AS BIGINT) END AS whole FROM targets),
+sums AS (SELECT d.*, a.s, a.target, a.whole, CAST(round(a.target) AS BIGINT) - a.whole * a.s AS rest, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM sized d JOIN aims a ON d.source IS NOT DISTINCT FROM a.source)
+SELECT doc_id, size, s AS source_size, target, CAST(whole * size + least(size, greatest(0, rest - before)) AS BIGINT) AS taken FROM sums
+"""
+
+#: Terms of a text, A-Z in lower case, as a list.
+TERMS = rf"regexp_extract_all({LOWER.format(text='coalesce(text, %s)' % repr(''))}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+RANKED = f"""
+WITH words AS (SELECT doc_id, unnest({TERMS}) AS term FROM documents),
+lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+facts AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM lengths),
+postings AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), facts),
+asked AS (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // total))))) AS BIGINT) AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), facts GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_fm_dedup": REPEATS,
     "op9_minmax_dedup": NEAR.format(k=4, p=80),
+    "op11_sorted_hard_negatives": NEGATIVES,
+    "op12_water_filled_mix": MIXED,
+    "op13_range_maximum_search": RANKED,
 }
