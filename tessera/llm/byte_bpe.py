@@ -36,6 +36,8 @@ from tessera.llm.shared import documents, pieces_of, texts_of
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: How many states and pieces a Python worker keeps before it begins anew.
 KEPT_STATES, KEPT_PIECES = 100_000, 500_000
+#: Bytes of a piece after which the number of states is looked at.
+RUN = 4096
 #: Longer pieces (in characters) are encoded each time.
 KEPT_LENGTH = 64
 
@@ -87,15 +89,20 @@ class Transducer:
         self.bytes_read = self.steps_built = self.lookahead = 0
         self.forget()
 
-    def forget(self) -> None:
-        """Drop all states but the first."""
+    def forget(self, state: int = 0) -> int:
+        """Drop all states but the first and the one given; its new number."""
         first = (((), -1, 0),)
+        now, ends = (self.readings[state], self.finals[state]) if state else (first, ())
         self.readings = {0: first}
         self.number = {first: 0}
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.finals: dict[int, tuple[int, ...] | None] = {0: ()}
         if len(self.allowed) > 8 * self.kept_states:
             self.allowed = {}
+        if not state:
+            return 0
+        self.readings[256], self.number[now], self.finals[256] = now, 256, ends
+        return 256
 
     def spine(self, token: int, right: bool) -> tuple[tuple[bytes, int], ...]:
         """The parts at one end of a token as it grows, from a byte to itself, each with the rank that ends it."""
@@ -170,18 +177,20 @@ class Transducer:
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         """The ids of a piece, by steps of the determinised transducer; those not yet there are built."""
-        if len(self.number) > self.kept_states:
-            self.forget()
-        state, out, step_of = 0, (), self.steps.get
-        for byte in piece:
-            state, emitted = step_of(state | byte) or self._step(state, byte)
-            if emitted:
-                out += emitted
+        state, out = 0, []
+        for at in range(0, len(piece), RUN):
+            if len(self.number) > self.kept_states:
+                state = self.forget(state)
+            step_of = self.steps.get
+            for byte in piece[at : at + RUN]:
+                state, emitted = step_of(state | byte) or self._step(state, byte)
+                if emitted:
+                    out += emitted
         self.bytes_read += len(piece)
         rest = self.finals[state]
         if rest is None:
             raise ValueError(f"no single reading of {piece!r}: these ranks are no BPE")
-        return out + rest
+        return (*out, *rest)
 
     def stream(self, piece: bytes) -> Iterator[tuple[int, ...]]:
         """The tokens that each byte lets out, and those that the end does."""

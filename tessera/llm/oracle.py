@@ -53,7 +53,7 @@ sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS s, [5, 2, 1][1 + (row_nu
 filled AS (
   SELECT *, (SELECT sum(s) FROM sources) - coalesce(sum(3 * s) OVER before, 0) AS room, (SELECT sum(w) FROM sources) - coalesce(sum(w) OVER before, 0) AS weights
   FROM sources WINDOW before AS (ORDER BY 3 * s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-levels AS (SELECT min(room / weights) AS level FROM filled WHERE w * (room / weights) <= 3 * s),
+levels AS (SELECT max(room / weights) AS level FROM filled WHERE s > 0),
 targets AS (SELECT source, s, least(CAST(3 * s AS DOUBLE), w * level) AS target FROM sources, levels),
 aims AS (SELECT *, CASE WHEN s = 0 THEN 0 ELSE CAST(floor(target / s) AS BIGINT) END AS whole FROM targets),
 sums AS (SELECT d.*, a.s, a.target, a.whole, CAST(round(a.target) AS BIGINT) - a.whole * a.s AS rest, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before

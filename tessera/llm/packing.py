@@ -4,10 +4,10 @@ Documents are encoded and closed by an end id; only those longer than a sequence
 alone. The others are dealt at random into shards of some thousands, each packed by several islands: an island's members
 are packings, at first of the pieces in random orders; crossover injects whole well-filled bins of one parent into another,
 removes the bins that hold any of the same pieces and those filled badly, and best-fits the pieces thus displaced, largest
-first. No packing by sorted order is among the members: what comes out is what crossover has made. After each epoch an
-island's elites move on to the next island of its shard, where they meet new random members. Pieces from the bins that
-stay badly filled are gathered from all shards and packed once more the same way, so that a shard leaves no remainder of
-its own.
+first. After each epoch an island's elites move on to the next island of its shard, where they meet new random members. In
+the last epoch a packing by size joins them, so that a shard never comes to more sequences than by best fit decreasing.
+Pieces from the bins that stay badly filled are gathered from all shards and packed again the same way, as long as they
+fill more than one shard and get fewer, so that a shard leaves no remainder of its own.
 
 Defined cases: a null text is an empty one and has the end id alone; rows that repeat are packed each; ties in length are
 told apart by doc_id, piece and start; an empty table gives no rows.
@@ -101,11 +101,13 @@ def crossover(a: Packing, b: Packing, sizes: np.ndarray, capacity: int, draw: np
     return Packing(best_fit(sizes, displaced[np.argsort(-sizes[displaced], kind="stable")], bins, fill, capacity), sizes)
 
 
-def evolve(sizes: np.ndarray, elites: list[np.ndarray], seed: int, capacity: int = CAPACITY, children: int = CHILDREN, members: int = MEMBERS, kept: int = ELITES) -> list[np.ndarray]:
-    """One epoch of one island, from the elites given and random members: its elites, the best first. It stops early where no bin can be saved any more."""
+def evolve(sizes: np.ndarray, elites: list[np.ndarray], seed: int, capacity: int = CAPACITY, children: int = CHILDREN, members: int = MEMBERS, kept: int = ELITES, by_size: bool = False) -> list[np.ndarray]:
+    """One epoch of one island, from the elites given and random members, one of them packed by size if asked for: its elites, the best first. It stops early where no bin can be saved any more."""
     draw = np.random.Generator(np.random.PCG64(seed))
     least = -(-int(sizes.sum()) // capacity)
     people = [Packing(e, sizes) for e in elites]
+    if by_size:
+        people.append(Packing(best_fit(sizes, np.argsort(-sizes, kind="stable"), np.full(len(sizes), -1, np.int64), [], capacity), sizes))
     while len(people) < members:
         people.append(Packing(best_fit(sizes, draw.permutation(len(sizes)), np.full(len(sizes), -1, np.int64), [], capacity), sizes))
     rank = lambda p: p.score(capacity)
@@ -132,7 +134,7 @@ def _epoch(islands: DataFrame, epoch: int, capacity: int) -> DataFrame:
             out, bins, score = [], [], []
             for shard, island, items, elites in zip(b["shard"].to_pylist(), b["island"].to_pylist(), b["items"], b["elites"].to_pylist(), strict=True):
                 sizes = np.asarray(items.values.field("length"), np.int64)
-                best = evolve(sizes, [np.frombuffer(e, np.int32) for e in elites or []], hash((shard, island, epoch)) & 0x7FFFFFFF, capacity)
+                best = evolve(sizes, [np.frombuffer(e, np.int32) for e in elites or []], hash((shard, island, epoch)) & 0x7FFFFFFF, capacity, by_size=epoch == EPOCHS - 1)
                 out.append([x.tobytes() for x in best])
                 n, s = Packing(best[0], sizes).score(capacity)
                 bins.append(n)
@@ -186,10 +188,15 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     pieces = stored(pieces, "pieces")
     columns = [*pieces.columns, "sequence_id", "offset"]
     whole = pieces.where(F.col("length") >= capacity).select(*pieces.columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
-    first = stored(pack(pieces.where(F.col("length") < capacity), capacity), "packed")
-    well = F.col("fill") >= WELL_FILLED * capacity
-    again = pack(stored(first.where(~well).select(*pieces.columns), "pieces"), capacity, first_shard=1 << 30)
-    return whole.union(first.where(well).select(*columns)).union(again.select(*columns))
+    well, done, shard, before = F.col("fill") >= WELL_FILLED * capacity, whole, 0, None
+    rest = pieces.where(F.col("length") < capacity)
+    while True:
+        packed = stored(pack(rest, capacity, first_shard=shard), "packed")
+        left = packed.where(~well).count()
+        if before is not None and (left <= SHARD or left > 0.9 * before) or not left:
+            return done.union(packed.select(*columns))
+        done = done.union(packed.where(well).select(*columns))
+        rest, before, shard = stored(packed.where(~well).select(*pieces.columns), "pieces"), left, shard + (1 << 26)
 
 
 def packed_ids(df: DataFrame, placed: DataFrame, end_id: int = END_ID, tokenizer: str = WORD_BPE) -> DataFrame:
