@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.operators import graph as g
 from tessera.operators import mining as mn
 from tessera.operators.retrieval import hash_embedding, nearest
+from tessera.storage import stored
 
 #: Aliases that may be in one pattern, and mined candidates that are folded in one task.
 MOST_ALIASES, MOST_CANDIDATES = 20_000, 360
@@ -31,20 +32,41 @@ def aliases(lexicon: DataFrame, least: int = 1) -> DataFrame:
     return lexicon.select("concept_id", F.explode(both).alias("alias")).where(F.length("alias") >= least).groupBy("alias").agg(F.min("concept_id").alias("concept_id"))
 
 
-def alias_pattern(known: DataFrame) -> str:
-    """One pattern of all aliases as whole words, the longest first, so that of aliases that begin at one place the longest is found."""
+def alias_pattern(known: DataFrame) -> str | None:
+    """One pattern of all aliases as whole words, the longest first, so that of aliases that begin at one place the longest is found; None beyond MOST_ALIASES."""
     words = [r[0] for r in known.select("alias").limit(MOST_ALIASES + 1).collect()]  # a curated list, checked
     if len(words) > MOST_ALIASES:
-        raise ValueError(f"more than {MOST_ALIASES} aliases")
+        return None
     ordered = sorted(words, key=lambda w: (-len(w), w))
     return rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(re.escape(w) for w in ordered) or '(?!)'})(?![\p{{L}}\p{{N}}_])"
 
 
+def joined_aliases(docs: DataFrame, known: DataFrame, key: str, text: str) -> DataFrame:
+    """key and alias of every find, as the pattern of all aliases would give them, for any number of aliases: the texts' parts from each place where a word may begin, as long as aliases are, meet the aliases in a join; of those that overlap the first stays, and of those that begin at one place the longest. What a document's finds are folded over is the finds alone."""
+    low = docs.select(F.monotonically_increasing_id().alias("__row"), key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__text"))
+    low = stored(low)
+    lengths = [r[0] for r in known.select(F.length("alias")).distinct().orderBy(F.length("alias")).collect()]  # few: lengths of names
+    word = r"[\p{L}\p{N}_]"
+    begins = F.filter(F.sequence(F.lit(1), F.length("__text")), lambda i: ~F.substr(F.col("__text"), i - 1, F.when(i > 1, 1).otherwise(0)).rlike(word))
+    places = low.where(F.length("__text") > 0).select("__row", "__text", F.explode(begins).alias("at"))
+    parts = places.select("__row", "at", F.explode(F.array(*map(F.lit, lengths))).alias("n"), "__text").where(F.col("at") + F.col("n") - 1 <= F.length("__text"))
+    parts = parts.where(~F.substr("__text", F.col("at") + F.col("n"), F.lit(1)).rlike(word)).select("__row", "at", "n", F.substr("__text", "at", "n").alias("alias"))
+    hits = parts.join(known.select("alias"), "alias").groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("n"), "alias"))).alias("hits"))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("kept"))
+    kept = F.aggregate("hits", start, lambda a, h: F.when(h["at"] > a["end"], F.struct((h["at"] - h["n"] - 1).alias("end"), F.array_append(a["kept"], h["alias"]).alias("kept"))).otherwise(a))["kept"]
+    return low.select("__row", key).join(hits.select("__row", kept.alias("kept")), "__row").select(key, F.explode("kept").alias("alias"))
+
+
 def mentions(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text", least: int = 1) -> DataFrame:
     """key, concept_id, alias and hits: aliases in the texts from left to right, none overlapping."""
     known = aliases(lexicon, least)
-    found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(alias_pattern(known)), F.lit(0))
-    return docs.select(key, F.explode(found).alias("alias")).groupBy(key, "alias").agg(F.count("*").alias("hits")).join(F.broadcast(known), "alias").select(key, "concept_id", "alias", "hits")
+    pattern = alias_pattern(known)
+    if pattern is None:
+        found = joined_aliases(docs, known, key, text)
+    else:
+        found = docs.select(key, F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(pattern), F.lit(0))).alias("alias"))
+        known = F.broadcast(known)
+    return found.groupBy(key, "alias").agg(F.count("*").alias("hits")).join(known, "alias").select(key, "concept_id", "alias", "hits")
 
 
 def lexicon_concepts(found: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -109,7 +131,7 @@ def title_tokens(text: Column) -> Column:
 def concept_edges(found: DataFrame, concepts: DataFrame, resources: DataFrame) -> DataFrame:
     """Edges (src, dst, kind, weight, source) of concepts to the resources that mention them (resource_id, concept_id, alias): appears_in where the title has a word of the concept's name or the topics an alias, else mentioned_in; and explains back from the former."""
     topics = F.transform(F.coalesce("topics", F.array().cast("array<string>")), lambda t: F.lower(t))
-    marked = found.join(F.broadcast(concepts.select("concept_id", title_tokens(F.col("canonical")).alias("name"))), "concept_id")
+    marked = found.join(concepts.select("concept_id", title_tokens(F.col("canonical")).alias("name")), "concept_id")
     marked = marked.join(resources.select("resource_id", title_tokens(F.col("title")).alias("title"), topics.alias("topics")), "resource_id")
     strong = F.arrays_overlap("name", "title") | F.array_contains("topics", F.col("alias"))
     pairs = marked.groupBy("concept_id", "resource_id").agg(F.max(F.coalesce(strong, F.lit(False))).alias("strong"))

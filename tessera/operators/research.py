@@ -84,14 +84,15 @@ def freshness(text: Column, today: str) -> Column:
 
 
 def scored_sources(results: DataFrame, today: str, deny: tuple[str, ...] = (), by: str | None = None, order: str = "page_id") -> DataFrame:
-    """results (page_id, url, title, snippet and what else) with domain, url_key, what speaks for and against the source, trust, and duplicate: whether an earlier one in order (of the same by, if given) has the key."""
+    """results (page_id, url, title, snippet, published if there is such a column, and what else; the date is looked for in published where that isn't empty, else in the texts) with domain, url_key, what speaks for and against the source, trust, and duplicate: whether an earlier one in order (of the same by, if given) has the key."""
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit("")))
     count = lambda pattern: F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+    dated = F.coalesce(F.nullif(F.col("published").cast("string"), F.lit("")), text) if "published" in results.columns else text
     denied = F.col("domain").isin(list(deny)) if deny else F.lit(False)
     out = results.withColumn("domain", domain(F.col("url")))
     out = out.withColumn("url_key", F.coalesce(F.nullif(url_key(F.col("url")), F.lit("")), F.concat_ws("::", "domain", F.lower(F.trim("title")))))
     out = out.withColumns({
-        "authority": authority(F.col("domain")), "fresh": freshness(text, today), "teaching": F.least(F.lit(1.0), 0.4 + 0.15 * count(TEACHING)),
+        "authority": authority(F.col("domain")), "fresh": freshness(dated, today), "teaching": F.least(F.lit(1.0), 0.4 + 0.15 * count(TEACHING)),
         "spam": F.least(F.lit(1.0), 0.25 * count(SPAM) + F.when(denied, 0.5).otherwise(0.0)),
     })
     out = out.withColumn("citing", F.when(F.col("domain").isin(list(AUTHORITY)), 0.8).when(F.col("authority") >= 0.7, 0.5).otherwise(0.3))

@@ -175,6 +175,7 @@ def latency_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.latencies(table(spark, sf_dir, "events"), "event_type", "value")
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(str((name, len(words))) for name, words in ROUTES)}) t(route, words)")
+@query(f"SELECT {ROUTE_SQL} AS route, role, count(*) AS turns, count(DISTINCT conv_id) AS conversations FROM conversations GROUP BY ALL")
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(name, len(words)) for name, words in ROUTES], "route string, words int")
+    """How many turns of each role, and of how many conversations, go by each route."""
+    return table(spark, sf_dir, "conversations").groupBy(routed(F.col("text")).alias("route"), "role").agg(F.count("*").alias("turns"), F.countDistinct("conv_id").alias("conversations"))

@@ -35,11 +35,11 @@ def completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.completion(ln.mastery(ln.learner_events(table(spark, sf_dir, "events"))), activity(spark, sf_dir), 8)
 
 
-@query(f"""WITH {ACTIVITY}, r AS (SELECT doc_id AS ref, source AS course FROM documents WHERE doc_id < 60), n AS (SELECT course, count(*) AS available FROM r GROUP BY 1), d AS (SELECT student, course, count(*) AS completed FROM (SELECT DISTINCT student, ref FROM activity WHERE kind IN ('lesson', 'video', 'reading')) JOIN r USING (ref) GROUP BY ALL)
+@query(f"""WITH {ACTIVITY}, r AS (SELECT doc_id AS ref, source AS course FROM documents), n AS (SELECT course, count(*) AS available FROM r GROUP BY 1), d AS (SELECT student, course, count(*) AS completed FROM (SELECT DISTINCT student, ref FROM activity WHERE kind IN ('lesson', 'video', 'reading')) JOIN r USING (ref) GROUP BY ALL)
 SELECT student, course, completed, available, round(completed / available, 3) AS rate FROM d JOIN n USING (course)""")
 def course_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of each source's first documents a student has been through."""
-    return pl.course_completion(activity(spark, sf_dir), table(spark, sf_dir, "documents").where("doc_id < 60").select(F.col("doc_id").alias("ref"), F.col("source").alias("course")))
+    """How much of each source's documents a student has been through."""
+    return pl.course_completion(activity(spark, sf_dir), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref"), F.col("source").alias("course")))
 
 
 GOALS = """goals AS (SELECT DISTINCT user_id AS student, CASE WHEN user_id % 4 = 0 THEN ['concept:tion', 'concept:none'] END AS concepts, CASE WHEN user_id % 4 = 1 THEN 'en' END AS course FROM events)"""
@@ -165,12 +165,12 @@ def policy_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GAIN = lambda a, d: f"exp(-pow(1 / (1 + exp(-(6.0::DOUBLE * ({a} - {d})))) - 0.6::DOUBLE, 2) / (2 * 0.0256::DOUBLE))"
 
 
-@query(f"""WITH grid AS (SELECT (12 + 4 * k) / 100::DOUBLE AS ability FROM range(19) t(k)), d AS (SELECT unnest([0.2, 0.35, 0.5, 0.65, 0.8])::DOUBLE AS d), best AS (SELECT ability, max({_GAIN("ability", "d")}) AS best FROM grid, d GROUP BY 1),
-c AS (SELECT ability, policy, CASE policy WHEN 'fixed-medium' THEN 0.5 WHEN 'always-hard' THEN 0.8 WHEN 'always-easy' THEN 0.2 END::DOUBLE AS d FROM grid, (VALUES ('fixed-medium'), ('always-hard'), ('always-easy'), ('oracle')) p(policy))
-SELECT policy, round(avg(g), 4) AS mean_reward, round(avg(best - g), 4) AS regret FROM (SELECT policy, best, CASE WHEN policy = 'oracle' THEN best ELSE {_GAIN("c.ability", "c.d")} END AS g FROM c JOIN best USING (ability)) GROUP BY 1""")
+@query(f"""WITH {MASTERY}, grid AS (SELECT student, concept, mastery AS ability FROM mastery), d AS (SELECT unnest([0.2, 0.35, 0.5, 0.65, 0.8])::DOUBLE AS d), best AS (SELECT ability, student, concept, max({_GAIN("ability", "d")}) AS best FROM grid, d GROUP BY ALL),
+c AS (SELECT student, concept, ability, policy, CASE policy WHEN 'fixed-medium' THEN 0.5 WHEN 'always-hard' THEN 0.8 WHEN 'always-easy' THEN 0.2 END::DOUBLE AS d FROM grid, (VALUES ('fixed-medium'), ('always-hard'), ('always-easy'), ('oracle')) p(policy))
+SELECT policy, round(avg(g), 4) AS mean_reward, round(avg(best - g), 4) AS regret FROM (SELECT policy, best, CASE WHEN policy = 'oracle' THEN best ELSE {_GAIN("c.ability", "c.d")} END AS g FROM c JOIN best USING (student, concept)) GROUP BY 1""")
 def policy_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean reward and regret of fixed and best choices over a grid of learners."""
-    return po.policy_evaluation(spark.range(19).select(((F.lit(12) + 4 * F.col("id")) / F.lit(100.0)).alias("ability")))
+    """Mean reward and regret of fixed and best choices over all learners and concepts, each with its mastery as ability."""
+    return po.policy_evaluation(ln.mastery(ln.learner_events(table(spark, sf_dir, "events"))).select(F.col("mastery").alias("ability")))
 
 
 @query(f"""WITH {MASTERY}, {ACTIVITY.replace("event_id % 60 AS ref", "event_id % 60 AS ref, CASE event_type WHEN 'view' THEN 8 WHEN 'click' THEN 10 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 15 ELSE 2 END AS minutes")},

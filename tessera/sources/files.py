@@ -12,15 +12,19 @@ MOST_BYTES = 150 << 20
 SIDECAR = ".meta."
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """path, length and modified of every file below a folder, by the file system that holds it; contents aren't read. Names are listed by the driver, as Spark's readers list them too; those pass over empty files, this does not."""
+def listing(spark: SparkSession, root: str, empty: bool = True) -> DataFrame:
+    """path, length and modified of every file below a folder; contents aren't read. Spark's reader lists the files, with a job of its own where folders are many; it passes over empty ones (and those whose names begin with . or _), which the driver finds by walking the folders, unless told not to: only their names it holds."""
+    filled = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", F.col("modificationTime").alias("modified"))
+    if not empty:
+        return filled
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     found, rows = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True), []
     while found.hasNext():
         f = found.next()
-        rows.append((f.getPath().toString(), f.getLen(), f.getModificationTime() / 1000))
-    return spark.createDataFrame(rows, "path string, length bigint, modified double").withColumn("modified", F.timestamp_seconds("modified"))
+        if not f.getLen() and f.getPath().getName()[0] not in "._":
+            rows.append((f.getPath().toString(), 0, f.getModificationTime() / 1000))
+    return filled.unionByName(spark.createDataFrame(rows, "path string, length bigint, modified double").withColumn("modified", F.timestamp_seconds("modified")))
 
 
 def ending(path: Column) -> Column:

@@ -15,20 +15,28 @@ from tessera.functions.text import term_counts
 from tessera.operators.retrieval import query_terms, ranked, scored_terms
 from tessera.sources.tables import valid_vectors
 
-#: Parts of the postings, and terms up to which a reader names them to the scan.
-PARTS, NAMED_TERMS = 64, 5_000
+#: Parts of the postings, and terms up to which a reader names them to the scan. Documents that share a file of a part.
+PARTS, NAMED_TERMS, TOGETHER = 64, 5_000, 100_000
 
 
 def part_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
 
 
+def _dealt(rows: DataFrame, n_docs: int) -> DataFrame:
+    """Rows by part, and within a part by document, into as many tasks as there are documents for: a part's files grow in number, not in size, and a frequent term's postings lie in several."""
+    spread = max(1, -(-n_docs // TOGETHER))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(spread))
+    dealt = rows.repartition("part") if spread == 1 else rows.repartition(PARTS * spread, "part", salt)
+    return dealt.sortWithinPartitions("part", "term", "doc_id")
+
+
 def save_postings(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write postings (part, term, doc_id, tf, dl) and lengths (doc_id, dl, terms) of documents."""
     counted = docs.select("doc_id", term_counts(F.col("text")).alias("t"))
     sizes = counted.withColumns({"dl": F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a + x["tf"]), "terms": F.size("t")})
     rows = sizes.select("doc_id", "dl", F.inline("t")).select(part_of(F.col("term")).alias("part"), "term", "doc_id", "tf", "dl")
-    rows.repartition("part").sortWithinPartitions("part", "term", "doc_id").write.mode(mode).partitionBy("part").parquet(f"{path}/postings")
+    _dealt(rows, docs.count()).write.mode(mode).partitionBy("part").parquet(f"{path}/postings")
     sizes.select("doc_id", "dl", "terms").write.mode(mode).parquet(f"{path}/lengths")
 
 
@@ -69,7 +77,7 @@ def add_documents(docs: DataFrame, path: str) -> None:
 def without_documents(spark: SparkSession, path: str, gone: DataFrame, to: str) -> None:
     """Write the index without some documents (doc_id) to a new folder."""
     keep = lambda df: df.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
-    keep(postings(spark, path)).repartition("part").sortWithinPartitions("part", "term", "doc_id").write.partitionBy("part").parquet(f"{to}/postings")
+    _dealt(keep(postings(spark, path)), lengths(spark, path).count()).write.partitionBy("part").parquet(f"{to}/postings")
     keep(lengths(spark, path)).write.parquet(f"{to}/lengths")
 
 
