@@ -101,8 +101,8 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("snippet", F.left("text", F.lit(rs.SNIPPET)))
 
 
-def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+def gate(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """item_id, confidence, level and answered of queries over documents (doc_id, text, source)."""
     counts = r.counted(docs)
     sets, lexical = r.set_cosine(items, docs, 50, counts), r.bm25(items, docs, 50, counts=counts)
     top = r.fused([(sets, r.c.W_DENSE), (lexical, r.c.W_LEXICAL)], 5).select("item_id", "doc_id", "rank")
@@ -110,6 +110,10 @@ def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rs.confidence(both.fillna(0.0, ["semantic", "lexical"]).join(docs.select("doc_id", "source"), "doc_id"))
 
 
+def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
 def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir)
     found = rs.term_search(table(spark, sf_dir, "benchmark"), pages, 10)
