@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import constants as c
+from tessera.functions.text import chunk_tokens
+from tessera.operators.ingest import parent_facts, parent_keys
 
 _ENDS = re.compile(r"(?<=[.!?;:؟؛،…])\s+|\n+")
 
@@ -52,11 +54,10 @@ def windows(text: str, most: int = c.CHILD_TOKENS, overlap: int = c.OVERLAP_TOKE
     return made
 
 
-def parents(texts: list[str], keys: list[str], most: int = c.PARENT_TOKENS) -> list[int]:
+def groups(keys: list[str], sizes: list[int], most: int) -> list[int]:
     """The parent of each block: a new one where the key changes or the budget would be passed."""
     out, n, held = [], -1, 0
-    for k, t in enumerate(texts):
-        size = n_tokens(t)
+    for k, size in enumerate(sizes):
         if k == 0 or keys[k] != keys[k - 1] or held + size > most:
             n, held = n + 1, 0
         held += size
@@ -64,6 +65,10 @@ def parents(texts: list[str], keys: list[str], most: int = c.PARENT_TOKENS) -> l
     return out
 
 
+def parents(texts: list[str], keys: list[str], most: int = c.PARENT_TOKENS) -> list[int]:
+    return groups(keys, [n_tokens(t) for t in texts], most)
+
+
 _CHUNK = "parent int, child int, text string, n_tokens int"
 
 
@@ -86,6 +91,65 @@ def chunks(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return made.select(key, F.inline("c"))
 
 
+_PLACES = {"language": "string", "page": "int", "slide": "int", "cell": "int", "start": "double", "section": "array<string>", "kind": "string"}
+
+
+def with_parents(blocks: DataFrame, key: str, most: int = c.PARENT_TOKENS, seconds: int = c.BUCKET_SECONDS) -> DataFrame:
+    """Typed blocks (key, n, text; kind, section, language, page, slide, cell and start where there are such columns, null where not) with the number of their parent: consecutive blocks of one slide, cell, window of time or section, up to the budget. Blank blocks are left out; n numbers a resource's blocks in order.
+
+    Only numbers, keys and token counts of a resource's blocks meet in one fold, not their texts.
+    """
+    rows = blocks.withColumns({name: F.lit(None).cast(kind) for name, kind in _PLACES.items() if name not in blocks.columns})
+    rows = rows.where(F.col(key).isNotNull() & (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    place = parent_keys(F.col("slide"), F.col("cell"), F.col("start"), F.coalesce("section", F.array().cast("array<string>")), seconds)
+    facts = rows.select(key, F.struct("n", place.alias("place"), chunk_tokens(F.col("text")).alias("tokens")).alias("x"))
+    facts = facts.groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    kind = pa.list_(pa.struct([("n", pa.int64()), ("parent", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            folded = []
+            for x in b["x"].to_pylist():
+                numbers = groups([r["place"] for r in x], [r["tokens"] for r in x], most)
+                folded.append([{"n": r["n"], "parent": p} for r, p in zip(x, numbers, strict=True)])
+            yield pa.RecordBatch.from_arrays([b[key], pa.array(folded, kind)], names=[key, "x"])
+
+    numbered = facts.mapInArrow(run, f"{key} {blocks.schema[key].dataType.simpleString()}, x array<struct<n: bigint, parent: int>>").select(key, F.inline("x"))
+    return rows.join(numbered, [key, "n"])
+
+
+def parent_chunks(numbered: DataFrame, key: str) -> DataFrame:
+    """Parents of numbered blocks: key, parent, chunk_id, text, n_tokens, and their facts: chunk_type, language, heading, page, page_end, slide, timestamp, block_ids."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.trim("text").alias("t")))), lambda x: x["t"]), "\n\n")
+    whole = numbered.groupBy(key, "parent").agg(text.alias("text")).withColumn("n_tokens", chunk_tokens(F.col("text")))
+    facts = parent_facts(numbered, [key, "parent"])
+    return whole.join(facts, [key, "parent"]).withColumn("chunk_id", F.format_string("%s::p%04d", F.col(key).cast("string"), F.col("parent")))
+
+
+def child_chunks(parents_: DataFrame, key: str, most: int = c.CHILD_TOKENS, overlap: int = c.OVERLAP_TOKENS, least: int = c.LEAST_TOKENS) -> DataFrame:
+    """Children of parents: key, parent, chunk_id (numbered through the resource), parent_id, order, text, n_tokens, and the parent's facts. Every parent has one."""
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: windows(t, most, overlap, least) or [t])
+
+    facts = ["chunk_type", "language", "heading", "page", "page_end", "slide", "timestamp", "block_ids"]
+    rows = parents_.select(key, "parent", F.col("chunk_id").alias("parent_id"), *facts, F.posexplode(cut("text")).alias("child", "text"))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("parent", "child"))
+    rows = rows.withColumns({"order": nth, "n_tokens": chunk_tokens(F.col("text"))})
+    return rows.withColumn("chunk_id", F.format_string("%s::c%05d", F.col(key).cast("string"), F.col("order") - 1)).drop("child")
+
+
+def chunked(blocks: DataFrame, key: str, parent_tokens: int = c.PARENT_TOKENS, child_tokens: int = c.CHILD_TOKENS, overlap: int = c.OVERLAP_TOKENS, least: int = c.LEAST_TOKENS) -> DataFrame:
+    """Parents and children of typed blocks in one table, as index.save_chunks takes it: chunk_id, parent_id (null of parents), the resource as resource_id, kind (parent or child), seq, text, n_tokens, facts, and child_ids of parents. Ids depend on the resource, the blocks and the budgets alone."""
+    over = parent_chunks(with_parents(blocks, key, parent_tokens), key)
+    under = child_chunks(over, key, child_tokens, overlap, least)
+    ids = under.groupBy("parent_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("child_ids"))
+    facts = ["chunk_type", "language", "heading", "page", "page_end", "slide", "timestamp", "block_ids"]
+    tops = over.join(ids.withColumnRenamed("parent_id", "chunk_id"), "chunk_id").select("chunk_id", F.lit(None).cast("string").alias("parent_id"), F.col(key).alias("resource_id"), F.lit("parent").alias("kind"), F.col("parent").alias("seq"), "text", "n_tokens", *facts, "child_ids")
+    return tops.unionByName(under.select("chunk_id", "parent_id", F.col(key).alias("resource_id"), F.lit("child").alias("kind"), F.col("order").alias("seq"), "text", "n_tokens", *facts, F.lit(None).cast("array<string>").alias("child_ids")))
+
+
 def section_paths(blocks: DataFrame, key: str) -> DataFrame:
     """key, depth and path of every section that is on a block's path."""
     path = F.explode(F.transform(F.sequence(F.lit(1), F.size("section")), lambda i: F.slice("section", 1, i)))
