@@ -36,8 +36,8 @@ from tessera.llm.shared import documents, pieces_of, texts_of
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: How many states and pieces a Python worker keeps before it begins anew.
 KEPT_STATES, KEPT_PIECES = 100_000, 500_000
-#: Bytes of a piece after which the number of states is looked at.
-RUN = 4096
+#: Bytes of a piece after which the number of states is looked at again.
+RUN = 512
 #: Longer pieces (in characters) are encoded each time.
 KEPT_LENGTH = 64
 
@@ -177,6 +177,26 @@ class Transducer:
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         """The ids of a piece, by steps of the determinised transducer; those not yet there are built."""
+        if len(piece) > RUN:
+            return self._long(piece)
+        if len(self.number) > self.kept_states:
+            self.forget()
+        state, out, step_of = 0, (), self.steps.get
+        for byte in piece:
+            state, emitted = step_of(state | byte) or self._step(state, byte)
+            if emitted:
+                out += emitted
+        self.bytes_read += len(piece)
+        return out + self._rest(state, piece)
+
+    def _rest(self, state: int, piece: bytes) -> tuple[int, ...]:
+        rest = self.finals[state]
+        if rest is None:
+            raise ValueError(f"no single reading of {piece[:64]!r}: these ranks are no BPE")
+        return rest
+
+    def _long(self, piece: bytes) -> tuple[int, ...]:
+        """The same for a piece of any length, in time that grows with it: tokens are gathered in a list, and states forgotten within the piece."""
         state, out = 0, []
         for at in range(0, len(piece), RUN):
             if len(self.number) > self.kept_states:
@@ -187,10 +207,7 @@ class Transducer:
                 if emitted:
                     out += emitted
         self.bytes_read += len(piece)
-        rest = self.finals[state]
-        if rest is None:
-            raise ValueError(f"no single reading of {piece!r}: these ranks are no BPE")
-        return (*out, *rest)
+        return (*out, *self._rest(state, piece))
 
     def stream(self, piece: bytes) -> Iterator[tuple[int, ...]]:
         """The tokens that each byte lets out, and those that the end does."""
