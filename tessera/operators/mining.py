@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import STOPWORDS, tokens
+from tessera.storage import stored
 
 # Words that no phrase holds, and words that none begins or ends with.
 PHRASE_STOP = (
@@ -45,24 +46,36 @@ def repeated_lines(pages: DataFrame, group: str, page: str, text: str = "text",
     return on.join(n, group).where(F.col("on_pages") >= F.greatest(F.lit(2), F.floor(F.col("pages") * ratio))).select(group, "line", "on_pages", "pages")
 
 
-def candidate_phrases(docs: DataFrame, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
-    """doc_id, phrase and n: runs of Latin words of three letters and more, none of them a common one, the outer ones not generic.
-
-    A common word ends a run, so texts are cut there first; a run of one word, and there are many, makes no phrase at all.
-    """
+def phrase_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and w: runs of Latin words of three letters and more, none of them a common one. A common word ends a run, so texts are cut there first; a run of one word, and there are many, makes no phrase at all."""
     words = F.filter(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[a-z][a-z\-]+"), F.lit(0)), lambda w: F.length(w) >= 3)
     line = F.array_join(F.transform(words, lambda w: F.when(w.isin(PHRASE_STOP), "|").otherwise(w)), " ")
-    runs = docs.select("doc_id", F.explode(F.split(line, r" ?\|(?: \|)* ?")).alias("run")).where(F.contains("run", F.lit(" "))).select("doc_id", F.split("run", " ").alias("w"))
-    firsts = runs.select("doc_id", "w", F.posexplode("w").alias("i", "first")).where(~F.col("first").isin(GENERIC))
-    ends = lambda n: (F.size("w") >= F.col("i") + n) & ~F.get("w", F.col("i") + (n - 1)).isin(GENERIC)
-    made = F.array_compact(F.array(*(F.when(F.coalesce(ends(n), F.lit(False)), F.array_join(F.slice("w", F.col("i") + 1, n), " ")) for n in sizes)))
+    return docs.select("doc_id", F.explode(F.split(line, r" ?\|(?: \|)* ?")).alias("run")).where(F.contains("run", F.lit(" "))).select("doc_id", F.split("run", " ").alias("w"))
+
+
+def candidate_phrases(runs: DataFrame, sizes: tuple[int, ...] = (2, 3, 4), pairs: DataFrame | None = None) -> DataFrame:
+    """doc_id, phrase and n: parts of runs, their outer words not generic. pairs (pair): hashes of neighbouring words; only phrases that begin and end with one of these are built."""
+    # A row holds the few words from a place on, not its whole run: a run may be as long as a text.
+    start = lambda i: F.struct(F.xxhash64(F.get("w", i), F.get("w", i + 1)).alias("pair"), F.slice("w", i + 1, max(sizes)).alias("x"))
+    firsts = runs.where(F.size("w") > 1).select("doc_id", F.inline(F.transform(F.sequence(F.lit(0), F.size("w") - 2), start)))
+    if pairs is not None:
+        firsts = firsts.join(pairs, "pair", "left_semi")
+    firsts = firsts.where(~F.get("x", F.lit(0)).isin(GENERIC))
+    ends = lambda n: (F.size("x") >= n) & ~F.get("x", F.lit(n - 1)).isin(GENERIC)
+    one = lambda n: F.struct(F.xxhash64(F.get("x", F.lit(n - 2)), F.get("x", F.lit(n - 1))).alias("pair"), F.array_join(F.slice("x", 1, n), " ").alias("phrase"))
+    made = firsts.select("doc_id", F.inline(F.array_compact(F.array(*(F.when(F.coalesce(ends(n), F.lit(False)), one(n)) for n in sizes)))))
+    if pairs is not None:
+        made = made.join(pairs, "pair", "left_semi")
     # Counted by document first, so that a document's repeats never leave its task apart.
-    return firsts.select("doc_id", F.explode(made).alias("phrase")).groupBy("phrase", "doc_id").agg(F.count("*").alias("n"))
+    return made.groupBy("phrase", "doc_id").agg(F.count("*").alias("n"))
 
 
 def phrases(docs: DataFrame, least: int = 4, documents: int = 3, sizes: tuple[int, ...] = (2, 3, 4), most: int = 360) -> DataFrame:
-    """phrase, n and documents: candidate phrases found often enough, the most frequent first."""
-    counted = candidate_phrases(docs, sizes).groupBy("phrase").agg(F.sum("n").alias("n"), F.count("*").alias("documents"))
+    """phrase, n and documents: candidate phrases found often enough, the most frequent first. A phrase is no more frequent than its first and its last two words, so pairs of neighbours are counted first, by their hashes, and texts of phrases built only from frequent ones."""
+    runs = stored(phrase_runs(docs))
+    neighbours = runs.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1)))).alias("pair"))
+    pairs = stored(neighbours.groupBy("pair").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("pair"))
+    counted = candidate_phrases(runs, sizes, pairs).groupBy("phrase").agg(F.sum("n").alias("n"), F.count("*").alias("documents"))
     return counted.where((F.col("n") >= least) & (F.col("documents") >= documents)).orderBy(F.desc("n"), "phrase").limit(most)
 
 
