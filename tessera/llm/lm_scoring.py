@@ -110,10 +110,11 @@ def _round(df: DataFrame, words: Vocabulary, weights: dict[str, np.ndarray], bor
         return pa.table({"slot": pa.array([min(table["slot"].to_pylist()) // FAN], pa.int64()), "words": pa.array([float(sizes.sum())]), "flat": pa.array([flat.astype(np.float32).tobytes()], pa.binary())})
 
     shape = "slot bigint, words double, flat binary"
-    out = df.select("text").mapInArrow(run, shape)
-    for group in (F.floor(F.col("slot") / FAN), F.floor(F.col("slot") / FAN), F.lit(0)):
-        out = out.groupBy(group.alias("g")).applyInArrow(average, shape)
-    mean = out.first()
+    # At most FAN weights meet in a task, level by level, however many tasks there were.
+    out = stored(df.select("text").mapInArrow(run, shape), "weights")
+    while (out.agg(F.max("slot")).first()[0] or 0) >= FAN:
+        out = stored(out.groupBy(F.floor(F.col("slot") / FAN).alias("g")).applyInArrow(average, shape), "weights")
+    mean = out.groupBy(F.lit(0).alias("g")).applyInArrow(average, shape).first()
     return weights if mean is None else gru.unpack(np.frombuffer(mean["flat"], np.float32), weights)
 
 

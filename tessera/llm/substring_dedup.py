@@ -152,8 +152,8 @@ def _first(met: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """shard, first (it goes into the index), k, h, start and words of every segment listed in the column wanted."""
-    names = ["shard", "first", "k", "h", "start", "words"]
+    """shard, first (it goes into the index), k, h, start and words of every segment listed in the column wanted, with gram and salts where it goes to a shard for each salt."""
+    names = ["shard", "first", "k", "h", "start", "words", "gram", "salts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces_of(batches):
@@ -162,18 +162,19 @@ def _texts(docs: DataFrame) -> DataFrame:
                 line = b" ".join(words)
                 begins = np.cumsum([0, *map(len, words)]) + np.arange(len(words) + 1)
                 for x in wanted:
-                    key = x["shard"], x["start"], x["words"]
+                    key = x["shard"], x["start"], x["words"], x["gram"], x["salts"]
                     roles[key] = roles.get(key, False) or x["first"]
                 items = list(roles.items())
                 for p in range(0, len(items), 20_000):
                     part = items[p : p + 20_000]
                     columns = [
-                        pa.array([s for (s, _, _), _ in part], pa.int32()), pa.array([f for _, f in part], pa.bool_()), pa.array(np.full(len(part), k, np.int64)), pa.array(np.full(len(part), h, np.int64)),
-                        pa.array([a for (_, a, _), _ in part], pa.int32()), pa.array([line[p:q] for p, q in zip(begins[[a for (_, a, _), _ in part]].tolist(), (begins[[a + n for (_, a, n), _ in part]] - 1).tolist(), strict=True)], pa.binary()),
+                        pa.array([s for (s, *_), _ in part], pa.int32()), pa.array([f for _, f in part], pa.bool_()), pa.array(np.full(len(part), k, np.int64)), pa.array(np.full(len(part), h, np.int64)),
+                        pa.array([x[1] for x, _ in part], pa.int32()), pa.array([line[p:q] for p, q in zip(begins[[x[1] for x, _ in part]].tolist(), (begins[[x[1] + x[2] for x, _ in part]] - 1).tolist(), strict=True)], pa.binary()),
+                        pa.array([x[3] for x, _ in part], pa.int64()), pa.array([x[4] for x, _ in part], pa.int32()),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select("k", "h", "text", "wanted").mapInArrow(run, "shard int, first boolean, k bigint, h bigint, start int, words binary")
+    return docs.select("k", "h", "text", "wanted").mapInArrow(run, "shard int, first boolean, k bigint, h bigint, start int, words binary, gram bigint, salts int")
 
 
 def shard_spans(shard: pa.Table, window: int = WINDOW) -> pa.Table:
@@ -237,20 +238,26 @@ def shards_of(docs: DataFrame, window: int = WINDOW) -> DataFrame | None:
         windows = stored(_windows(docs, met.join(wide, "gram", "left_semi"), window), "windows")
         met = met.join(wide, "gram", "left_anti").union(windows)
         codes = stored(codes.join(wide, "gram", "left_anti").union(_first(windows)), "codes")
-    salts = F.greatest(F.lit(1), F.ceil(16 * F.col("streamed") / SHARD_WORDS)).cast("int")
+    # The copies of a key's index never have more words than what is streamed through them.
+    salts = F.greatest(F.lit(1), F.least(F.ceil(16 * F.col("streamed") / SHARD_WORDS), F.floor(F.col("streamed") / F.col("own")))).cast("int")
     sizes = stored(loads(codes).withColumn("salts", salts), "loads")
     total = sizes.agg(F.sum(F.col("streamed") + F.col("own") * F.col("salts"))).first()[0]
     if not total:
         return None
     many, n = sizes.where("salts > 1").select("gram", "salts"), F.coalesce("salts", F.lit(1))
-    place = ["k", "h", "start", "words", "gram"]
-    streamed = met.join(many, "gram", "left").select(*place, F.pmod(F.xxhash64("k", "h", "start"), n).cast("int").alias("salt"), F.lit(False).alias("first"))
-    index = codes.select("gram", "at.*", "words").join(many, "gram", "left").select(*place, F.explode(F.sequence(F.lit(0), n - 1)).alias("salt"), F.lit(True).alias("first"))
-    shard = F.pmod(F.xxhash64("gram", "salt"), F.lit(-(-total // SHARD_WORDS))).cast("int")
-    wanted = streamed.union(index).groupBy("k", "h").agg(F.collect_list(F.struct(shard.alias("shard"), "start", "words", "first")).alias("wanted"))
+    n_shards = F.lit(-(-total // SHARD_WORDS))
+    shard = lambda salt: F.pmod(F.xxhash64("gram", salt), n_shards).cast("int")
+    nothing = [F.lit(None).cast("bigint").alias("gram"), F.lit(None).cast("int").alias("salts")]
+    place = ["k", "h", "start", "words"]
+    streamed = met.join(many, "gram", "left").select(*place, shard(F.pmod(F.xxhash64("k", "h", "start"), n).cast("int")).alias("shard"), F.lit(False).alias("first"), *nothing)
+    # A first segment of a salted key is cut out of its document once; its copies are made as rows.
+    index = codes.select("gram", "at.*", "words").join(many, "gram", "left").select(*place, F.when(n > 1, -1).otherwise(shard(F.lit(0))).alias("shard"), F.lit(True).alias("first"), F.when(n > 1, F.col("gram")).alias("gram"), "salts")
+    wanted = streamed.union(index).groupBy("k", "h").agg(F.collect_list(F.struct("shard", "start", "words", "first", "gram", "salts")).alias("wanted"))
     if not docs.groupBy("k", "h").count().where("count > 1").isEmpty():
         docs = docs.dropDuplicates(["k", "h"])
-    return _texts(docs.join(wanted, ["k", "h"]))
+    rows = _texts(docs.join(wanted, ["k", "h"]))
+    copies = F.when(F.col("shard") >= 0, F.array("shard")).otherwise(F.transform(F.sequence(F.lit(0), F.col("salts") - 1), shard))
+    return rows.select(F.explode(copies).alias("shard"), "first", *place)
 
 
 def repeated_spans(df: DataFrame, window: int = WINDOW) -> DataFrame:
