@@ -25,15 +25,20 @@ def tokens(text: Column, least: int = 2) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda x: F.length(x) >= least)
 
 
-def term_counts(text: Column, least: int = 2) -> Column:
-    """An array of (term, tf) of a text's tokens, in order: the runs of equal words among the sorted ones."""
+def counts_of(words: Column) -> Column:
+    """An array of (term, tf) of an array of words, in order: the runs of equal words among the sorted ones."""
 
     def runs(w: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
         pairs = F.transform(F.array(starts), lambda s: F.transform(s, lambda i, k: F.struct(F.get(w, i).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(w)) - i).cast("bigint").alias("tf"))))
         return F.when(F.size(w) > 0, F.element_at(pairs, 1)).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
 
-    return F.element_at(F.transform(F.array(F.sort_array(tokens(text, least))), runs), 1)
+    return F.element_at(F.transform(F.array(F.sort_array(words)), runs), 1)
+
+
+def term_counts(text: Column, least: int = 2) -> Column:
+    """counts_of() a text's tokens."""
+    return counts_of(tokens(text, least))
 
 
 def word_count(text: Column) -> Column:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tessera import constants as c
 from tessera.storage import stored
 
+#: Members of a group whose pairs are made in one block.
+BLOCK = 1000
+
 
 def hierarchy(levels: list[tuple[DataFrame, str, str, str | None, str]]) -> tuple[DataFrame, DataFrame]:
     """Nodes and contains edges of levels (table, kind, id column, parent column or None, label column), from the top down."""
@@ -26,7 +29,13 @@ def hierarchy(levels: list[tuple[DataFrame, str, str, str | None, str]]) -> tupl
 def cooccurrence(members: DataFrame, group: str, item: str, least: int = 2, sources: int = 0) -> DataFrame:
     """Pairs a < b of items that share groups: weight (how many) and, if asked for, so many first groups of each."""
     m = members.select(group, item).distinct()
-    pairs = m.select(group, F.col(item).alias("a")).join(m.select(group, F.col(item).alias("b")), group).where("a < b")
+    # A large group's pairs are made block by block, each pair of blocks a key of its own.
+    blocks = m.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__n"))
+    dealt = m.join(blocks, group).withColumn("__own", F.pmod(F.xxhash64(item), F.col("__n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("__n") - 1))
+    left = dealt.select(group, F.col(item).alias("a"), F.col("__own").alias("__i"), every.alias("__j"))
+    right = dealt.select(group, F.col(item).alias("b"), F.col("__own").alias("__j"), every.alias("__i"))
+    pairs = left.join(right, [group, "__i", "__j"]).where("a < b").select(group, "a", "b")
     out = pairs.groupBy("a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
     if not sources:
         return out

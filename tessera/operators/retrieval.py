@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import constants as c
-from tessera.functions.text import term_counts, tokens
+from tessera.functions.text import counts_of, term_counts, tokens
 from tessera.storage import stored
 
 #: Rows of a block on the query and on the corpus side of a vector search, bytes of query vectors that may go to every task, and words whose features a worker remembers.
 QUERY_BLOCK, CORPUS_BLOCK, QUERY_BYTES, KEPT_WORDS = 1_000, 20_000, 64 << 20, 200_000
+#: Distinct terms of queries up to which they are named to the scan of the texts.
+NAMED_TERMS = 5_000
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -43,8 +45,14 @@ def ranked(scores: DataFrame, by: str, key: str, score: str = "score", k: int |
     return out.where(F.col(rank) <= k) if k else out
 
 
-def counted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, dl (tokens), nd (distinct terms) and t (terms with their counts) of every document, kept: texts are cut into tokens once for all that is asked of them."""
+def counted(docs: DataFrame, text: str = "text", queries: DataFrame | None = None) -> DataFrame:
+    """doc_id, dl (tokens), nd (distinct terms) and t (terms with their counts) of every document, kept: texts are cut into tokens once for all that is asked of them. With queries t has only their terms, so that the others are neither sorted nor written; beyond NAMED_TERMS of them it has all."""
+    if queries is not None:
+        asked = [x[0] for x in query_terms(queries).select("term").distinct().limit(NAMED_TERMS + 1).collect()]  # a bounded number of words
+        if len(asked) <= NAMED_TERMS:
+            words = docs.select("doc_id", tokens(F.col(text)).alias("w"))
+            some = F.filter("w", lambda x: x.isin(asked)) if asked else F.array().cast("array<string>")
+            return stored(words.select("doc_id", F.size("w").cast("bigint").alias("dl"), F.size(F.array_distinct("w")).alias("nd"), counts_of(some).alias("t")))
     counts = docs.select("doc_id", term_counts(F.col(text)).alias("t"))
     return stored(counts.select("doc_id", F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a + x["tf"]).alias("dl"), F.size("t").alias("nd"), "t"))
 
@@ -67,7 +75,7 @@ def scored_terms(hits: DataFrame, asked: DataFrame, n: int, mean: float, allowed
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = c.TOP_K, allowed: DataFrame | None = None, k1: float = c.BM25_K1, b: float = c.BM25_B, counts: DataFrame | None = None) -> DataFrame:
     """item_id, doc_id, score and rank. Corpus figures are those of all documents; allowed (doc_id) narrows what is ranked. counts: counted(docs), where it is there."""
-    counts = counted(docs) if counts is None else counts
+    counts = counted(docs, queries=queries) if counts is None else counts
     stats = counts.where("dl > 0").agg(F.count("*").alias("documents"), F.avg("dl").alias("mean_length")).first()
     asked = query_terms(queries)
     scores = scored_terms(asked_terms(counts, asked), asked, stats["documents"], stats["mean_length"] or 1.0, allowed, k1, b)
@@ -78,7 +86,7 @@ def set_cosine(queries: DataFrame, docs: DataFrame, k: int = c.TOP_K, counts: Da
     """item_id, doc_id, score and rank by the cosine of term sets."""
     asked = query_terms(queries)
     sizes = asked.groupBy("item_id").agg(F.count("*").alias("nq"))
-    both = asked_terms(counted(docs) if counts is None else counts, asked).join(asked, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"), F.max("nd").alias("nd"))
+    both = asked_terms(counted(docs, queries=queries) if counts is None else counts, asked).join(asked, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"), F.max("nd").alias("nd"))
     scored = both.join(sizes, "item_id").select("item_id", "doc_id", (F.col("n") / F.sqrt(F.col("nq") * F.col("nd"))).alias("score"))
     return ranked(scored, "item_id", "doc_id", k=k)
 
@@ -94,7 +102,7 @@ def fused(arms: Iterable[tuple[DataFrame, float]], k: int | None = c.TOP_K, rrf_
 
 def hybrid(queries: DataFrame, docs: DataFrame, k: int = c.TOP_K, candidates: int = c.CANDIDATES, allowed: DataFrame | None = None) -> DataFrame:
     """BM25 and the cosine of term sets (in place of a model's vectors; see nearest() for those), fused."""
-    counts = counted(docs)
+    counts = counted(docs, queries=queries)
     return fused([(set_cosine(queries, docs, candidates, counts), c.W_DENSE), (bm25(queries, docs, candidates, allowed, counts=counts), c.W_LEXICAL)], k)
 
 

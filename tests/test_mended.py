@@ -36,3 +36,55 @@ def test_many_documents_spread_a_part(spark, tmp_path, monkeypatch):
     rows = lambda p: sorted(map(tuple, ix.postings(spark, p).collect()))
     files = lambda p: spark.read.parquet(f"{p}/postings").where("term = 'common'").selectExpr("_metadata.file_path AS f").distinct().count()
     assert rows(one) == rows(many) and files(one) == 1 and files(many) > 3
+
+
+def test_mastery_in_parts_is_the_fold_in_order(spark, monkeypatch):
+    """Histories over many hours, scores outside of 0 to 1, hard tasks, ties in time: what one event after the other gives."""
+    import datetime
+
+    from tessera import constants as c
+    from tessera.operators import learner as ln
+
+    draw = random.Random(11)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(k % 3, f"c{k % 2}", start + datetime.timedelta(minutes=draw.choice([0, 1, 30]) + 17 * (k % 400)), k, draw.choice([None, 0.0, 1.0, draw.random(), -2.0, 3.0]), draw.choice([0.0, 0.5, 1.0, 4.0])) for k in range(1200)]
+    expected = {}
+    for s, concept, _, _, score, difficulty in sorted(rows, key=lambda r: (r[2], r[3])):
+        m = expected.get((s, concept), c.MASTERY_START)
+        m = m + c.EXPOSURE_GAIN * (1 - m) if score is None else m + c.MASTERY_K * (0.5 + difficulty) * (score - m)
+        expected[s, concept] = min(1.0, max(0.0, m))
+    for kind in ("timestamp", "timestamp_ntz"):
+        df = spark.createDataFrame(rows, "student int, concept string, ts timestamp, event_id int, score double, difficulty double").withColumn("ts", _cast("ts", kind))
+        got = {(r.student, r.concept): (r.mastery, r.events) for r in ln.mastery(df).collect()}
+        assert set(got) == set(expected) and all(abs(got[k][0] - v) < 1e-6 for k, v in expected.items()) and sum(v[1] for v in got.values()) == 1200
+    by_number = {(r.student, r.concept): r.events for r in ln.mastery(df.drop("ts"), ("event_id",)).collect()}
+    assert sum(by_number.values()) == 1200 and ln.mastery(df.limit(0)).collect() == []
+
+
+def _cast(name, kind):
+    from pyspark.sql import functions as F
+
+    return F.col(name).cast(kind)
+
+
+def test_pairs_of_large_groups_block_by_block(spark, monkeypatch):
+    from tessera.operators import graph as g
+
+    draw = random.Random(4)
+    rows = [("big", k) for k in range(60)] + [(f"g{draw.randint(0, 9)}", draw.randint(0, 40)) for _ in range(200)] + [(None, 1), (None, 2)]
+    df = spark.createDataFrame(rows, "room string, item int")
+    whole = sorted(map(str, g.cooccurrence(df, "room", "item", sources=2).collect()))
+    monkeypatch.setattr(g, "BLOCK", 7)
+    assert sorted(map(str, g.cooccurrence(df, "room", "item", sources=2).collect())) == whole and len(whole) > 100
+
+
+def test_counts_of_asked_terms_rank_as_all_counts_do(spark, monkeypatch):
+    from tessera.operators import retrieval as r
+
+    draw = random.Random(7)
+    docs = spark.createDataFrame([(k, " ".join(draw.choice(["cat", "dog", "é", "a1", "tree", "b"]) for _ in range(draw.randint(0, 30)))) for k in range(80)] + [(90, None)], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(1, "cat tree"), (2, "é é dog"), (3, ""), (4, "none")], "item_id bigint, text string")
+    rows = lambda: sorted(map(str, r.hybrid(asked, docs).collect()))
+    named = rows()
+    monkeypatch.setattr(r, "NAMED_TERMS", 1)
+    assert rows() == named == sorted(map(str, r.fused([(r.set_cosine(asked, docs, 50, r.counted(docs)), r.c.W_DENSE), (r.bm25(asked, docs, 50, counts=r.counted(docs)), r.c.W_LEXICAL)]).collect())) and len(named) > 10
