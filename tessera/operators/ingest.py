@@ -82,13 +82,18 @@ def of_kind(blocks: DataFrame, kind: str) -> DataFrame:
     return blocks.where(F.col("kind") == kind)
 
 
-def coverage(blocks: DataFrame, key: str) -> DataFrame:
-    """Which kinds of elements and places each resource has (blocks with page, slide and start where there are such columns)."""
+def coverage(blocks: DataFrame, key: str, resources: DataFrame | None = None) -> DataFrame:
+    """Which kinds of elements and places each resource has (blocks with page, slide and start where there are such columns); with resources (key, extraction_method, language, week, topics) also whether these are known of it, and a row for those without blocks."""
     has = lambda x: F.max(F.coalesce(x, F.lit(False)))
     kinds = {"headings": "heading", "paragraphs": "paragraph", "lists": "list_item", "tables": "table", "code": "code", "captions": "caption", "equations": "equation"}
     places = {"pages": "page", "slides": "slide", "timestamps": "start"}
     flags = {**{name: has(F.col("kind") == k) for name, k in kinds.items()}, "sections": has(F.size("section") > 0), "figures": has(F.size("images") > 0), "hyperlinks": has(F.size("links") > 0), **{name: has(F.col(c).isNotNull()) if c in blocks.columns else F.lit(False) for name, c in places.items()}, "hierarchy": F.count("*") > 0}
-    return blocks.groupBy(key).agg(*(v.alias(k) for k, v in flags.items()))
+    found = blocks.groupBy(key).agg(*(v.alias(k) for k, v in flags.items()), (F.count("*") > 0).alias("anchors"))
+    if resources is None:
+        return found.drop("anchors")
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    known = resources.select(key, filled("extraction_method").alias("provenance"), (filled("language")).alias("language"), (F.col("week").isNotNull() | (F.size(F.coalesce("topics", F.array().cast("array<string>"))) > 0)).alias("academic"))
+    return known.join(found, key, "left").fillna(False)
 
 
 def parent_keys(slide: Column, cell: Column, start: Column, section: Column, seconds: int = 180) -> Column:

@@ -6,6 +6,8 @@ one it is an exposure.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -28,7 +30,7 @@ def updated(mastery: Column, score: Column, difficulty: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(score.isNull(), lifted).otherwise(drawn)))
 
 
-def _step(score: Column, difficulty: Column) -> Column:
+def update_map(score: Column, difficulty: Column) -> Column:
     """One event's update as a map of mastery m to clamp(a * m + b, low, high)."""
     k = F.when(score.isNull(), F.lit(c.EXPOSURE_GAIN)).otherwise(c.MASTERY_K * (0.5 + difficulty)).cast("double")
     return F.struct((1 - k).alias("a"), (k * F.coalesce(score, F.lit(1.0))).cast("double").alias("b"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
@@ -41,6 +43,16 @@ def _after(f: Column, g: Column) -> Column:
     return F.struct((f["a"] * g["a"]).alias("a"), (g["a"] * f["b"] + g["b"]).alias("b"), F.least(p, q).alias("low"), F.greatest(p, q).alias("high"))
 
 
+def folded_map(log: Column | str, step: Callable[[Column], Column]) -> Column:
+    """The composition of an array's maps, in order."""
+    same = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
+    return F.aggregate(log, same, lambda f, x: _after(f, step(x)))
+
+
+def mapped(f: Column, value: Column) -> Column:
+    return F.least(f["high"], F.greatest(f["low"], f["a"] * value + f["b"]))
+
+
 def _part(order: Column, kind: str) -> Column:
     """A part of a history that is dealt by itself: an hour of times, a thousand of numbers; of other types there is one."""
     if kind.startswith("timestamp"):
@@ -54,15 +66,13 @@ def mastery(events: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> D
     An hour's events of a key are folded to one map by themselves, then the hours' maps in order: no task holds the whole
     history of a key that has very many events.
     """
-    same = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
-    folded = lambda log, step: F.aggregate(log, same, lambda f, x: _after(f, step(x)))
     part = _part(F.col(order[0]), events.schema[order[0]].dataType.simpleString()).alias("__part")
     log = F.array_sort(F.collect_list(F.struct(*order, "score", "difficulty")))
     parts = events.groupBy("student", "concept", part).agg(log.alias("log"), F.count("*").alias("events"), F.count("score").alias("assessments"))
-    maps = parts.select("student", "concept", "events", "assessments", F.struct("__part", folded("log", lambda e: _step(e["score"], e["difficulty"])).alias("f")).alias("x"))
+    maps = parts.select("student", "concept", "events", "assessments", F.struct("__part", folded_map("log", lambda e: update_map(e["score"], e["difficulty"])).alias("f")).alias("x"))
     whole = maps.groupBy("student", "concept").agg(F.array_sort(F.collect_list("x")).alias("x"), F.sum("events").alias("events"), F.sum("assessments").alias("assessments"))
-    out = whole.withColumn("f", folded("x", lambda x: x["f"]))
-    value = F.least(F.col("f.high"), F.greatest(F.col("f.low"), F.col("f.a") * c.MASTERY_START + F.col("f.b")))
+    out = whole.withColumn("f", folded_map("x", lambda x: x["f"]))
+    value = mapped(F.col("f"), F.lit(c.MASTERY_START))
     return out.select("student", "concept", F.round(value, 6).alias("mastery"), "events", "assessments")
 
 
