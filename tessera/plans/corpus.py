@@ -103,8 +103,8 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gate(items: DataFrame, docs: DataFrame) -> DataFrame:
     """item_id, confidence, level and answered of queries over documents (doc_id, text, source)."""
-    counts = r.counted(docs)
-    sets, lexical = r.set_cosine(items, docs, 50, counts), r.bm25(items, docs, 50, counts=counts)
+    counts = r.counted(docs, queries=items)
+    sets, lexical = stored(r.set_cosine(items, docs, 50, counts)), stored(r.bm25(items, docs, 50, counts=counts))
     top = r.fused([(sets, r.c.W_DENSE), (lexical, r.c.W_LEXICAL)], 5).select("item_id", "doc_id", "rank")
     both = top.join(sets.select("item_id", "doc_id", F.col("score").alias("semantic")), ["item_id", "doc_id"], "left").join(lexical.select("item_id", "doc_id", F.col("score").alias("lexical")), ["item_id", "doc_id"], "left")
     return rs.confidence(both.fillna(0.0, ["semantic", "lexical"]).join(docs.select("doc_id", "source"), "doc_id"))

@@ -98,7 +98,8 @@ def take_in(
     chunks = write("chunks", chunker(rows).select("chunk_id", "resource_id", "seq", "text", stamp))
     counted = chunks.select("chunk_id", "resource_id", "version", term_counts(F.col("text")).alias("t")).where(F.size("t") > 0)
     total = F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a + x["tf"])
-    write("postings", counted.select("chunk_id", "resource_id", "version", total.alias("dl"), F.inline("t")).sortWithinPartitions("term"))
+    # The length is taken beside the counts: beside inline it would be summed for each row that comes out of it.
+    write("postings", counted.withColumn("dl", total).select("chunk_id", "resource_id", "version", "dl", F.inline("t")).sortWithinPartitions("term"))
     write("vectors", chunks.where(F.trim(F.coalesce("text", F.lit(""))) != "").select("chunk_id", "resource_id", "version", hash_embedding(F.col("text"), dim).alias("vector")))
     new = {p: folder(p) for p in ("resources", "chunks", "postings", "vectors")}
     if edges is not None:
@@ -108,25 +109,31 @@ def take_in(
     return version
 
 
+def _live(spark: SparkSession, root: str, state: dict) -> DataFrame:
+    """resource_id and version of the resources that are there as of a manifest."""
+    resources = spark.read.parquet(*(f"{root}/{f}" for f in state["parts"]["resources"]))
+    last = resources.groupBy("resource_id").agg(F.max("version").alias("version"), F.max_by("removed", "version").alias("removed"))
+    return last.where("NOT removed").select("resource_id", "version")
+
+
 def part(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame | None:
     """A part's rows as of a version (the newest by default), without those superseded; None before anything of it was taken in."""
     state = manifest(spark, root, version)
     if state is None or not state["parts"][name]:
         return None
-    rows = spark.read.parquet(*(f"{root}/{f}" for f in state["parts"][name]))
-    resources = spark.read.parquet(*(f"{root}/{f}" for f in state["parts"]["resources"]))
-    last = resources.groupBy("resource_id").agg(F.max("version").alias("version"), F.max_by("removed", "version").alias("removed"))
-    return rows.join(last.where("NOT removed").select("resource_id", "version"), ["resource_id", "version"]) if name != "resources" else resources.join(last.where("NOT removed").select("resource_id", "version"), ["resource_id", "version"])
+    return spark.read.parquet(*(f"{root}/{f}" for f in state["parts"][name])).join(_live(spark, root, state), ["resource_id", "version"])
 
 
 def search(spark: SparkSession, root: str, queries: DataFrame, k: int = c.TOP_K, version: int | None = None) -> DataFrame:
-    """item_id, chunk_id, score and rank: BM25 over the live chunks, as of a version."""
-    postings = part(spark, root, "postings", version)
-    if postings is None:
+    """item_id, chunk_id, score and rank: BM25 over the live chunks, as of a version. Postings become chunks' lengths, or those of the terms asked for, before they meet the live resources: the whole of them is never shuffled."""
+    state = manifest(spark, root, version)
+    if state is None or not state["parts"]["postings"]:
         return queries.select("item_id", F.lit(None).cast("string").alias("chunk_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    n, mean = postings.select("chunk_id", "dl").distinct().agg(F.count("*"), F.avg("dl")).first()
+    postings, live = spark.read.parquet(*(f"{root}/{f}" for f in state["parts"]["postings"])), _live(spark, root, state)
+    lengths = postings.groupBy("resource_id", "version", "chunk_id").agg(F.first("dl").alias("dl"))
+    n, mean = lengths.join(live, ["resource_id", "version"]).agg(F.count("*"), F.avg("dl")).first()
     asked = query_terms(queries)
-    hits = postings.join(asked.select("term").distinct(), "term", "left_semi").select(F.col("chunk_id").alias("doc_id"), "term", "tf", "dl")
+    hits = postings.join(asked.select("term").distinct(), "term", "left_semi").join(live, ["resource_id", "version"]).select(F.col("chunk_id").alias("doc_id"), "term", "tf", "dl")
     return ranked(scored_terms(hits, asked, n, mean or 1.0), "item_id", "doc_id", k=k).withColumnRenamed("doc_id", "chunk_id")
 
 
