@@ -6,6 +6,7 @@ from hashlib import blake2b
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.operators import graph_retrieval as gr
 from tessera.operators import retrieval as r
 from tessera.sources import versions
 
@@ -37,3 +38,13 @@ def test_embeddings_counted_together(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
     for row in docs.select("doc_id", r.hash_embedding(F.col("text"), 64).alias("v")).collect():
         assert np.array_equal(np.array(row["v"], np.float32), one(texts[row["doc_id"]]))
+
+
+def test_weak_resources_of_asked_pairs(spark):
+    """Only pairs that are asked for are made; without them students with equal weak concepts share one list."""
+    who = spark.createDataFrame([(1, "a", 0.1), (1, "b", 0.2), (2, "b", 0.1), (2, "a", 0.3), (3, "a", 0.9), (4, None, 0.1), (5, "c", 0.0)], "student int, concept string, mastery double")
+    links = spark.createDataFrame([("a", "1", "x"), ("a", "1", "y"), ("b", "1", "x"), ("b", "2", "x"), ("c", "3", "x"), ("d", "4", "x")], "concept string, resource string, kind string")
+    whole = sorted(map(tuple, gr.weak_resources(who, links, 0.4).collect()))
+    assert whole == [(1, "1"), (1, "2"), (2, "1"), (2, "2"), (5, "3")]
+    among = spark.createDataFrame([(1, "2"), (1, "2"), (2, "3"), (3, "1"), (5, "3"), (None, "1")], "student int, resource string")
+    assert sorted(map(tuple, gr.weak_resources(who, links, 0.4, among).collect())) == [(1, "2"), (5, "3")]
