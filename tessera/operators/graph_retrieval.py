@@ -54,6 +54,16 @@ def graph_ranked(ranking: DataFrame, scores: DataFrame, k: int = 10) -> DataFram
     return boosted(ranking, scores.select("item_id", F.col("resource").cast(ranking.schema["doc_id"].dataType).alias("doc_id"), "boost"), k=k)
 
 
+def graph_reranked(ranking: DataFrame, expanded: DataFrame, provenance: DataFrame, k: int = 10) -> DataFrame:
+    """graph_ranked() by resource_scores(), made for the ranking's own resources only: a query's largest score is that of its best concept that leads anywhere, so no other resource needs to be scored."""
+    reached = expanded.select(F.col("query").alias("item_id"), F.col("node").alias("concept"), "score")
+    most = reached.join(provenance.select("concept").distinct(), "concept", "left_semi").groupBy("item_id").agg(F.max("score").alias("most"))
+    own = ranking.select("item_id", "doc_id", F.col("doc_id").cast("string").alias("resource")).distinct()
+    links = provenance.select("concept", "resource").join(own.select("resource").distinct(), "resource", "left_semi").distinct()
+    scores = own.join(links, "resource").join(reached, ["item_id", "concept"]).groupBy("item_id", "doc_id").agg(F.max("score").alias("boost"))
+    return boosted(ranking, scores, k=k, most=most)
+
+
 def graph_evidence(expanded: DataFrame, concepts: DataFrame, provenance: DataFrame, k: int = EVIDENCE) -> DataFrame:
     """item_id, concept_id, concept, score, hop, relationship, path (labels), sources and confidence of the k best concepts of each query. concepts: concept_id, canonical, confidence."""
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "node"))
@@ -88,8 +98,11 @@ def graph_metrics(queries: DataFrame, seeds: DataFrame, expanded: DataFrame, pro
 
 def hop_distribution(expanded: DataFrame, provenance: DataFrame, gold: DataFrame) -> DataFrame:
     """hop and queries: over how many hops the right resource was reached first."""
-    reached = expanded.select(F.col("query").alias("item_id"), F.col("node").alias("concept"), "hop").join(provenance.select("concept", "resource").distinct(), "concept")
-    first = reached.join(gold.select("item_id", "resource").distinct(), ["item_id", "resource"], "left_semi").groupBy("item_id").agg(F.min("hop").alias("hop"))
+    # From the right resources, which are few, to the concepts that lead to them: what all queries reach is never made.
+    right = gold.select("item_id", "resource").distinct()
+    links = provenance.select("concept", "resource").join(right.select("resource").distinct(), "resource", "left_semi").distinct()
+    reached = expanded.select(F.col("query").alias("item_id"), F.col("node").alias("concept"), "hop")
+    first = right.join(links, "resource").join(reached, ["item_id", "concept"]).groupBy("item_id").agg(F.min("hop").alias("hop"))
     return first.groupBy("hop").agg(F.count("*").alias("queries"))
 
 

@@ -48,3 +48,15 @@ def test_weak_resources_of_asked_pairs(spark):
     assert whole == [(1, "1"), (1, "2"), (2, "1"), (2, "2"), (5, "3")]
     among = spark.createDataFrame([(1, "2"), (1, "2"), (2, "3"), (3, "1"), (5, "3"), (None, "1")], "student int, resource string")
     assert sorted(map(tuple, gr.weak_resources(who, links, 0.4, among).collect())) == [(1, "2"), (5, "3")]
+
+
+def test_only_candidates_are_scored(spark, monkeypatch):
+    """The ranking is that of all resources' scores; the largest may be of a resource that is no candidate, and what all queries reach is not made."""
+    top = spark.createDataFrame([(1, 10, 0.5, 1), (1, 11, 0.4, 2), (1, 12, 0.3, 3), (2, 10, 0.2, 1)], "item_id int, doc_id bigint, score double, rank int")
+    links = spark.createDataFrame([("a", "12", "x"), ("a", "12", "y"), ("b", "11", "x"), ("c", "99", "x"), ("d", "10", "x")], "concept string, resource string, kind string")
+    reached = spark.createDataFrame([(1, "a", 0.5, 1), (1, "b", 0.1, 2), (1, "c", 0.8, 0), (1, "nowhere", 2.0, 0), (2, "c", 1.0, 0)], "query int, node string, score double, hop int")
+    rows = lambda df: sorted((x["item_id"], x["rank"], x["doc_id"], round(x["score"], 9)) for x in df.collect())
+    whole = rows(gr.graph_ranked(top, gr.resource_scores(reached, links)))
+    assert rows(gr.graph_reranked(top, reached, links)) == whole and whole[0][2] == 12
+    gold = spark.createDataFrame([(1, "12"), (1, "11"), (1, "12"), (2, "12")], "item_id int, resource string")
+    assert [tuple(x) for x in gr.hop_distribution(reached, links, gold).collect()] == [(1, 1)]
