@@ -1,7 +1,7 @@
 """Data files (CSV) that are catalogued with their schema and profile and never cut into chunks.
 
 A file is read once, row by row, by one task: files are independent and of bounded size, which the scan enforces; a column's
-figures are kept while its rows go by.
+figures are kept while its rows go by, its distinct values with them: they are no more than the file holds.
 """
 
 from __future__ import annotations
@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from tessera.sources.files import MOST_BYTES, ending
 
-#: Distinct values of a column that are counted; beyond, distinct is null.
-MOST_DISTINCT = 10_000
 PROFILE = "path string, column string, position int, type string, rows bigint, nulls bigint, distinct bigint, least string, greatest string, mean double"
 _KINDS = ("boolean", "bigint", "double", "date", "string")
 
@@ -44,7 +42,7 @@ class Column:
 
     def __init__(self, name: str):
         self.name, self.kinds, self.rows, self.nulls, self.total = name, set(), 0, 0, 0.0
-        self.seen: set[str] | None = set()
+        self.seen: set[str] = set()
         self.texts: tuple[str, str] | None = None
         self.numbers: tuple[float, float, str, str] | None = None
 
@@ -55,10 +53,7 @@ class Column:
             return
         kind = value_type(value)
         self.kinds.add(kind)
-        if self.seen is not None:
-            self.seen.add(value)
-            if len(self.seen) > MOST_DISTINCT:
-                self.seen = None
+        self.seen.add(value)
         self.texts = (value, value) if self.texts is None else (min(self.texts[0], value), max(self.texts[1], value))
         if kind in ("bigint", "double"):
             x = float(value)
@@ -71,7 +66,7 @@ class Column:
         numeric = kind in ("bigint", "double") and self.numbers is not None
         least, greatest = (self.numbers[2:] if numeric else self.texts) or (None, None)
         filled = self.rows - self.nulls
-        return {"path": path, "column": self.name, "position": position, "type": kind if self.kinds else "string", "rows": self.rows, "nulls": self.nulls, "distinct": len(self.seen) if self.seen is not None else None, "least": least, "greatest": greatest, "mean": self.total / filled if numeric else None}
+        return {"path": path, "column": self.name, "position": position, "type": kind if self.kinds else "string", "rows": self.rows, "nulls": self.nulls, "distinct": len(self.seen), "least": least, "greatest": greatest, "mean": self.total / filled if numeric else None}
 
 
 def profile_of(path: str, content: bytes) -> list[dict]:
