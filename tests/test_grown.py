@@ -6,8 +6,11 @@ from hashlib import blake2b
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.operators import evidence as evd
 from tessera.operators import graph_retrieval as gr
+from tessera.operators import mining as mn
 from tessera.operators import retrieval as r
+from tessera.sources import datasets as ds
 from tessera.sources import versions
 
 
@@ -60,3 +63,16 @@ def test_only_candidates_are_scored(spark, monkeypatch):
     assert rows(gr.graph_reranked(top, reached, links)) == whole and whole[0][2] == 12
     gold = spark.createDataFrame([(1, "12"), (1, "11"), (1, "12"), (2, "12")], "item_id int, resource string")
     assert [tuple(x) for x in gr.hop_distribution(reached, links, gold).collect()] == [(1, 1)]
+
+
+def test_a_sentence_keeps_the_digit_that_is_its_place(spark):
+    """transform() gave trim() each sentence's place as the characters to take away."""
+    df = spark.createDataFrame([("One two three four. 1 is the first of all. 22 is the third of all 2.",)], "text string")
+    assert df.select(evd.plain_sentences(F.col("text")).alias("s")).first()["s"] == ["One two three four.", "1 is the first of all.", "22 is the third of all 2."]
+    pages = spark.createDataFrame([(1, p, "a\n1x\nb") for p in (1, 2)] + [(1, 3, "x")], "g int, p int, text string")
+    assert sorted(x["line"] for x in mn.repeated_lines(pages, "g", "p").collect()) == ["1x", "a", "b"]
+
+
+def test_many_distinct_values_are_counted():
+    rows = ds.profile_of("/a.csv", ("k,c\n" + "\n".join(f"{i},x" for i in range(30_000))).encode())
+    assert [r["distinct"] for r in rows] == [30_000, 1]
