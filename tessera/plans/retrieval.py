@@ -321,7 +321,7 @@ _ARM = "SELECT '{arm}' AS arm, round(avg(hit), 4) AS hit, round(avg(reciprocal_r
 def retrieval_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The arms of hybrid retrieval side by side."""
     items, docs = _items(spark, sf_dir), _docs(spark, sf_dir)
-    counts, gold = r.counted(docs), stored(r.containing(items, docs))
+    counts, gold = r.counted(docs, queries=items), stored(r.containing(items, docs))
     sets, lexical = stored(r.set_cosine(items, docs, 50, counts)), stored(r.bm25(items, docs, 50, counts=counts))
     arms = {"lexical": lexical, "sets": sets, "hybrid": r.fused([(sets, r.c.W_DENSE), (lexical, r.c.W_LEXICAL)])}
     return ev.tagged_means({a: ev.retrieval_metrics(x.where("rank <= 10"), gold, items) for a, x in arms.items()}, ("hit", "reciprocal_rank", "ndcg"))

@@ -76,3 +76,19 @@ def test_a_sentence_keeps_the_digit_that_is_its_place(spark):
 def test_many_distinct_values_are_counted():
     rows = ds.profile_of("/a.csv", ("k,c\n" + "\n".join(f"{i},x" for i in range(30_000))).encode())
     assert [r["distinct"] for r in rows] == [30_000, 1]
+
+
+def test_held_items_give_the_ranking_of_the_join(spark, monkeypatch):
+    """One pass with the items held gives what the join gives, with ties, copies and documents without a term; beyond the bounds and for shared ids the join is taken."""
+    texts = [" ".join(f"w{(k * j) % 11}x" for j in range(1, 2 + k % 9)) for k in range(60)] + ["w1x w2x"] * 12 + ["", None, "zz"]
+    docs = spark.createDataFrame([(k, t, "en" if k % 3 else "de") for k, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    items = spark.createDataFrame([(1, "w1x w2x w3x"), (2, "w5x nowhere"), (3, ""), (4, "w2x W2X w0x")], "item_id int, text string")
+    some = docs.where("lang = 'en'").select("doc_id")
+    monkeypatch.setattr(r, "HELD_PARTS", 40)
+    rows = lambda df: sorted((x["item_id"], x["rank"], x["doc_id"], round(x["score"], 9)) for x in df.collect())
+    every = lambda: [rows(f(items, docs, 5)) for f in (r.bm25, r.set_cosine)] + [rows(r.bm25(items, docs, 5, allowed=some)), rows(r.hybrid(items, docs, 5, 7))]
+    assert r.held_terms(items, r.counted(docs, queries=items)) is not None
+    assert r.held_terms(items, r.counted(docs.union(docs.limit(1)), queries=items)) is None
+    held = every()
+    monkeypatch.setattr(r, "HELD_ITEMS", 1)
+    assert held == every() and len(held[0]) == 15
