@@ -88,3 +88,32 @@ def test_counts_of_asked_terms_rank_as_all_counts_do(spark, monkeypatch):
     named = rows()
     monkeypatch.setattr(r, "NAMED_TERMS", 1)
     assert rows() == named == sorted(map(str, r.fused([(r.set_cosine(asked, docs, 50, r.counted(docs)), r.c.W_DENSE), (r.bm25(asked, docs, 50, counts=r.counted(docs)), r.c.W_LEXICAL)]).collect())) and len(named) > 10
+
+
+def test_phrases_of_the_most_frequent_pairs_are_those_of_all(spark, monkeypatch):
+    """The bound by pairs loses no phrase: also where the most frequent pairs are in too few documents, hold generic words, or are as frequent as others."""
+    from collections import Counter
+
+    from tessera.operators import mining as mn
+
+    draw = random.Random(9)
+    words = ["alpha", "beta", "gamma", "delta", "data", "kappa", "the", "omega", "x"]
+    texts = [" ".join(draw.choice(words) for _ in range(draw.randint(0, 40))) for _ in range(60)] + ["lone pair " * 90, "pair lone " * 50, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    n, where = Counter(), {}
+    for k, text in enumerate(texts):
+        w = [x for x in (text or "").split() if len(x) >= 3]
+        for size in (2, 3, 4):
+            for i in range(len(w) - size + 1):
+                part = w[i : i + size]
+                if "the" not in part and part[0] != "data" and part[-1] != "data":
+                    n[" ".join(part)] += 1
+                    where.setdefault(" ".join(part), set()).add(k)
+    every = sorted(((p, m, len(where[p])) for p, m in n.items() if m >= 4 and len(where[p]) >= 3), key=lambda x: (-x[1], x[0]))
+    built = []
+    whole = mn.candidate_phrases
+    monkeypatch.setattr(mn, "candidate_phrases", lambda runs, sizes, pairs: built.append(pairs.count()) or whole(runs, sizes, pairs))
+    for first, most in ((1, 2), (4, 5), (1, 40), (4, 360)):
+        monkeypatch.setattr(mn, "FIRST_PAIRS", first)
+        assert [tuple(r) for r in mn.phrases(docs, most=most).collect()] == every[:most]
+    assert len(every) > 60 and built[0] < built[-1]
