@@ -6,10 +6,11 @@ one it is an exposure.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,8 +61,8 @@ def _part(order: Column, kind: str) -> Column:
     return F.floor(order / 1000).cast("bigint") if kind in ("int", "bigint", "double", "float", "smallint") else F.lit(0)
 
 
-def mastery(events: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """mastery, events and assessments of each student and concept, events folded in order.
+def mastery_maps(events: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """f (what events do to the mastery before them), events and assessments of each student and concept, events folded in order.
 
     An hour's events of a key are folded to one map by themselves, then the hours' maps in order: no task holds the whole
     history of a key that has very many events.
@@ -71,9 +72,13 @@ def mastery(events: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> D
     parts = events.groupBy("student", "concept", part).agg(log.alias("log"), F.count("*").alias("events"), F.count("score").alias("assessments"))
     maps = parts.select("student", "concept", "events", "assessments", F.struct("__part", folded_map("log", lambda e: update_map(e["score"], e["difficulty"])).alias("f")).alias("x"))
     whole = maps.groupBy("student", "concept").agg(F.array_sort(F.collect_list("x")).alias("x"), F.sum("events").alias("events"), F.sum("assessments").alias("assessments"))
-    out = whole.withColumn("f", folded_map("x", lambda x: x["f"]))
+    return whole.select("student", "concept", folded_map("x", lambda x: x["f"]).alias("f"), "events", "assessments")
+
+
+def mastery(events: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """mastery, events and assessments of each student and concept, events folded in order."""
     value = mapped(F.col("f"), F.lit(c.MASTERY_START))
-    return out.select("student", "concept", F.round(value, 6).alias("mastery"), "events", "assessments")
+    return mastery_maps(events, order).select("student", "concept", F.round(value, 6).alias("mastery"), "events", "assessments")
 
 
 def level(value: Column) -> Column:
@@ -120,24 +125,35 @@ def recommendations(masteries: DataFrame, edges: DataFrame, most: int = 3) -> Da
 
 
 def study_plan(masteries: DataFrame, days: int = 10, minutes_a_day: int = 60) -> DataFrame:
-    """student, day, concept, activity and minutes: activities of weak concepts, weakest first, each put on the first day from the last one's that has room. Days and activities of one student depend on each other, so each student is planned in turn."""
-
-    def plan(rows: pd.DataFrame) -> pd.DataFrame:
-        left, out = [minutes_a_day] * days, []
-        for r in rows.sort_values(["mastery", "concept"]).itertuples():
-            start, scale = 0, 1 + 0.6 * (1 - r.mastery)
+    """student, day, concept, activity and minutes: activities of weak concepts, weakest first, each put on the first day from the last one's that has room. Days and activities of one student depend on each other, so each student is planned in turn, many students a batch."""
+    shortest = min(c.PLAN_MINUTES.values())
+
+    def plan(student: int, weak: list[dict]) -> Iterator[tuple]:
+        left = [minutes_a_day] * days
+        for r in sorted(weak, key=lambda r: (r["mastery"], r["concept"] is None, r["concept"])):
+            if max(left, default=0) < shortest:
+                return
+            start, scale = 0, 1 + 0.6 * (1 - r["mastery"])
             for activity, base in c.PLAN_MINUTES.items():
                 need = int(round(base * scale)) if activity != "quiz" else base
                 day = next((d for d in range(start, days) if left[d] >= need), None)
                 if day is None:
                     continue
                 left[day] -= need
-                out.append((r.student, day + 1, r.concept, activity, need))
+                yield student, day + 1, r["concept"], activity, need
                 start = min(day + 2, days - 1) if activity == "quiz" else day
-        return pd.DataFrame(out, columns=["student", "day", "concept", "activity", "minutes"])
 
-    weak = masteries.where(F.col("mastery") < c.WEAK).select("student", "concept", "mastery")
-    return weak.groupBy("student").applyInPandas(plan, "student bigint, day int, concept string, activity string, minutes int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32())
+        for b in batches:
+            for p in range(0, b.num_rows, 512):
+                part = b.slice(p, 512)
+                rows = [x for student, weak in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for x in plan(student, weak)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["student", "day", "concept", "activity", "minutes"])
+
+    weak = masteries.where(F.col("mastery") < c.WEAK).groupBy(F.col("student").cast("bigint").alias("student")).agg(F.collect_list(F.struct("mastery", "concept")).alias("weak"))
+    return weak.mapInArrow(run, "student bigint, day int, concept string, activity string, minutes int")
 
 
 def plan_statistics(plan: DataFrame) -> DataFrame:

@@ -117,3 +117,30 @@ def test_phrases_of_the_most_frequent_pairs_are_those_of_all(spark, monkeypatch)
         monkeypatch.setattr(mn, "FIRST_PAIRS", first)
         assert [tuple(r) for r in mn.phrases(docs, most=most).collect()] == every[:most]
     assert len(every) > 60 and built[0] < built[-1]
+
+
+def test_plans_of_many_students(spark):
+    """Every student's plan is that of the rule, planned by batches of students; one pandas frame a student took milliseconds each."""
+    from pyspark.sql import functions as F
+
+    from tessera import constants as c
+    from tessera.operators import learner as ln
+
+    draw = random.Random(5)
+    rows = [(s, draw.choice(["a", "b", "c", "d", "é"]) + str(k), draw.choice([0.0, 0.1, 0.25, 0.39, 0.4, 0.9])) for s in range(700) for k in range(s % 9)]
+    expected = []
+    for s in range(700):
+        left = [60] * 10
+        for m, name in sorted((m, n) for t, n, m in rows if t == s and m < c.WEAK):
+            start = 0
+            for activity, base in c.PLAN_MINUTES.items():
+                need = base if activity == "quiz" else int(round(base * (1 + 0.6 * (1 - m))))
+                day = next((d for d in range(start, 10) if left[d] >= need), None)
+                if day is not None:
+                    left[day] -= need
+                    expected.append((s, day + 1, name, activity, need))
+                    start = min(day + 2, 9) if activity == "quiz" else day
+    plan = ln.study_plan(spark.createDataFrame(rows, "student bigint, concept string, mastery double"))
+    assert sorted(map(tuple, plan.collect())) == sorted(expected) and len(expected) > 5000
+    assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().toString()
+    assert ln.study_plan(spark.createDataFrame([], "student bigint, concept string, mastery double")).where(F.lit(True)).collect() == []
