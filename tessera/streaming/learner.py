@@ -1,17 +1,13 @@
-"""The event log as a stream: mastery kept as state, windows with a watermark, and incremental merges."""
+"""The event log as a stream: mastery kept as a table from batch to batch, windows with a watermark, and incremental merges."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera import constants as c
-from tessera.operators.learner import learner_events
+from tessera.operators.learner import learner_events, mapped, mastery_maps
 from tessera.storage import scratch
 
 
@@ -41,29 +37,30 @@ def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def mastery_stream(events: DataFrame) -> DataFrame:
-    """student, concept, mastery and events after each batch, for keys that it touched. Within a batch events are folded by time and id."""
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        m, n = state.get if state.exists else (c.MASTERY_START, 0)
-        for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
-            if pd.isna(r.score):
-                m = m + c.EXPOSURE_GAIN * (1 - m)
-            else:
-                m = m + c.MASTERY_K * (0.5 + r.difficulty) * (r.score - m)
-            m, n = min(1.0, max(0.0, m)), n + 1
-        state.update((m, n))
-        yield pd.DataFrame([(*key, m, n)], columns=["student", "concept", "mastery", "events"])
-
-    keyed = learner_events(events).withColumn("ts", F.col("ts").cast("timestamp")).groupBy("student", "concept")
-    return keyed.applyInPandasWithState(fold, "student bigint, concept string, mastery double, events bigint", "mastery double, events bigint", "update", GroupStateTimeout.NoTimeout)
+def advanced(known: DataFrame, events: DataFrame) -> DataFrame:
+    """known (student, concept, mastery, events) after a batch of events of the events table: a key's events, by time and id, make one map, which is done to what was known of it."""
+    maps = mastery_maps(learner_events(events).withColumn("ts", F.col("ts").cast("timestamp"))).select("student", "concept", F.struct("f", "events").alias("new"))
+    old = known.select("student", "concept", F.struct("mastery", "events").alias("old"))
+    both = old.withColumn("new", F.lit(None).cast(maps.schema["new"].dataType)).unionByName(maps.withColumn("old", F.lit(None).cast(old.schema["old"].dataType)))
+    row = both.groupBy("student", "concept").agg(F.first("old", ignorenulls=True).alias("old"), F.first("new", ignorenulls=True).alias("new"))
+    before = F.coalesce("old.mastery", F.lit(c.MASTERY_START))
+    value = F.when(F.col("new").isNull(), before).otherwise(mapped(F.col("new.f"), before))
+    return row.select("student", "concept", value.alias("mastery"), (F.coalesce("old.events", F.lit(0)) + F.coalesce("new.events", F.lit(0))).cast("bigint").alias("events"))
 
 
 def streamed_mastery(spark: SparkSession, path: str, files_a_batch: int | None = None) -> DataFrame:
-    """Each key's mastery after the whole stream."""
-    out = run_to_table(mastery_stream(event_stream(spark, path, files_a_batch)), "update")
-    last = F.row_number().over(Window.partitionBy("student", "concept").orderBy(F.desc("batch_id")))
-    return out.withColumn("n", last).where("n = 1").select("student", "concept", F.round("mastery", 6).alias("mastery"), "events")
+    """Each key's mastery after the whole stream. What is known after a batch is a table of its own, made from the one before it, so a batch that is run again makes the same."""
+    place, done, shape = scratch(spark), [], "student bigint, concept string, mastery double, events bigint"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        own = batch.sparkSession
+        known = own.read.schema(shape).parquet(f"{place}/known-{batch_id - 1}") if batch_id else own.createDataFrame([], shape)
+        advanced(known, batch).write.mode("overwrite").parquet(f"{place}/known-{batch_id}")
+        done.append(batch_id)
+
+    event_stream(spark, path, files_a_batch).writeStream.foreachBatch(write).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.schema(shape).parquet(f"{place}/known-{done[-1]}") if done else spark.createDataFrame([], shape)
+    return last.select("student", "concept", F.round("mastery", 6).alias("mastery"), "events")
 
 
 def streamed_windows(spark: SparkSession, path: str, seconds: int = c.BUCKET_SECONDS, late: str = "1 hour") -> DataFrame:

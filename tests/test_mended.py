@@ -144,3 +144,19 @@ def test_plans_of_many_students(spark):
     assert sorted(map(tuple, plan.collect())) == sorted(expected) and len(expected) > 5000
     assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().toString()
     assert ln.study_plan(spark.createDataFrame([], "student bigint, concept string, mastery double")).where(F.lit(True)).collect() == []
+
+
+def test_mastery_over_batches_is_that_of_the_whole_stream(spark, tmp_path):
+    """Batches in order of time, null keys, keys that some batches don't touch: what one fold over all events gives; no key is a Python call of its own."""
+    from tessera.operators import learner as ln
+    from tessera.streaming import learner as st
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").selectExpr("event_id", "event_type", "ts", "props", "value", "nullif(user_id, 3) AS user_id")
+    events.orderBy("ts", "event_id").coalesce(1).write.option("maxRecordsPerFile", 150).parquet(f"{tmp_path}/events.parquet")
+    whole = sorted(map(str, ln.mastery(ln.learner_events(events)).select("student", "concept", "mastery", "events").collect()))
+    known, n = spark.createDataFrame([], "student bigint, concept string, mastery double, events bigint"), events.count()
+    for low in range(0, n, 400):
+        known = st.advanced(known, events.where(f"event_id >= {low} AND event_id < {low + 400}")).localCheckpoint()
+    assert sorted(map(str, known.selectExpr("student", "concept", "round(mastery, 6) AS mastery", "events").collect())) == whole
+    parts = st.streamed_mastery(spark, f"file://{tmp_path}/events.parquet", 100)
+    assert sorted(map(str, parts.collect())) == whole and len(whole) > 10
