@@ -10,6 +10,8 @@ from tessera.storage import stored
 
 #: Members of a group whose pairs are made in one block.
 BLOCK = 1000
+#: Pairs that a task makes and counts, and into how many parts a task's groups are dealt so that tasks come out even.
+TASK_PAIRS, DEALT = 500_000, 64
 
 
 def hierarchy(levels: list[tuple[DataFrame, str, str, str | None, str]]) -> tuple[DataFrame, DataFrame]:
@@ -26,21 +28,48 @@ def hierarchy(levels: list[tuple[DataFrame, str, str, str | None, str]]) -> tupl
     return nodes, edges
 
 
-def cooccurrence(members: DataFrame, group: str, item: str, least: int = 2, sources: int = 0) -> DataFrame:
-    """Pairs a < b of items that share groups: weight (how many) and, if asked for, so many first groups of each."""
-    m = members.select(group, item).distinct()
-    # A large group's pairs are made block by block, each pair of blocks a key of its own.
-    blocks = m.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__n"))
-    dealt = m.join(blocks, group).withColumn("__own", F.pmod(F.xxhash64(item), F.col("__n")).cast("int"))
+def _pairs_within(m: DataFrame, group: str, item: str) -> DataFrame:
+    """__k, group, a and b: a group's pairs a < b from the array of its items."""
+    held = m.groupBy("__k", group).agg(F.array_sort(F.collect_set(item)).alias("__s"))
+    pair = F.flatten(F.transform("__s", lambda x, i: F.transform(F.slice("__s", i + 2, F.size("__s")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    return held.select("__k", group, F.inline(pair))
+
+
+def _pairs_by_blocks(m: DataFrame, sizes: DataFrame, group: str, item: str) -> DataFrame:
+    """The same of large groups, block by block: each pair of blocks is a key of its own."""
+    m = m.select(group, item).distinct()
+    dealt = m.join(sizes.select(group, F.ceil(F.col("n") / BLOCK).cast("int").alias("__n")), group).withColumn("__own", F.pmod(F.xxhash64(item), F.col("__n")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("__n") - 1))
     left = dealt.select(group, F.col(item).alias("a"), F.col("__own").alias("__i"), every.alias("__j"))
     right = dealt.select(group, F.col(item).alias("b"), F.col("__own").alias("__j"), every.alias("__i"))
-    pairs = left.join(right, [group, "__i", "__j"]).where("a < b").select(group, "a", "b")
-    out = pairs.groupBy("a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
+    pairs = left.join(right, [group, "__i", "__j"]).where("a < b")
+    return pairs.select(F.pmod(F.xxhash64(group, "__i", "__j"), F.lit(DEALT)).alias("__k"), group, "a", "b")
+
+
+def cooccurrence(members: DataFrame, group: str, item: str, least: int = 2, sources: int = 0) -> DataFrame:
+    """Pairs a < b of items that share groups: weight (how many) and, if asked for, so many first groups of each.
+
+    Tasks grow in number with the pairs there are, not in size: each makes some TASK_PAIRS and counts them, by __k, before
+    they are dealt by pair.
+    """
+    m = members.select(group, item).where(F.col(group).isNotNull() & F.col(item).isNotNull())
+    sizes = stored(m.groupBy(group).agg(F.count("*").alias("n")))
+    made, large = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.sum((F.col("n") > BLOCK).cast("int"))).first()
+    tasks = max(members.sparkSession.sparkContext.defaultParallelism, -(-int(made or 0) // TASK_PAIRS))
+    small, by_blocks = m, None
+    if large:
+        wide = stored(sizes.where(F.col("n") > BLOCK))
+        small = m.join(wide, group, "left_anti")
+        by_blocks = _pairs_by_blocks(m.join(wide, group, "left_semi"), wide, group, item)
+    pairs = _pairs_within(small.withColumn("__k", F.pmod(F.xxhash64(group), F.lit(DEALT * tasks))).repartition(tasks, "__k"), group, item)
+    count = lambda df: df.groupBy("__k", "a", "b").agg(F.count("*").alias("n")).select("a", "b", "n")
+    parts = count(pairs) if by_blocks is None else count(pairs).union(count(by_blocks))
+    out = parts.repartition(tasks, "a", "b").groupBy("a", "b").agg(F.sum("n").alias("weight")).where(F.col("weight") >= least)
     if not sources:
         return out
     # A window with a limit keeps no more than so many of a pair's groups at a time.
-    first = pairs.withColumn("n", F.row_number().over(Window.partitionBy("a", "b").orderBy(group))).where(F.col("n") <= sources)
+    every = pairs if by_blocks is None else pairs.unionByName(by_blocks)
+    first = every.withColumn("n", F.row_number().over(Window.partitionBy("a", "b").orderBy(group))).where(F.col("n") <= sources)
     return out.join(first.groupBy("a", "b").agg(F.array_sort(F.collect_list(group)).alias("groups")), ["a", "b"])
 
 

@@ -160,3 +160,31 @@ def test_mastery_over_batches_is_that_of_the_whole_stream(spark, tmp_path):
     assert sorted(map(str, known.selectExpr("student", "concept", "round(mastery, 6) AS mastery", "events").collect())) == whole
     parts = st.streamed_mastery(spark, f"file://{tmp_path}/events.parquet", 100)
     assert sorted(map(str, parts.collect())) == whole and len(whole) > 10
+
+
+def test_tasks_grow_in_number_with_pairs(spark, monkeypatch):
+    """Ten times the pairs go to ten times the tasks, with the same pairs; large groups, repeats and nulls too."""
+    from collections import Counter
+    from itertools import combinations
+
+    from tessera.operators import graph as g
+
+    draw = random.Random(6)
+    rows = [(f"g{draw.randint(0, 60)}", draw.choice([*range(40), None])) for _ in range(900)] + [("big", k) for k in range(45)] + [(None, 1), (None, 2)]
+    groups = {}
+    for room, k in rows:
+        if room is not None and k is not None:
+            groups.setdefault(room, set()).add(k)
+    n = Counter(p for s in groups.values() for p in combinations(sorted(s), 2))
+    expected = sorted((a, b, m) for (a, b), m in n.items() if m >= 2)
+    df = spark.createDataFrame(rows, "room string, item int")
+    parts = []
+    for block, pairs in ((1000, 500_000), (1000, 400), (20, 40)):
+        monkeypatch.setattr(g, "BLOCK", block)
+        monkeypatch.setattr(g, "TASK_PAIRS", pairs)
+        out = g.cooccurrence(df, "room", "item")
+        parts.append(out.rdd.getNumPartitions())
+        assert sorted(map(tuple, out.collect())) == expected
+        first = {(r.a, r.b): r.groups for r in g.cooccurrence(df, "room", "item", sources=2).collect()}
+        assert all(first[a, b] == sorted(r for r, s in groups.items() if {a, b} <= s)[:2] for a, b, _ in expected)
+    assert parts[0] == 4 and 10 < parts[1] and 8 * parts[1] < parts[2] and len(expected) > 300
