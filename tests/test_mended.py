@@ -188,3 +188,32 @@ def test_tasks_grow_in_number_with_pairs(spark, monkeypatch):
         first = {(r.a, r.b): r.groups for r in g.cooccurrence(df, "room", "item", sources=2).collect()}
         assert all(first[a, b] == sorted(r for r, s in groups.items() if {a, b} <= s)[:2] for a, b, _ in expected)
     assert parts[0] == 4 and 10 < parts[1] and 8 * parts[1] < parts[2] and len(expected) > 300
+
+
+def test_postings_of_a_common_word_are_not_dealt_by_word(spark):
+    """All postings of one word went to one task; the scores are those of the formula."""
+    import math
+
+    from tessera import constants as c
+    from tessera.operators import retrieval as r
+    from tessera.storage import stored
+
+    draw = random.Random(8)
+    rows = [(term, k, draw.randint(1, 5), draw.randint(5, 40)) for term, share in (("common", 1.0), ("other", 0.3), ("rare", 0.01)) for k in range(6000) if draw.random() < share]
+    hits = stored(spark.createDataFrame(rows, "term string, doc_id bigint, tf bigint, dl bigint"))
+    asked = spark.createDataFrame([(1, "common"), (1, "rare"), (2, "other"), (2, "none")], "item_id bigint, term string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")
+    try:
+        out = r.scored_terms(hits, asked, 6000, 20.0)
+        got = {(x.item_id, x.doc_id): x.score for x in out.collect()}
+        assert "hashpartitioning(term" not in out._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    expected, of = {}, {"common": 1, "rare": 1, "other": 2}
+    for term, k, tf, dl in rows:
+        df = sum(x[0] == term for x in rows) if term not in (known := expected.setdefault("df", {})) else known[term]
+        known[term] = df
+        w = math.log(1 + (6000 - df + 0.5) / (df + 0.5)) * tf * (c.BM25_K1 + 1) / (tf + c.BM25_K1 * (1 - c.BM25_B + c.BM25_B * dl / 20))
+        expected[of[term], k] = expected.get((of[term], k), 0.0) + w
+    expected.pop("df")
+    assert set(got) == set(expected) and all(abs(got[k] - v) < 1e-9 for k, v in expected.items())
