@@ -38,7 +38,9 @@ def linked_concepts(queries: DataFrame, lexicon: DataFrame, ranking: DataFrame,
     named = mentions(queries, lexicon, "item_id", least=least).select("item_id", F.col("concept_id").alias("node"), F.lit(1.0).alias("score"))
     found = ranking.withColumn("n", F.count("*").over(Window.partitionBy("item_id"))).groupBy("item_id", "resource").agg(F.min("rank").alias("rank"), F.first("n").alias("n"))
     weighed = found.select("item_id", "resource", (SEED_WEIGHT * (1 - (F.col("rank") - 1) / F.col("n"))).alias("score"))
-    near = weighed.join(provenance.select("concept", "resource").distinct(), "resource").select("item_id", F.col("concept").alias("node"), "score")
+    # Only what leads to the resources found is made distinct, not all provenance.
+    links = provenance.select("concept", "resource").join(found.select("resource"), "resource", "left_semi").distinct()
+    near = weighed.join(links, "resource").select("item_id", F.col("concept").alias("node"), "score")
     best = named.union(near).groupBy("item_id", "node").agg(F.max("score").alias("score"))
     return ranked(best, "item_id", "node", k=k, rank="place").select(F.col("item_id").alias("query"), "node", "score")
 

@@ -126,31 +126,32 @@ numbered AS (SELECT *, row_number() OVER (PARTITION BY item_id, hop = 0 ORDER BY
 context_rows AS (SELECT item_id, concept, hop, CAST(row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN hop = 0 THEN 0 ELSE 1 END, nth) AS INTEGER) AS place FROM numbered WHERE CASE WHEN hop = 0 THEN nth <= 8 - kept ELSE nth <= kept END)"""
 
 
-def _graph_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, edges, provenance, seeds = _linked(spark, sf_dir)
+def _graph_context(spark: SparkSession, linked: tuple[DataFrame, DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """Concepts of the contexts, from what _linked() gives; their sources are not looked up."""
+    _, edges, provenance, seeds = linked
     concepts = lexicon(spark).select("concept_id", "canonical", F.lit(1.0).alias("confidence"))
-    return stored(evd.context_concepts(gr.graph_evidence(gr.expansion(seeds, gr.concept_relations(edges)), concepts, provenance)))
+    return stored(evd.context_concepts(gr.graph_evidence(gr.expansion(seeds, gr.concept_relations(edges)), concepts, provenance).drop("sources")))
 
 
 @query(f"WITH {HYBRID}, {GRAPH_CONTEXT} SELECT item_id, concept, hop, place FROM context_rows")
 def context_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concepts that go into a context: the query's own, and two places for those reached over edges."""
-    return _graph_context(spark, sf_dir).select("item_id", "concept", "hop", "place")
+    return _graph_context(spark, _linked(spark, sf_dir)).select("item_id", "concept", "hop", "place")
 
 
 @query(f"""WITH {EVIDENCE} {ANSWERS}, {GRAPH_CONTEXT}, leads AS (SELECT item_id, string_agg(concept || ' [K' || place || ']', ', ' ORDER BY place) AS lead FROM context_rows WHERE place <= 3 GROUP BY 1), marks AS (SELECT item_id, string_agg('K' || place, ',' ORDER BY place) AS k FROM context_rows GROUP BY 1)
 SELECT b.item_id, CASE WHEN answer IS NULL THEN '{evd.NO_ANSWER}' WHEN lead IS NULL THEN answer ELSE 'Key concepts: ' || lead || '. ' || answer END AS answer, CASE WHEN answer IS NULL THEN '' ELSE concat_ws(',', array_to_string(valid, ','), k) END AS valid FROM benchmark b LEFT JOIN answers USING (item_id) LEFT JOIN valid USING (item_id) LEFT JOIN leads USING (item_id) LEFT JOIN marks USING (item_id)""")
 def graph_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers that begin with the context's concepts."""
-    items = table(spark, sf_dir, "benchmark")
-    best = evd.best_sentences(evd.context(_evidence(spark, sf_dir)), items)
-    return evd.answers(best, concepts=_graph_context(spark, sf_dir), queries=items).select("item_id", "answer", F.array_join("valid", ",").alias("valid"))
+    """Answers that begin with the context's concepts. Evidence is the first rows of the candidates that concepts are linked by: one ranking is made."""
+    items, linked = table(spark, sf_dir, "benchmark"), _linked(spark, sf_dir)
+    best = evd.best_sentences(evd.context(evd.evidence_rows(linked[0], table(spark, sf_dir, "documents"))), items)
+    return evd.answers(best, concepts=_graph_context(spark, linked), queries=items).select("item_id", "answer", F.array_join("valid", ",").alias("valid"))
 
 
 @query(f"WITH {HYBRID}, {GRAPH_CONTEXT} SELECT item_id, count(*) AS concepts, CAST(sum(CASE WHEN hop > 0 THEN 1 ELSE 0 END) AS BIGINT) AS steps FROM context_rows GROUP BY 1")
 def context_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many concepts and steps between concepts each context has."""
-    chosen = _graph_context(spark, sf_dir)
+    chosen = _graph_context(spark, _linked(spark, sf_dir))
     steps = evd.relations(chosen).groupBy("item_id").agg(F.count("*").alias("steps"))
     return chosen.groupBy("item_id").agg(F.count("*").alias("concepts")).join(steps, "item_id", "left").fillna(0, ["steps"])
 

@@ -217,3 +217,44 @@ def test_postings_of_a_common_word_are_not_dealt_by_word(spark):
         expected[of[term], k] = expected.get((of[term], k), 0.0) + w
     expected.pop("df")
     assert set(got) == set(expected) and all(abs(got[k] - v) < 1e-9 for k, v in expected.items())
+
+
+def test_graph_answers_make_one_ranking(spark, monkeypatch):
+    """Texts were cut into tokens and ranked twice, for evidence and for concepts; the best sentences are asked for twice, too, and made once."""
+    from tessera.operators import evidence as evd
+    from tessera.operators import retrieval as r
+    from tessera.plans import assistant
+
+    made, kept = [], []
+    hybrid, stored = r.hybrid, evd.stored
+    monkeypatch.setattr(r, "hybrid", lambda *a, **b: made.append(a) or hybrid(*a, **b))
+    monkeypatch.setattr(evd, "stored", lambda df: kept.append(df.columns) or stored(df))
+    out = assistant.graph_answers(spark, "/root/testdata/sf0.001").collect()
+    assert len(made) == 1 and any("sentence" in c for c in kept) and out and all(x.answer for x in out)
+
+
+def test_words_are_counted_by_batch(spark, monkeypatch):
+    """Counts of asked words by batches are those of all words; nulls, texts without words, shared ids."""
+    from tessera.operators import retrieval as r
+
+    rows = [(1, "Zug zug ab, äh äh ÄH _x_ zz"), (1, "zug"), (2, None), (3, ""), (None, "ab ab ab a 😀 ab"), (4, "none of them"), (5, "zz " * 700 + "äh")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    asked = {"zug", "ab", "äh", "zz", "missing"}
+    items = spark.createDataFrame([(1, " ".join(asked))], "item_id bigint, text string")
+    kind = lambda df: sorted((str(x.doc_id), x.dl, x.nd, [tuple(y) for y in x.t if y.term in asked]) for x in df.collect())
+    some = r.counted(docs, queries=items)
+    assert kind(some) == kind(r.counted(docs)) and "MapInArrow" not in r.counted(docs)._jdf.queryExecution().toString()
+    assert [x.t for x in some.where("doc_id = 5").collect()] == [[("zz", 700), ("äh", 1)]]
+    few = r.counted(docs, queries=spark.createDataFrame([(1, "?")], "item_id bigint, text string"))
+    assert [x[:3] for x in kind(few)] == [x[:3] for x in kind(some)] and not any(x[3] for x in kind(few))
+
+
+def test_evidence_texts_are_not_shuffled_for_a_few_rows(spark):
+    """A ranking of unknown size met the texts of all documents in a shuffle."""
+    from tessera.operators import evidence as evd
+    from tessera.operators import retrieval as r
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    plan = evd.evidence_rows(r.hybrid(items, docs), docs)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
