@@ -11,6 +11,7 @@ neighbours, ordered by text; very long texts are one row; an empty table gives a
 
 from __future__ import annotations
 
+import codecs
 import functools
 import gc
 import json
@@ -37,7 +38,12 @@ ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 64 << 10, 2_000
 
 
 #: Bytes that the byte-level alphabet writes as other characters than Latin-1 does: in order, those from U+0100 on.
-_ALPHABET = {byte: 256 + k for k, byte in enumerate(x for x in range(256) if not (33 <= x <= 126 or 161 <= x <= 172 or 174 <= x <= 255))}
+_OTHER = {byte: 256 + k for k, byte in enumerate(x for x in range(256) if not (33 <= x <= 126 or 161 <= x <= 172 or 174 <= x <= 255))}
+_ALPHABET = "".join(chr(_OTHER.get(byte, byte)) for byte in range(256))
+#: Bytes of texts without characters beyond U+027F: none of these joins its neighbours, so a text may be put in lower case before it is composed.
+_APART = bytes([*range(0xC0), *range(0xC2, 0xCA)])
+#: Numbers of ids that are written most often.
+_PACKED = [struct.Struct(f"<{n}I").pack for n in range(33)]
 _SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
@@ -58,6 +64,7 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.words = Remembered(self._word, CACHED_WORDS)
         self.plain = self._is_plain(path)
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     @staticmethod
     def _is_plain(path: str) -> bool:
@@ -72,28 +79,44 @@ class WordEncoder:
 
     def _part(self, key: bytes) -> bytes:
         """The ids of letters in lower case."""
-        written = key.decode("ascii") if key.isascii() else key.decode("latin-1").translate(_ALPHABET)
+        written = key.decode("ascii") if key.isascii() else codecs.charmap_decode(key, "strict", _ALPHABET)[0]
         found = [t.id for t in self.model.tokenize(written)]
-        return struct.pack(f"<{len(found)}I", *found)
+        return _PACKED[len(found)](*found) if len(found) < len(_PACKED) else struct.pack(f"<{len(found)}I", *found)
+
+    def _letters(self, low: bytes) -> bytes:
+        """The same, remembered: what a word of such letters alone would be."""
+        found = self.words.get(low)
+        if found is None:
+            found = self.words.older.get(low) or self._part(low)
+            if len(low) <= self.words.longest:
+                self.words[low] = found
+        return found
 
     def _word(self, word: bytes) -> bytes:
         if self.plain:
             if word.isalpha():
                 low = word.lower()
-                return self._part(word) if low == word else self.words[low]
+                return self._part(word) if low == word else self._letters(low)
             if word[:-1].isalpha() and word[-1] in b".,;:!?":
-                return self.words[word[:-1].lower()] + self.words[word[-1:]]
+                return self._letters(word[:-1].lower()) + self.words[word[-1:]]
             if m := _SIMPLE(word.decode()):
                 letters, marks = m.groups()
                 low = letters.lower().encode()
-                return self._part(word) if low == word else self.words[low] + (self.words[marks.encode()] if marks else b"")
+                return self._part(word) if low == word else self._letters(low) + (self.words[marks.encode()] if marks else b"")
         found = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
         return struct.pack(f"<{len(found)}I", *found)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         ids = self.words.__getitem__
-        return [b"".join(map(ids, t.split())) for t in texts]
+        return [b"".join(map(ids, self._lowered(t).split())) for t in texts]
+
+    def _lowered(self, text: bytes) -> bytes:
+        """A text with A to Z in lower case, where this leaves its ids as they are: fewer words are told apart."""
+        if not self.plain or text.translate(None, _APART):
+            return text
+        low = text.lower()
+        return text if any(s in low for s in self.special) else low
 
 
 @functools.lru_cache(2)

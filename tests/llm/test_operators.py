@@ -628,3 +628,18 @@ def test_evolution_beats_best_fit_decreasing(low, high, n):
     best = evolve(sizes, evolve(sizes, [], 1, children=30), 2, children=30)[0]
     fill = np.bincount(best, weights=sizes)
     assert len(fill) < len(plain.fill) and fill.max() <= 2048 and fill.sum() == sizes.sum()
+
+
+def test_words_are_told_apart_in_lower_case_only_where_ids_stay():
+    """A word's forms with capitals were kept and encoded one by one; marks that join what is before them, and special tokens, forbid lower case."""
+    from tokenizers import Tokenizer
+
+    from tessera.llm.tokens import WORD_BPE, WordEncoder
+
+    enc, whole = WordEncoder(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    enc.encode([b"And and AND aNd and"])
+    assert len(enc.words) == 1
+    texts = ["H̱ ẖ T̈ W̊ J̌ İ é É", "<|STARTOFTEXT|> And", "<|startoftext|>And <|EndOfText|>", "Ünter ÄÖÜ, ǅ ǈX ȺB É. Ça 3.14A Don'T IT'S", "ΑΣ Σ ΟΔΟΣ ПРИВЕТ", "İI ıI K Å ſS ẞ", "A B C\u0085D \x1cE", "ɐⱯ ɏZ ʰA ʰB", ""]
+    ids = [np.frombuffer(x, "<u4").tolist() for x in enc.encode([t.encode() for t in texts])]
+    assert ids == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert enc._lowered(b"A\xc3\x89") == b"a\xc3\x89" and enc._lowered("H̱".encode()) == "H̱".encode()
