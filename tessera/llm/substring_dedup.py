@@ -142,7 +142,7 @@ def _windows(docs: DataFrame, met: DataFrame, window: int) -> DataFrame:
 
     wanted = met.groupBy("k", "h").agg(F.collect_list(F.struct("start", "words")).alias("wanted"))
     rows = docs.join(wanted, ["k", "h"]).select("k", "h", "text", "wanted").mapInArrow(run, "gram bigint, code bigint, k bigint, h bigint, start int, words int")
-    rows = stored(rows.distinct(), "windows")  # copies of a row have the same windows
+    rows = stored(rows.distinct(), "windows", cleaned=True)  # copies of a row have the same windows
     return rows.join(rows.groupBy("gram").count().where("count > 1"), "gram", "left_semi")
 
 
@@ -229,18 +229,18 @@ def shard_spans(shard: pa.Table, window: int = WINDOW) -> pa.Table:
 def shards_of(docs: DataFrame, window: int = WINDOW) -> DataFrame | None:
     """The rows of _texts() for documents (k, h, text): every segment whose key comes up again, dealt to shards; None where there is none."""
     keys = _keys(docs, window).groupBy("gram").agg(F.sum("n").alias("n"), F.max("twice").alias("twice")).where("n > 1 OR twice")
-    met = stored(_segments(docs, window).join(keys, "gram", "left_semi"), "segments")
-    codes = stored(_first(met), "codes")
+    met = stored(_segments(docs, window).join(keys, "gram", "left_semi"), "segments", cleaned=True)
+    codes = stored(_first(met), "codes", cleaned=True)
     loads = lambda codes: codes.groupBy("gram").agg(F.sum("words").alias("own"), F.sum(F.col("words") * F.col("n")).alias("streamed"))
     wide = loads(codes).where(F.col("own") > SHARD_WORDS)
     if not wide.isEmpty():
         wide = stored(wide.select("gram"), "wide")
-        windows = stored(_windows(docs, met.join(wide, "gram", "left_semi"), window), "windows")
+        windows = stored(_windows(docs, met.join(wide, "gram", "left_semi"), window), "windows", cleaned=True)
         met = met.join(wide, "gram", "left_anti").union(windows)
-        codes = stored(codes.join(wide, "gram", "left_anti").union(_first(windows)), "codes")
+        codes = stored(codes.join(wide, "gram", "left_anti").union(_first(windows)), "codes", cleaned=True)
     # The copies of a key's index never have more words than what is streamed through them.
     salts = F.greatest(F.lit(1), F.least(F.ceil(16 * F.col("streamed") / SHARD_WORDS), F.floor(F.col("streamed") / F.col("own")))).cast("int")
-    sizes = stored(loads(codes).withColumn("salts", salts), "loads")
+    sizes = stored(loads(codes).withColumn("salts", salts), "loads", cleaned=True)
     total = sizes.agg(F.sum(F.col("streamed") + F.col("own") * F.col("salts"))).first()[0]
     if not total:
         return None
@@ -272,7 +272,7 @@ def repeated_spans(df: DataFrame, window: int = WINDOW) -> DataFrame:
         trim()
         return out
 
-    return stored(parts.groupBy("shard").applyInArrow(search, shape), "spans")
+    return stored(parts.groupBy("shard").applyInArrow(search, shape), "spans", cleaned=True)
 
 
 def _with_spans(df: DataFrame, spans: DataFrame, key: str) -> DataFrame:

@@ -643,3 +643,21 @@ def test_words_are_told_apart_in_lower_case_only_where_ids_stay():
     ids = [np.frombuffer(x, "<u4").tolist() for x in enc.encode([t.encode() for t in texts])]
     assert ids == [whole.encode(t, add_special_tokens=False).ids for t in texts]
     assert enc._lowered(b"A\xc3\x89") == b"a\xc3\x89" and enc._lowered("H̱".encode()) == "H̱".encode()
+
+
+def test_tables_kept_for_removal_leave_no_shuffle_files(spark):
+    """Shuffle files of what was already written stayed until the driver collected its garbage; the setting is put back."""
+    from tessera.llm import shared
+
+    setting, asked = spark.conf.get(shared._CLEANED), []
+    df = spark.range(20_000).groupBy((F.col("id") % 5_000).alias("x")).count()
+
+    class Seen:
+        sparkSession = spark
+
+        def __getattr__(self, name):
+            asked.append(spark.conf.get(shared._CLEANED))
+            return getattr(df, name)
+
+    assert shared.stored(Seen(), "test", cleaned=True).count() == 5_000 and "true" in asked
+    assert spark.conf.get(shared._CLEANED) == setting and df.where("count = 4").count() == 5_000
