@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
 #: Of so many places one is kept; the others are found by steps through the BWT.
 SAMPLE = 8
+#: The lower bits of a number, as many as its place in this list says.
+_BELOW = (np.int64(1) << np.arange(32)) - np.int64(1)
 
 
 class Bits:
@@ -33,21 +33,38 @@ class Bits:
 
 
 class WaveletMatrix:
-    """Counts of a symbol before a place, for symbols from 0 to size - 1, in a number of steps that is the symbols' bit length."""
+    """Counts of a symbol before a place, for symbols from 0 to size - 1, in a number of steps that is the symbols' number of digits of four bits.
+
+    A level has a row for 32 places with a number for each digit: its lower half says which of the places have the digit, its
+    upper half where the first of them goes in the next level's order.
+    """
 
     def __init__(self, symbols: np.ndarray, size: int):
-        self.levels: list[tuple[int, Bits, int]] = []
-        for shift in reversed(range(max(1, int(size - 1).bit_length()))):
-            bit = (symbols >> shift & 1).astype(bool)
-            bits = Bits(bit)
-            self.levels.append((shift, bits, len(symbols) - bits.ones))
-            symbols = np.concatenate([symbols[~bit], symbols[bit]])
+        self.levels: list[tuple[int, np.ndarray, np.ndarray]] = []
+        blocks = len(symbols) // 32 + 1
+        for shift in reversed(range(0, max(1, int(size - 1).bit_length()), 4)):
+            digits = (symbols >> shift & 15).astype(np.uint8)
+            rows, begin = np.empty((blocks, 16), np.int64), 0
+            for d in range(16):
+                there = np.zeros(blocks * 4, np.uint8)
+                packed = np.packbits(digits == d, bitorder="little")
+                there[: len(packed)] = packed
+                there = there.view("<u4")
+                ends = begin + np.cumsum(np.bitwise_count(there), dtype=np.int64)
+                rows[1:, d], rows[0, d], begin = ends[:-1], begin, int(ends[-1])
+                rows[:, d] = rows[:, d] << 32 | there
+            self.levels.append((shift, rows.reshape(-1), digits))
+            symbols = symbols[np.argsort(digits, kind="stable")]
         self.begin = self._descend(np.arange(size), np.zeros(size, np.int64))
 
+    @staticmethod
+    def _next(rows: np.ndarray, digit: np.ndarray, at: np.ndarray) -> np.ndarray:
+        both = rows[(at >> 5 << 4) + digit]
+        return (both >> 32) + np.bitwise_count(both & _BELOW[at & 31])
+
     def _descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        for shift, bits, zeros in self.levels:
-            ones = bits.rank(at)
-            at = np.where(symbol >> shift & 1, zeros + ones, at - ones)
+        for shift, rows, _ in self.levels:
+            at = self._next(rows, symbol >> shift & 15, at)
         return at
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -56,10 +73,10 @@ class WaveletMatrix:
     def access(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbol at each place, and how many like it are before."""
         symbol = np.zeros(len(at), np.int64)
-        for shift, bits, zeros in self.levels:
-            bit, ones = bits.get(at), bits.rank(at)
-            symbol |= bit.astype(np.int64) << shift
-            at = np.where(bit, zeros + ones, at - ones)
+        for shift, rows, digits in self.levels:
+            digit = digits[at].astype(np.int64)
+            symbol |= digit << shift
+            at = self._next(rows, digit, at)
         return symbol, at - self.begin[symbol]
 
 
@@ -98,7 +115,7 @@ class FMIndex:
         np.cumsum(np.bincount(text, minlength=self.size), out=self.first[1:])
         before = text[places - 1]
         self.matrix = WaveletMatrix(before, self.size)
-        self.n = n
+        self.n, self._borders = n, {}
         self._sample(places, before)
 
     def _sample(self, places: np.ndarray, before: np.ndarray) -> None:
@@ -124,10 +141,11 @@ class FMIndex:
             steps += 1
         return place
 
-    @functools.lru_cache(None)  # noqa: B019  the index lives as long as its shard
     def borders(self, depth: int) -> np.ndarray:
-        """Where the groups of suffixes with this many symbols in common begin, and the end."""
-        return np.flatnonzero(self.shared < depth)
+        """Where the groups of suffixes with this many symbols in common begin, and the end; kept with the index, so that it goes with it."""
+        if depth not in self._borders:
+            self._borders[depth] = np.flatnonzero(self.shared < depth)
+        return self._borders[depth]
 
     def group(self, low: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         borders = self.borders(depth)

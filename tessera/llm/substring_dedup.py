@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.fm_index import FMIndex
-from tessera.llm.shared import _powers, documents, mix, pieces_of, stored, texts_of, trim, word_hashes
+from tessera.llm.shared import _BLANK, _powers, documents, mix, pieces_of, stored, texts_of, trim, word_hashes, word_places
 
 WINDOW, GRAM = 20, 6
 #: Words of a shard, of an index, and of what a key streams through one index.
@@ -151,28 +152,37 @@ def _first(met: DataFrame) -> DataFrame:
     return met.groupBy("gram", "code").agg(F.min(F.struct("k", "h", "start")).alias("at"), F.max("words").alias("words"), F.count("*").alias("n"))
 
 
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """Of a column of lists of structs: the row of each struct, and the structs' fields."""
+    structs = lists.flatten()
+    return np.repeat(np.arange(len(lists)), np.asarray(pc.fill_null(pc.list_value_length(lists), 0))), dict(zip([f.name for f in structs.type], structs.flatten(), strict=True))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     """shard, first (it goes into the index), k, h, start and words of every segment listed in the column wanted, with gram and salts where it goes to a shard for each salt."""
     names = ["shard", "first", "k", "h", "start", "words", "gram", "salts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces_of(batches):
-            for k, h, text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b), b.column(3).to_pylist(), strict=True):
-                words, roles = text.split(), {}
-                line = b" ".join(words)
-                begins = np.cumsum([0, *map(len, words)]) + np.arange(len(words) + 1)
-                for x in wanted:
-                    key = x["shard"], x["start"], x["words"], x["gram"], x["salts"]
-                    roles[key] = roles.get(key, False) or x["first"]
-                items = list(roles.items())
-                for p in range(0, len(items), 20_000):
-                    part = items[p : p + 20_000]
-                    columns = [
-                        pa.array([s for (s, *_), _ in part], pa.int32()), pa.array([f for _, f in part], pa.bool_()), pa.array(np.full(len(part), k, np.int64)), pa.array(np.full(len(part), h, np.int64)),
-                        pa.array([x[1] for x, _ in part], pa.int32()), pa.array([line[p:q] for p, q in zip(begins[[x[1] for x, _ in part]].tolist(), (begins[[x[1] + x[2] for x, _ in part]] - 1).tolist(), strict=True)], pa.binary()),
-                        pa.array([x[3] for x, _ in part], pa.int64()), pa.array([x[4] for x, _ in part], pa.int32()),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+            data, firsts, starts, ends = word_places(texts_of(b))
+            # Words with one blank after each.
+            line, inside = data.copy(), ~_BLANK[data]
+            line[ends], inside[ends] = ord(" "), True
+            line, begins = line[inside].tobytes(), np.append(0, np.cumsum(ends - starts + 1))
+            of, fields = _flat(b.column(3))
+            shard, start, words, first = (np.asarray(fields[c]) for c in ("shard", "start", "words", "first"))
+            # A segment that is streamed and in the index of one shard goes there once.
+            same = of, start, words, shard, np.asarray(pc.fill_null(fields["gram"], 0)), np.asarray(pc.fill_null(fields["salts"], 0))
+            order = np.lexsort((~first, *same))
+            new = np.ones(len(order), bool)
+            new[1:] = np.any([c[order[1:]] != c[order[:-1]] for c in same], axis=0)
+            picked = order[new]
+            for p in range(0, len(picked), 20_000):
+                part = picked[p : p + 20_000]
+                row, at = of[part], firsts[of[part]] + start[part]
+                texts = [line[p:q] for p, q in zip(begins[at].tolist(), (begins[at + words[part]] - 1).tolist(), strict=True)]
+                columns = [pa.array(shard[part]), pa.array(first[part]), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(start[part]), pa.array(texts, pa.binary()), fields["gram"].take(pa.array(part)), fields["salts"].take(pa.array(part))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select("k", "h", "text", "wanted").mapInArrow(run, "shard int, first boolean, k bigint, h bigint, start int, words binary, gram bigint, salts int")
 
@@ -281,16 +291,25 @@ def _with_spans(df: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     return identified(df).join(by_doc, [_K, _H], "left").drop(_K, _H)
 
 
-def _keep(text: bytes, spans: list | None) -> tuple[list[bytes], int]:
+def _edges(spans: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """Where each row's spans begin and end; None where there is none."""
+    of, fields = _flat(spans)
+    if not len(of):
+        return [None] * len(spans)
+    starts = np.asarray(fields["start"])
+    ends = starts + np.asarray(fields["words"])
+    at = np.searchsorted(of, np.arange(len(spans) + 1)).tolist()
+    return [(starts[p:q], ends[p:q]) if p < q else None for p, q in zip(at[:-1], at[1:], strict=True)]
+
+
+def _keep(text: bytes, edges: tuple[np.ndarray, np.ndarray] | None) -> tuple[list[bytes], int]:
     """The words that stay, and how many go."""
     words = text.split()
-    if not spans:
+    if edges is None:
         return words, 0
-    edges = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edges, [x["start"] for x in spans], 1)
-    np.add.at(edges, [x["start"] + x["words"] for x in spans], -1)
-    stay = np.cumsum(edges[:-1]) == 0
-    return [w for w, s in zip(words, stay.tolist(), strict=True) if s], int(len(words) - stay.sum())
+    begun, ended = (np.bincount(e, minlength=len(words) + 1) for e in edges)
+    stay = np.cumsum(begun - ended)[:-1] == 0
+    return list(compress(words, stay.tolist())), int(len(words) - stay.sum())
 
 
 def remove_repeats(df: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -302,7 +321,7 @@ def remove_repeats(df: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces_of(batches):
-            spans = b.column(b.schema.get_field_index(key)).to_pylist()
+            spans = _edges(b.column(b.schema.get_field_index(key)))
             old = b.column(b.schema.get_field_index("text")).to_pylist()
             text = [b" ".join(_keep(t.encode(), s)[0]).decode() if s else t for t, s in zip(old, spans, strict=True)]
             columns = {c: b.column(b.schema.get_field_index(c)) for c in names} | {"text": pa.array(text, pa.string())}
@@ -321,7 +340,7 @@ def op2_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces_of(batches):
             rows = []
-            for text, spans in zip(texts_of(b), b.column(2).to_pylist(), strict=True):
+            for text, spans in zip(texts_of(b), _edges(b.column(2)), strict=True):
                 stay, gone = _keep(text, spans)
                 rows.append((len(stay) + gone, gone, hashlib.sha256(b" ".join(stay)).hexdigest()))
             n, gone, digest = zip(*rows, strict=True)

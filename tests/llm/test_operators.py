@@ -195,6 +195,73 @@ def test_fm_index_matching_statistics():
                     assert high[at] - low[at] == index.count(flat[at : at + best])
 
 
+def test_wavelet_matrix_counts_in_digits():
+    """Ranks and symbols are exact at every size, in a step for four bits of a symbol, not for one."""
+    from tessera.llm.fm_index import WaveletMatrix
+
+    draw = np.random.default_rng(6)
+    for n, size in ((1, 1), (31, 2), (32, 16), (64, 17), (500, 300), (1000, 70_000)):
+        symbols = draw.integers(0, size, n)
+        matrix = WaveletMatrix(symbols, size)
+        assert len(matrix.levels) == max(1, -(-int(size - 1).bit_length() // 4))
+        found, before = matrix.access(np.arange(n))
+        assert found.tolist() == symbols.tolist()
+        assert before.tolist() == [int((symbols[:k] == s).sum()) for k, s in enumerate(symbols)]
+        for at in (0, n // 2, n):
+            asked = draw.integers(0, size, 40)
+            assert matrix.rank(asked, np.full(40, at)).tolist() == [int((symbols[:at] == s).sum()) for s in asked]
+
+
+def test_index_goes_with_its_shard(monkeypatch):
+    """A worker that searches shard after shard keeps no index of an earlier one."""
+    import gc
+    import weakref
+
+    import pyarrow as pa
+
+    from tessera.llm import substring_dedup as S
+
+    made = []
+
+    class Watched(S.FMIndex):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(weakref.ref(self))
+
+    monkeypatch.setattr(S, "FMIndex", Watched)
+    words = " ".join(f"w{k}" for k in range(30)).encode()
+    shard = pa.table({"first": [True, False], "k": [1, 2], "h": [5, 6], "start": pa.array([0, 4], pa.int32()), "words": pa.array([words, words], pa.binary())})
+    assert S.shard_spans(shard).to_pylist() == [{"k": 2, "h": 6, "start": 4, "words": 30}]
+    gc.collect()
+    assert len(made) == 1 and made[0]() is None
+
+
+def test_segments_are_cut_many_documents_at_a_time():
+    """Segments of many documents leave in one batch; what is streamed and in the index of one shard goes there once, as a first one."""
+    import pyarrow as pa
+
+    from tessera.llm import substring_dedup as S
+
+    class Docs:  # takes the function that the tasks run
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    segment = pa.struct([("shard", pa.int32()), ("start", pa.int32()), ("words", pa.int32()), ("first", pa.bool_()), ("gram", pa.int64()), ("salts", pa.int32())])
+    texts = ["  a\tb  c\n", None, "d é\x0bf", "g"]
+    wanted = [[(3, 1, 2, False, None, None), (3, 1, 2, True, None, None), (4, 0, 1, False, None, None)], [], [(-1, 0, 3, True, 77, 2), (0, 0, 3, False, None, None)], []]
+    lists = pa.array([[dict(zip([f.name for f in segment], x, strict=True)) for x in w] for w in wanted], pa.list_(segment))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([5, 6, 7, 8]), pa.array(texts), lists], names=["k", "h", "text", "wanted"])
+    out = list(S._texts(Docs())(iter([batch])))
+    assert len(out) == 1
+    rows = sorted(tuple(r[c] for c in ("k", "h", "shard", "first", "start", "words", "gram", "salts")) for r in out[0].to_pylist())
+    assert rows == [(1, 5, 3, True, 1, b"b c", None, None), (1, 5, 4, False, 0, b"a", None, None), (3, 7, -1, True, 0, "d é f".encode(), 77, 2), (3, 7, 0, False, 0, "d é f".encode(), None, None)]
+    # A batch that is a slice of another has its own rows.
+    assert [r["words"] for o in S._texts(Docs())(iter([batch.slice(2)])) for r in o.to_pylist()] == ["d é f".encode()] * 2
+
+
 def test_token_table(spark, tables, corpus):
     from tokenizers import Tokenizer
 
