@@ -56,6 +56,26 @@ def test_weak_resources_of_asked_pairs(spark):
     assert sorted(map(tuple, gr.weak_resources(who, links, 0.4, among).collect())) == [(1, "2"), (5, "3")]
 
 
+def test_weak_resources_of_many_students(spark, tmp_path, monkeypatch):
+    """Students times resources rows make small files, as resources come in one order time and again; ids that are null, packs and tasks of any size, and no rows at all are right."""
+    who = spark.range(2000).select(F.col("id").alias("student"), F.explode(F.array(*map(F.lit, "abc"))).alias("concept")).select("*", F.when(F.pmod(F.hash("student", "concept"), F.lit(3)) == 0, 0.9).otherwise(0.1).alias("mastery"))
+    links = spark.range(3001).select(F.explode(F.array(*map(F.lit, "abcd"))).alias("concept"), F.sha2(F.col("id").cast("string"), 256).alias("resource"), F.lit("x").alias("kind")).where(F.pmod(F.hash("resource", "concept"), F.lit(3)) > 0)
+    gr.weak_resources(who, links, 0.4).write.parquet((tmp_path / "out").as_uri())
+    out = spark.read.parquet((tmp_path / "out").as_uri())
+    rows = out.count()
+    expected = who.where("mastery < 0.4").join(links, "concept").select("student", "resource").distinct()
+    total = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("student", "resource").cast("decimal(38,0)"))).first()
+    assert rows > 4_000_000 and tuple(total(out)) == tuple(total(expected))
+    assert sum(x.stat().st_size for x in (tmp_path / "out").glob("*.parquet")) < 0.5 * rows
+    for name, value in (("PACKED_STUDENTS", 2), ("PACKED_RESOURCES", 3), ("TASK_ROWS", 5), ("UNPACKED_ROWS", 4), ("RUN", 8)):
+        monkeypatch.setattr(gr, name, value)
+    few = spark.createDataFrame([(k, c, 0.1) for k in (1, 2, 3, 4, 5, None) for c in "ab"], "student int, concept string, mastery double")
+    some = spark.createDataFrame([(c, r, "x") for c in "ab" for r in (*map(str, range(21)), None)] + [(None, "q", "x"), ("z", "r", "x")], "concept string, resource string, kind string")
+    got = [tuple(x) for x in gr.weak_resources(few, some, 0.4).collect()]
+    assert len(got) == 6 * 22 and set(got) == {(k, r) for k in (1, 2, 3, 4, 5, None) for r in (*map(str, range(21)), None)}
+    assert gr.weak_resources(few, some, 0.01).count() == 0 and gr.weak_resources(few, some.where("concept = 'z'"), 0.4).count() == 0
+
+
 def test_only_candidates_are_scored(spark, monkeypatch):
     """The ranking is that of all resources' scores; the largest may be of a resource that is no candidate, and what all queries reach is not made."""
     top = spark.createDataFrame([(1, 10, 0.5, 1), (1, 11, 0.4, 2), (1, 12, 0.3, 3), (2, 10, 0.2, 1)], "item_id int, doc_id bigint, score double, rank int")
