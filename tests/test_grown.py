@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
+from tessera.operators import evaluation as ev
 from tessera.operators import evidence as evd
 from tessera.operators import graph_retrieval as gr
 from tessera.operators import mining as mn
@@ -76,6 +77,22 @@ def test_weak_resources_of_many_students(spark, tmp_path, monkeypatch):
     assert gr.weak_resources(few, some, 0.01).count() == 0 and gr.weak_resources(few, some.where("concept = 'z'"), 0.4).count() == 0
 
 
+def test_coherence_of_wide_vectors(spark):
+    """A vector's length was taken anew for each of its values; pairs that there are none of have no mean."""
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(300, 2000)) + np.repeat(np.eye(2000)[:3] * 30, 100, axis=0)
+    v[5] = 0
+    labels = [None if k < 20 else "ab"[k % 2] for k in range(300)]
+    rows = spark.createDataFrame([(w, x.tolist()) for w, x in zip(labels, v, strict=True)], "label string, embedding array<double>").repartition(4)
+    begun = time.monotonic()
+    got = ev.coherence_gap(rows).first()
+    assert time.monotonic() - begun < 25
+    x = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    cosines, own, off = x @ x.T, np.array([[i == j for j in labels] for i in labels]), ~np.eye(300, dtype=bool)
+    assert np.allclose(tuple(got), (cosines[own & off].mean(), cosines[~own].mean(), cosines[own & off].mean() - cosines[~own].mean()), atol=1e-6)
+    assert tuple(ev.coherence_gap(rows.where("label IS NULL").limit(1)).first()) == (None, None, None) and ev.coherence_gap(rows.where("label = 'a'")).first()["other_label"] is None
+
+
 def test_only_candidates_are_scored(spark, monkeypatch):
     """The ranking is that of all resources' scores; the largest may be of a resource that is no candidate, and what all queries reach is not made."""
     top = spark.createDataFrame([(1, 10, 0.5, 1), (1, 11, 0.4, 2), (1, 12, 0.3, 3), (2, 10, 0.2, 1)], "item_id int, doc_id bigint, score double, rank int")
