@@ -93,6 +93,23 @@ def test_coherence_of_wide_vectors(spark):
     assert tuple(ev.coherence_gap(rows.where("label IS NULL").limit(1)).first()) == (None, None, None) and ev.coherence_gap(rows.where("label = 'a'")).first()["other_label"] is None
 
 
+def test_aliases_are_found_where_texts_are(spark, monkeypatch):
+    """Every run of words of every text was shuffled to meet a few aliases; the mentions are the same either way."""
+    texts = ["the nn of the nn, THE NN", None, "", "nn", "a b c a b c d", "of", "the " * 50, "é b the of é", "b c"]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "the nn"), (3, "nn of"), (8, "of the")], "doc_id int, text string").repartition(3)
+    pairs = [("nn", "net"), ("the nn", "net"), ("the", "article"), ("the", "word"), ("of the", "link"), ("a b c", "abc"), ("c a b", "cab"), ("b c d", "x"), ("é", "e"), ("a b c d", "four"), ("nn", "net"), ("", "none"), (None, "none"), ("NN", "none"), ("nn of the", "long")]
+    lexicon = spark.createDataFrame(pairs, "alias string, concept string")
+    rows = lambda: sorted(map(str, mn.aliases(docs, lexicon).collect()))
+    got = rows()
+    monkeypatch.setattr(mn, "SLICE_WORDS", 5)
+    assert got == rows()
+    plan = mn.aliases(docs, lexicon)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    monkeypatch.setattr(mn, "NAMED_ALIASES", 3)
+    assert got == rows() and len(got) > 12
+    assert mn.aliases(docs, lexicon.where("alias = ''")).count() == 0 and mn.aliases(docs, lexicon.where("false")).count() == 0
+
+
 def test_only_candidates_are_scored(spark, monkeypatch):
     """The ranking is that of all resources' scores; the largest may be of a resource that is no candidate, and what all queries reach is not made."""
     top = spark.createDataFrame([(1, 10, 0.5, 1), (1, 11, 0.4, 2), (1, 12, 0.3, 3), (2, 10, 0.2, 1)], "item_id int, doc_id bigint, score double, rank int")
